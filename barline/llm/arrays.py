@@ -9,7 +9,9 @@ is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def once_per_process(key: object, make: Callable[[], object]) -> object:
+    """``make()``, kept for later tasks of this Python worker (functions sent by value have no lasting globals)."""
+    home = sys.modules.setdefault("_barline_kept", types.ModuleType("_barline_kept")).__dict__
+    if key not in home:
+        home[key] = make()
+    return home[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of uint64 values (the public splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -31,7 +31,9 @@ CAPACITY = 2048
 #: Appended to every document.
 END_ID = 1
 #: Words whose ids a task remembers before it starts afresh (bounds its memory).
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
+#: Words of characters below this one have no case or accent rules of their own.
+SIMPLE = "\u0100"
 #: Pieces in a group, about.
 GROUP_PIECES = 16_384
 
@@ -54,30 +56,52 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
+        """Nothing but the empty word (index 0) and the end id (index 1)."""
         self.known = {"": 0}
-        self.ids = [np.array([self.end_id], np.uint32)]
-        self.lengths = [np.array([0, 1], np.int64)]
-        self.flat, self.at, self.long = self.ids[0], np.array([0, 0]), self.lengths[0]
+        self.flat, self.at, self.long = np.array([self.end_id], np.uint32), np.array([0, 0]), np.array([0, 1])
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + 2 * len(new) > REMEMBERED:
             self.reset()
-            new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
+            new = words.difference(self.known)
+        # Letter case and one final stop or comma don't change the ids of the rest.
+        stems, tails = [], []
+        for w in new:
+            low = w.lower() if w.isascii() or max(w) < SIMPLE else w
+            if low[-1] in ".," and low[-2:-1].isalpha():
+                stems.append(low[:-1])
+                tails.append(low[-1])
+            else:
+                stems.append(low)
+                tails.append("")
+        self.add_encoded(list({*stems, ".", ","}.difference(self.known)))
+        known = self.known
+        forms = [(w, known[s], known[t]) for w, s, t in zip(new, stems, tails) if w not in known]
+        if forms:
+            both = np.array([(s, t) for _, s, t in forms])
+            lengths = self.long[both]
+            first = len(self.long)
+            self.flat = np.concatenate([self.flat, self.flat[arrays.ragged(self.at[both].ravel(), lengths.ravel())]])
+            self.long = np.concatenate([self.long, lengths.sum(axis=1)])
+            self.at = np.cumsum(self.long) - self.long
+            known.update((w, first + i) for i, (w, _, _) in enumerate(forms))
+
+    def add_encoded(self, words: list[str]) -> None:
+        """Remembers words by the tokenizer's own ids, told apart by where each id begins."""
+        flat, long, first = [self.flat], [self.long], len(self.long)
+        for k in range(0, len(words), 8192):
+            part = words[k : k + 8192]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             where = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            self.lengths.append(np.bincount(np.searchsorted(ends, where, "right"), minlength=len(part)))
-            self.ids.append(np.array(found.ids, np.uint32))
-            for i, w in enumerate(part, len(self.known) + 1):  # index 1 is the end id
-                self.known[w] = i
-        self.flat, self.long = np.concatenate(self.ids), np.concatenate(self.lengths)
-        self.ids, self.lengths = [self.flat], [self.long]
+            long.append(np.bincount(np.searchsorted(ends, where, "right"), minlength=len(part)))
+            flat.append(np.array(found.ids, np.uint32))
+        self.flat, self.long = np.concatenate(flat), np.concatenate(long)
         self.at = np.cumsum(self.long) - self.long
+        self.known.update((w, first + i) for i, w in enumerate(words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each text closed by the end id, and how many each has."""
@@ -103,7 +127,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     """Pieces of documents: doc_id, start, length, ids (little-endian uint32), doc_tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, end_id)
+        encoder = arrays.once_per_process(("WordEncoder", tokenizer_path, end_id), lambda: WordEncoder(tokenizer_path, end_id))
         for batch in batches:
             _, offsets = arrays.utf8(batch.column(1))
             for first, last in arrays.chunks(offsets):
