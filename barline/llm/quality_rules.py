@@ -33,30 +33,29 @@ ITERATIONS = 12
 SMOOTHING = 1.0
 
 
-def repeated_words(words: Column, n: int = 3) -> Column:
+def repeated_words(words: Column, bits: Column, mask: Column, n: int = 3) -> Column:
     """How many words lie in n-word windows that occur twice or more in ``words``.
 
-    A window is one long: its hash above, its position in as many low bits as the
-    number of words needs. Sorting brings equal windows together.
+    A window is one long: its hash above, its position in as many low ``bits`` as the
+    number of words needs (``mask`` has those bits set). Sorting brings equal windows
+    together; two longs of one hash differ in the low bits only.
     """
     size = F.size(words)
-    bits = F.ceil(F.log2(size.cast("double") + 1)).cast("int")
     packed = F.transform(
         F.sequence(F.lit(0), size - n),
         lambda i: F.call_function("shiftleft", F.xxhash64(*[F.get(words, i + k) for k in range(n)]), bits).bitwiseOR(i.cast("long")),
     )
 
-    def head(x: Column) -> Column:
-        return F.call_function("shiftright", x, bits)
+    def same(x: Column, y: Column) -> Column:
+        return x.bitwiseXOR(y).between(F.lit(0), mask)
 
     def twins(windows: Column) -> Column:
-        return F.filter(windows, lambda x, i: (head(x) == head(F.get(windows, i - 1))) | (head(x) == head(F.get(windows, i + 1))))
+        return F.filter(windows, lambda x, i: same(x, F.get(windows, i + 1)) | same(x, F.get(windows, i - 1)))
 
     def covered(places: Column) -> Column:
         gaps = F.transform(places, lambda p, i: F.least(F.lit(n).cast("long"), F.coalesce(F.get(places, i + 1) - p, F.lit(n).cast("long"))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     # Each array is bound once by a one-element transform, else it would be computed again for each element.
     count = F.transform(
         F.array(F.sort_array(packed)),
@@ -70,18 +69,20 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     worded = base.select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    bits = F.ceil(F.log2(F.size("words").cast("double") + 1)).cast("int")
+    worded = worded.withColumn("bits", bits).withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    letters = F.length(F.regexp_replace("text", r"[^A-Za-z]+", ""))
+    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
     return worded.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 0).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
+        repeated_words(F.col("words"), F.col("bits"), F.col("mask")).alias("n_repeat_words"),
         F.get(F.transform(F.array(lines), F.size), 0).cast("long").alias("n_lines"),
         letters.cast("long").alias("n_letters"),
-        F.length(F.regexp_replace("text", r"[^A-Z]+", "")).cast("long").alias("n_capitals"),
+        F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
     )
 
 
@@ -95,6 +96,7 @@ def rules() -> dict[str, Column]:
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     length = F.col("word_chars") / words
     symbols = F.col("n_symbols") / words
+    share = F.col("n_symbols") / chars
     repeats = F.col("n_repeat_words") / words
     twice = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
     letters = F.col("n_letters") / chars
@@ -103,8 +105,9 @@ def rules() -> dict[str, Column]:
         "enough_words": _vote(words, F.col("n_words") >= 100, F.col("n_words") < LEAST_WORDS),
         "word_length": _vote(length, length.between(3, 10), ~length.between(2.5, 14)),
         "few_symbols": _vote(symbols, symbols < 0.02, symbols > 0.1),
+        "low_symbol_share": _vote(share, share < 0.003, share > 0.01),
         "few_repeats": _vote(repeats, repeats < 0.15, repeats > 0.4),
-        "few_repeated_lines": _vote(twice, twice < 0.05, twice > 0.3),
+        "few_repeated_lines": _vote(twice, twice < 0.05, twice > 0.5),
         "mostly_letters": _vote(letters, letters > 0.8, letters < 0.6),
         "few_capitals": _vote(capitals, capitals < 0.15, capitals > 0.4),
     }
