@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 from barline.llm.op2_secrets import op2_secret_scan
+from barline.llm.op5_langid import op5_language_id
+from barline.llm.op7_quality_rules import op7_quality_rules
 from barline.llm.op10_packing import op10_packing
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op10_packing": op10_packing}
+QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}
