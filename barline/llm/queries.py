@@ -5,12 +5,16 @@ from __future__ import annotations
 from barline.llm.op2_secrets import op2_secret_scan
 from barline.llm.op5_langid import op5_language_id
 from barline.llm.op7_quality_rules import op7_quality_rules
+from barline.llm.op8_toxicity import op8_toxicity
+from barline.llm.op9_quality_classifier import op9_quality_classifier
 from barline.llm.op10_packing import op10_packing
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
