@@ -33,7 +33,7 @@ EPOCHS = 14
 RATE = 0.25
 #: Pull of a vector towards zero, and the training documents that an n-gram must occur in to have one.
 DECAY = 1e-6
-LEAST_DOCUMENTS = 8
+LEAST_DOCUMENTS = 3
 #: Documents count as toxic from this score on.
 THRESHOLD = 0.3
 
