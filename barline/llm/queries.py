@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barline.llm.op2_secrets import op2_secret_scan
+from barline.llm.op3_line_dedup import op3_line_dedup
 from barline.llm.op4_near_dup import op4_near_dup
 from barline.llm.op5_langid import op5_language_id
 from barline.llm.op7_quality_rules import op7_quality_rules
@@ -12,6 +13,7 @@ from barline.llm.op10_packing import op10_packing
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_near_dup": op4_near_dup,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
