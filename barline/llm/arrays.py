@@ -95,6 +95,15 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals from U+00C0 to U+00DE (two bytes, the first 0xC3) as small letters."""
+    data = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    data[second] += 0x20
+    return data
+
+
 class Words:
     """Words of consecutive texts: byte bounds, 64-bit hashes, and rows as ranges of words."""
 
@@ -126,8 +135,9 @@ class Words:
         return np.repeat(np.arange(len(self.row_at) - 1), self.per_row)
 
 
-def words_in_chunks(texts: pa.Array, values=BYTE_VALUES, spaces=SPACES, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def words_in_chunks(texts: pa.Array, values=BYTE_VALUES, spaces=SPACES, limit: int = CHUNK_BYTES, fold: bool = False) -> Iterator[tuple[int, int, Words]]:
     data, offsets = utf8(texts)
+    data = folded(data) if fold else data
     for first, last in chunks(offsets, limit):
         yield first, last, Words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], values, spaces)
 

@@ -6,6 +6,7 @@ from barline.llm.op2_secrets import op2_secret_scan
 from barline.llm.op3_line_dedup import op3_line_dedup
 from barline.llm.op4_near_dup import op4_near_dup
 from barline.llm.op5_langid import op5_language_id
+from barline.llm.op6_decontaminate import op6_decontaminate
 from barline.llm.op7_quality_rules import op7_quality_rules
 from barline.llm.op8_toxicity import op8_toxicity
 from barline.llm.op9_quality_classifier import op9_quality_classifier
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dup": op4_near_dup,
     "op5_language_id": op5_language_id,
+    "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
