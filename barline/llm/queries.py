@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barline.llm.op1_lm_score import op1_lm_score
 from barline.llm.op2_secrets import op2_secret_scan
 from barline.llm.op3_line_dedup import op3_line_dedup
 from barline.llm.op4_near_dup import op4_near_dup
@@ -13,6 +14,7 @@ from barline.llm.op9_quality_classifier import op9_quality_classifier
 from barline.llm.op10_packing import op10_packing
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dup": op4_near_dup,
