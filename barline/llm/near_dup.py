@@ -12,7 +12,10 @@ are filled, so a long text costs little more than a short one.
 Signatures are banded. Links within a bucket are verified exactly on the multisets.
 Buckets are not expanded to all pairs: every member is first linked with one
 centre, then classes are formed, and only members of different classes are compared
-further, until no bucket holds an unchecked pair of different classes.
+further: by pairs of rows in small buckets; in large ones, all members outside the
+largest class are held against all members, in blocks of texts of which only the
+links that join classes come back. No bucket keeps an unchecked pair of different
+classes, and no candidate is capped.
 
 Defined cases: texts with the same words are copies whatever the white space; a
 text of one to four words has one shingle of all its words; null, empty and
@@ -41,6 +44,10 @@ SLOTS = 128
 BANDS = 32
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Buckets with more members of several classes are compared in blocks of texts instead of by pairs of rows.
+HOT = 48
+BLOCK = 200
+CHUNK_BYTES = 2 << 20
 #: Of 128 one-bit slots, so many differ at most between texts of similarity 0.8 (four standard deviations).
 MOST_BITS_APART = 27
 
@@ -119,7 +126,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, words in arrays.words_in_chunks(batch.column(1)):
+            for first, last, words in arrays.words_in_chunks(batch.column(1), limit=CHUNK_BYTES):
                 signature = bag_minhash(*shingles(words, n), last - first)
                 bits = np.packbits((signature & np.uint64(1)).astype(bool), axis=1).view(np.int64)
                 raw = [words.hashes[a:b].tobytes() for a, b in zip(words.row_at[:-1], words.row_at[1:])]
@@ -177,6 +184,90 @@ def _close(x: str, y: str) -> Column:
     return apart <= MOST_BITS_APART
 
 
+def similar(left: Words, right: Words, n: int = SHINGLE) -> np.ndarray:
+    """Weighted Jaccard similarity of every text of one block with every text of another."""
+    sides = [shingles(words, n) for words in (left, right)]
+    sizes = [len(words.row_at) - 1 for words in (left, right)]
+    mass = [np.bincount(row, number, size) for (row, _, number), size in zip(sides, sizes)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    shared = np.zeros(sizes)
+    for first in range(0, len(both), 4096):
+        part = both[first : first + 4096]
+        dense = []
+        for (row, key, number), size in zip(sides, sizes):
+            at = np.minimum(np.searchsorted(part, key), len(part) - 1)
+            hit = part[at] == key
+            counts = np.zeros((size, len(part)), np.int32)
+            counts[row[hit], at[hit]] = number[hit]
+            dense.append(counts)
+        for level in range(1, int(min(dense[0].max(), dense[1].max())) + 1):
+            columns = (dense[0] >= level).any(axis=0) & (dense[1] >= level).any(axis=0)
+            shared += (dense[0][:, columns] >= level).astype(np.float32) @ (dense[1][:, columns] >= level).astype(np.float32).T
+    return shared / np.maximum(mass[0][:, None] + mass[1][None, :] - shared, 1)
+
+
+def joining(a: np.ndarray, b: np.ndarray, class_a: np.ndarray, class_b: np.ndarray) -> list[int]:
+    """Those of the links (a, b) that join classes not joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    kept = []
+    for i, (c, d) in enumerate(zip(class_a.tolist(), class_b.tolist())):
+        c, d = root(c), root(d)
+        if c != d:
+            parent[max(c, d)] = min(c, d)
+            kept.append(i)
+    return kept
+
+
+def block_links(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) of at least ``similarity`` that join the classes of members of large buckets.
+
+    Buckets that share members are one group, so that a pair is compared once. In a
+    group, every member outside its largest class is held against every member, in
+    blocks of about BLOCK texts a side.
+    """
+    members = checkpointed(members.select("id", "component", "centre"))
+    groups = components(members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    placed = members.select("id", F.col("component").alias("class")).distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
+    counted = placed.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("group").agg(F.max_by("class", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    largest = largest.select("group", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"))
+    placed = checkpointed(placed.join(largest, "group"))
+
+    def place(count: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(23), "id"), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    sides = [
+        placed.where(F.col("class") != F.col("main")).select("group", place("lefts").alias("left"), every("rights").alias("right"), F.lit(True).alias("side"), "id", "class"),
+        placed.where("lefts > 0").select("group", every("lefts").alias("left"), place("rights").alias("right"), F.lit(False).alias("side"), "id", "class"),
+    ]
+    ids = checkpointed(placed.select("id").distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        parts = [table.filter(pa.array(side)), table.filter(pa.array(~side))]
+        id_a, id_b = (p.column("id").to_numpy() for p in parts)
+        class_a, class_b = (p.column("class").to_numpy() for p in parts)
+        value = similar(*(Words(*arrays.utf8(p.column("text"))) for p in parts))
+        i, j = np.nonzero((value >= similarity) & (class_a[:, None] != class_b[None, :]))
+        kept = joining(id_a[i], id_b[j], class_a[i], class_b[j])
+        return pa.table({"a": pa.array(id_a[i[kept]]), "b": pa.array(id_b[j[kept]])})
+
+    rows = sides[0].unionByName(sides[1]).join(texts, "id")
+    return checkpointed(rows.groupBy("group", "left", "right").applyInArrow(compare, "a long, b long"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_copies) for every row: class_id is the least doc_id of all texts linked with it."""
     seen = checkpointed(sketches(docs, id_col, text_col))
@@ -195,9 +286,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     links = checkpointed(verified(first, docs, similarity, id_col, text_col).select("a", "b"))
     # Members of one bucket that are not in one class yet are compared with each other.
     labelled = crowded.drop("c", "n").join(components(links), crowded["id"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-    split = labelled.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "bucket")
-    open_rows = checkpointed(labelled.join(split, ["band", "bucket"]))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    split = labelled.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.min("id").alias("centre"))
+    open_rows = checkpointed(labelled.join(split.where("low != high").drop("low", "high"), ["band", "bucket"]))
+    cool = open_rows.where(F.col("n") <= HOT)
+    x, y = cool.alias("x"), cool.alias("y")
     more = (
         x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -205,6 +297,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
         .join(first, ["a", "b"], "left_anti")
     )
     more = checkpointed(verified(checkpointed(more), docs, similarity, id_col, text_col).select("a", "b"))
+    more = more.unionByName(block_links(open_rows.where(F.col("n") > HOT), docs, similarity, id_col, text_col))
     found = components(links.unionByName(more))
     named = copies.select("copy1", "copy2", "id", "n_copies").join(found, copies["id"] == found["node"], "left").select("copy1", "copy2", F.coalesce("component", "id").alias("class_id"), "n_copies")
     with_words = worded.select("doc_id", "copy1", "copy2").join(named, ["copy1", "copy2"]).select("doc_id", "class_id", "n_copies")
