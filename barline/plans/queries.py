@@ -32,9 +32,14 @@ def seconds(ts: str = "ts") -> Column:
     return F.unix_timestamp(F.col(ts).cast("timestamp")).alias("ts_s")
 
 
+def plain(name: str, places: int = 6) -> Column:
+    """Rounded, and without a negative zero."""
+    return F.round(name, places) + F.lit(0.0)
+
+
 def shown(df: DataFrame, *names: str) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select("symbol", seconds(), *[F.round(n, 6).alias(n) if kinds[n] == "double" else F.col(n) for n in names])
+    return df.select("symbol", seconds(), *[plain(n).alias(n) if kinds[n] == "double" else F.col(n) for n in names])
 
 
 def _indicator(add: Callable[[DataFrame], DataFrame], *names: str) -> Query:
@@ -51,11 +56,11 @@ def _sql(ctes: str = "", source: str = "b", **made: str) -> str:
 
 
 def _round(x: str) -> str:
-    return f"round({x}, 6)"
+    return f"round({x}, 6) + 0.0"
 
 
 def _full(n: int, x: str) -> str:
-    return f"CASE WHEN rn >= {n} THEN round({x}, 6) END"
+    return f"CASE WHEN rn >= {n} THEN round({x}, 6) + 0.0 END"
 
 
 def _lists(**columns: str) -> str:
@@ -90,12 +95,12 @@ def _concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frame.series_stats(event_bars(spark, sf_dir), "close")
     names = ("total", "mean", "least", "most", "first", "last")
-    return found.select("symbol", "n", "n_missing", "has_missing", *[F.round(n, 6).alias(n) for n in names])
+    return found.select("symbol", "n", "n_missing", "has_missing", *[plain(n).alias(n) for n in names])
 
 
 def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frame.quantiles(event_bars(spark, sf_dir), "close", (0.1, 0.25, 0.5, 0.75))
-    return found.select("symbol", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(4)])
+    return found.select("symbol", *[plain(f"q{i}").alias(f"q{i}") for i in range(4)])
 
 
 def _scaled(make: Callable[[], transforms.Transform], back: bool = False) -> Query:

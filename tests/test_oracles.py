@@ -28,7 +28,7 @@ def rows(df):
     def plain(x):
         if x is None or (isinstance(x, float) and math.isnan(x)):
             return None
-        return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+        return float(x) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
     return sorted((tuple(plain(x) for x in r) for r in df[names].astype(object).itertuples(index=False)), key=str)
 
