@@ -39,7 +39,6 @@ MIN_CHARS = 20
 BROADCAST_IDS = 1_000_000
 #: Pairs that are compared at a time.
 PAIRS = 1 << 20
-SPACES = " \t\n\x0b\f\r"
 
 
 def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +149,7 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, line_no (from 0), line and its hash, for all lines that are not white space only."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return rows.where(F.length(F.translate("line", SPACES, "")) > 0).withColumn("h", F.xxhash64("line"))
+    return rows.where(F.col("line").rlike(r"\S")).withColumn("h", F.xxhash64("line"))
 
 
 def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -197,7 +196,7 @@ def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     pairs = checkpointed(candidates(lines, edits, min_chars))
     ids = checkpointed(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    texts = lines.select("h", "line").join(F.broadcast(ids) if few else ids, "h", "left_semi").dropDuplicates(["h"])
+    texts = checkpointed(lines.select("h", "line").join(F.broadcast(ids) if few else ids, "h", "left_semi").dropDuplicates(["h"]))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("left")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("right")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +216,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     links = checkpointed(edit_links(lines, edits, min_chars))
     degree = links.select(F.col("a").alias("h")).unionAll(links.select(F.col("b").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     place = F.struct("doc_id", "line_no")
-    places = lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    placed = checkpointed(lines.select("doc_id", "line_no", "h"))
+    places = placed.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # A line at one place without links is alone in its class and goes no further.
     shared = (
         places.join(components(links), F.col("h") == F.col("node"), "left")
@@ -228,7 +228,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     shared = checkpointed(shared)
     firsts = shared.groupBy("component").agg(F.min("first").alias("first"))
     named = shared.select("h", "component", "n_links").join(firsts, "component")
-    return lines.select("doc_id", "line_no", "h").join(named, "h").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").cast("long").alias("first_line_no"), "n_links")
+    return placed.join(named, "h").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").cast("long").alias("first_line_no"), "n_links")
 
 
 def decisions(repeated: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def kept_text(text: Column, dropped: Column) -> Column:
     """``text`` without the lines of these numbers; null where nothing but white space is left and lines were dropped."""
     left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(dropped, i.cast("long")))
     joined = F.array_join(left, "\n")
-    return F.when(F.size(dropped) == 0, text).when(F.length(F.translate(joined, SPACES, "")) > 0, joined)
+    return F.when(F.size(dropped) == 0, text).when(joined.rlike(r"\S"), joined)
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,11 +130,11 @@ def grade(docs: DataFrame, model: bytes, good: int = GOOD, least_chance: float =
                 keyed, counts = np.unique(np.repeat(row, column.shape[1]) * BUCKETS + column.ravel(), return_counts=True)
                 doc, feature = keyed // BUCKETS, keyed % BUCKETS
                 value = np.sqrt(counts / np.maximum(words.per_row, 1)[doc])
-                score = np.bincount(doc, value * w[feature], last - first)
+                score = np.bincount(doc, value * w[feature], last - first).astype(float)
                 tail = tails(score, thresholds)
                 chance = tail[:, good - 1] if len(thresholds) >= good else np.ones(last - first)
-                made = [score, tail.sum(axis=1), chance, chance >= least_chance]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *map(pa.array, made)], names=["doc_id", "quality_score", "expected_grade", "p_good", "kept"])
+                made = [*(pa.array(x, pa.float64()) for x in (score, tail.sum(axis=1), chance)), pa.array(chance >= least_chance)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *made], names=["doc_id", "quality_score", "expected_grade", "p_good", "kept"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, quality_score double, expected_grade double, p_good double, kept boolean")

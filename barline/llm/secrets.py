@@ -61,7 +61,7 @@ ALLOWED = (
 
 def suspect_windows(text: str, alphabet: frozenset[str], window: int, bits: float) -> Iterator[tuple[int, int]]:
     """Joined windows of characters of one class whose entropy reaches ``bits``."""
-    gain = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+    gain = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]  # a step first adds, then takes away
     least = (math.log2(window) - bits) * window  # entropy >= bits exactly if sum(n log n) <= least
     counts: dict[str, int] = {}
     total, run, begin, end = 0.0, 0, -1, -1
