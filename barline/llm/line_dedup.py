@@ -242,8 +242,14 @@ def decisions(repeated: DataFrame) -> DataFrame:
 
 def kept_text(text: Column, dropped: Column) -> Column:
     """``text`` without the lines of these numbers; null where nothing but white space is left and lines were dropped."""
-    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(dropped, i.cast("long")))
-    joined = F.array_join(left, "\n")
+    # The list of lines is bound once by a one-element transform, else it would be split again for each line.
+    joined = F.get(
+        F.transform(
+            F.array(F.split(text, "\n")),
+            lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), dropped), lambda i: F.get(lines, i.cast("int"))), "\n"),
+        ),
+        0,
+    )
     return F.when(F.size(dropped) == 0, text).when(joined.rlike(r"\S"), joined)
 
 

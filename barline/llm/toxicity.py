@@ -55,7 +55,7 @@ def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     inverse = arrays.powers(arrays._INVERSE, len(x) + 1)
 
     def hashed(start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return (arrays.mix((total[start + length] - total[start]) * inverse[start] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        return (arrays.mix((total[start + length] - total[start]) * inverse[start] + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
 
     parts, owners = [hashed(at, sizes)], [np.arange(len(words))]
     for n in LENGTHS:
@@ -109,8 +109,11 @@ def fit(texts: list[str], labels: list[int], weights: list[float], epochs: int =
     row, start, end = window_bounds(words.row_at)
     held = np.arange(len(y)) % 5 == 4  # for calibration
     # N-grams of few documents would be learnt by heart, so they keep the zero vector.
-    by_doc = np.unique(np.repeat(words.rows(), size[which]) * BUCKETS + grams[ragged(at[which], size[which])])
-    learnt = (np.bincount(by_doc % BUCKETS, minlength=BUCKETS) >= LEAST_DOCUMENTS).astype(np.float32)
+    holding = np.zeros(BUCKETS, np.int64)
+    for first, last in zip(words.row_at[:-1], words.row_at[1:]):
+        own = np.unique(which[first:last])
+        holding[np.unique(grams[ragged(at[own], size[own])])] += 1
+    learnt = (holding >= LEAST_DOCUMENTS).astype(np.float32)
     table = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     soft = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.array([2, -2], np.float32)  # a window without telling words is clean
