@@ -49,7 +49,7 @@ START = (0.4, 0.4, 0.2)
 
 def _packed(x: np.ndarray) -> bytes:
     """Unsigned integers as compressed byte planes."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
@@ -142,15 +142,18 @@ def _counts(table: pa.Table, ranges: int, blocks: int) -> pa.Table:
     """A block's distinct n-grams and their training counts, by owner."""
     number = table.column("block")[0].as_py()
     block = Block(table)
+    # Ranges follow the high half of the hash, so sorted keys come by rising range. Ranges without keys get no row.
+    sides = [(keys, counts, ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)) for keys, counts in ((block.words, block.word_counts), (block.pairs, block.pair_counts))]
+    owners = np.union1d(sides[0][2], sides[1][2])
+    cuts = [(np.searchsorted(own, owners, "left"), np.searchsorted(own, owners, "right")) for _, _, own in sides]
     rows = []
-    edges = [(r << 64) // ranges for r in range(1, ranges)]
-    sides = [(keys, counts, [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]) for keys, counts in ((block.words, block.word_counts), (block.pairs, block.pair_counts))]
-    for r in range(ranges):
+    for r in range(len(owners)):
         fields = []
-        for keys, counts, at in sides:
-            fields += [_packed(_steps(keys[at[r] : at[r + 1]])), _packed(counts[at[r] : at[r + 1]])]
+        for (keys, counts, _), (first, last) in zip(sides, cuts):
+            fields += [_packed(_steps(keys[first[r] : last[r]])), _packed(counts[first[r] : last[r]])]
         rows.append(_joined(fields))
-    return pa.table({"range": pa.array(range(ranges), pa.int64()), "block": pa.array([number] * ranges, pa.int64()), "fold": pa.array([number >= blocks] * ranges), "payload": pa.array(rows, pa.binary())})
+    n = len(owners)
+    return pa.table({"range": pa.array(owners.astype(np.int64)), "block": pa.array([number] * n, pa.int64()), "fold": pa.array([number >= blocks] * n), "payload": pa.array(rows, pa.binary())})
 
 
 ANSWERS = "block long, range long, payload binary, types long, tokens long, fold_tokens long"

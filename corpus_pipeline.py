@@ -14,6 +14,8 @@ from barline.llm import decontaminate, langid, line_dedup, near_dup, packing
 from barline.llm.lineage import checkpointed
 from barline.llm.op10_packing import TOKENIZER
 
+#: Pieces in a packing group; smaller than the operator's own setting because the ids travel with them.
+GROUP_PIECES = 4096
 #: SQL does not express models, edit joins and signatures; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -29,27 +31,32 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.deduplicate(docs)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not in ``ids``; these are broadcast up to a checked number and shuffled beyond."""
+    ids = checkpointed(ids)
+    few = ids.count() <= near_dup.BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class of near-duplicates (one row of it, if its row is repeated)."""
-    classes = near_dup.classes(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    kept = without(docs, near_dup.classes(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct())
     repeated = checkpointed(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return without(kept, repeated).unionByName(once)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their place in sequences of 2048."""
-    pieces = packing.tokenize(docs, public_tokenizers.path(TOKENIZER)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces)
+    """Pieces of token ids (little-endian uint32) with their place in sequences of 2048."""
+    pieces = packing.tokenize(docs, public_tokenizers.path(TOKENIZER)).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(pieces, group_pieces=GROUP_PIECES)
 
 
 STAGES = [
