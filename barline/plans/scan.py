@@ -4,12 +4,17 @@ No window function expresses them. All recurrences that a plan needs run in one
 grouped pass: a numpy kernel solves blocks of rows by a triangular product and
 carries one number from block to block. Seeds differ by indicator:
 
-* ``mean``: the mean of the first n values, at the n-th (exponential averages);
+* ``ema``, ``wilder``: the mean of the first n values, at the n-th;
 * ``first``: the first value itself;
 * ``sum_skip``: the sum of the first n values, at the row after them, whose own
   value is left out (directional movement).
 
 Leading NULLs are passed over; the recurrence begins at the first value.
+
+A series that is too long for one task is cut by time (``pieces="month"``). A piece
+is summed up by its number of rows, its first values and its answer to a zero
+start; since such maps compose, the value before each piece follows from these few
+numbers, and every piece is then solved in a task of its own.
 """
 
 from __future__ import annotations
@@ -18,9 +23,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from barline.errors import window
+from barline.errors import InvalidParameter, window
 from barline.functions.windows import BARS, Series
 
 _ROWS = 128
@@ -33,6 +38,22 @@ class Scan:
     n: int
     kind: str  # ema, wilder, first or sum_skip
 
+    @property
+    def first_at(self) -> int:
+        """How many values there must be for the first result."""
+        return {"ema": self.n, "wilder": self.n, "first": 1, "sum_skip": self.n + 1}[self.kind]
+
+    @property
+    def a(self) -> float:
+        return 1 - 2 / (self.n + 1) if self.kind == "ema" else 1 - 1 / self.n
+
+    @property
+    def b(self) -> float:
+        return {"ema": 2 / (self.n + 1), "sum_skip": 1.0}.get(self.kind, 1 / self.n)
+
+    def seed(self, head: np.ndarray) -> float:
+        return float(head[: self.n].sum() if self.kind == "sum_skip" else head.mean())
+
 
 def affine(x: np.ndarray, a: float, b: float, y: float) -> np.ndarray:
     """y[t] = a * y[t-1] + b * x[t], from the value before x[0]."""
@@ -47,39 +68,94 @@ def affine(x: np.ndarray, a: float, b: float, y: float) -> np.ndarray:
     return out
 
 
-def run(x: np.ndarray, n: int, kind: str) -> np.ndarray:
-    """One recurrence over one series; NaN where undefined."""
-    out = np.full(len(x), np.nan)
+def values(x: np.ndarray, begun: bool) -> tuple[int, np.ndarray]:
+    """Where the values begin (at once, if the series has begun before), and the values."""
     there = np.flatnonzero(~np.isnan(x))
-    if not len(there):
-        return out
-    begin = int(there[0])
-    x = x[begin:]
-    if kind == "first":
-        out[begin] = x[0]
-        out[begin + 1 :] = affine(x[1:], 1 - 1 / n, 1 / n, x[0])
-    elif kind == "sum_skip":
-        if len(x) > n:
-            out[begin + n] = x[:n].sum()
-            out[begin + n + 1 :] = affine(x[n + 1 :], 1 - 1 / n, 1.0, out[begin + n])
-    elif len(x) >= n:
-        alpha = 2 / (n + 1) if kind == "ema" else 1 / n
-        out[begin + n - 1] = x[:n].mean()
-        out[begin + n :] = affine(x[n:], 1 - alpha, alpha, out[begin + n - 1])
+    begin = 0 if begun else int(there[0]) if len(there) else len(x)
+    return begin, x[begin:]
+
+
+def run(x: np.ndarray, scan: Scan, head: np.ndarray = np.zeros(0), before: float = np.nan) -> np.ndarray:
+    """One recurrence over one series or piece; NaN where undefined. ``head`` has earlier values short of the seed."""
+    out = np.full(len(x), np.nan)
+    begin, x = values(x, bool(len(head)) or not np.isnan(before))
+    if np.isnan(before):
+        need = scan.first_at - len(head)
+        if len(x) < need:
+            return out
+        before = scan.seed(np.concatenate([head, x[:need]]))
+        begin, x = begin + need, x[need:]
+        out[begin - 1] = before
+    out[begin:] = affine(x, scan.a, scan.b, before)
     return out
 
 
-def linear_scans(df: DataFrame, scans: list[Scan], series: Series = BARS) -> DataFrame:
-    """``df`` with the ``out`` column of every scan; later scans may read what earlier ones made."""
+def step(scan: Scan, head: np.ndarray, before: float, n: int, first: np.ndarray, answer: float) -> tuple[np.ndarray, float]:
+    """``head`` and ``before`` after a piece of n values, its first ones and its answer to a zero start."""
+    if not np.isnan(before):
+        return head, scan.a**n * before + answer
+    need = scan.first_at - len(head)
+    if n < need:
+        return np.concatenate([head, first[:n]]), before
+    seeded = scan.seed(np.concatenate([head, first[:need]]))
+    rest = n - need
+    late = answer - scan.a**rest * affine(first[:need], scan.a, scan.b, 0.0)[-1]
+    return head, scan.a**rest * seeded + late
+
+
+def linear_scans(df: DataFrame, scans: list[Scan], series: Series = BARS, pieces: str | None = None) -> DataFrame:
+    """``df`` with the ``out`` column of every scan.
+
+    ``pieces`` is a unit of time (of ``date_trunc``) by which long series are cut.
+    """
     for s in scans:
         window(s.n)
+    if pieces and {s.out for s in scans} & {s.source for s in scans}:
+        raise InvalidParameter("a scan of another scan's result needs a call of its own")
     kept = df.drop(*[s.out for s in scans])
+    by, order = list(series.by), list(series.order)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + "".join(f", `{s.out}` double" for s in scans)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(series.order), kind="stable")
+        part = part.sort_values(order, kind="stable")
         for s in scans:
-            part[s.out] = run(part[s.source].to_numpy(np.float64, na_value=np.nan), s.n, s.kind)
+            part[s.out] = run(part[s.source].to_numpy(np.float64, na_value=np.nan), s)
         return part
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.groupBy(*series.by).applyInPandas(solve, fields + "".join(f", `{s.out}` double" for s in scans))
+    if not pieces:
+        return kept.groupBy(*by).applyInPandas(solve, fields)
+
+    cut = kept.withColumn("__piece", F.date_trunc(pieces, order[0]))
+    keys = ", ".join(f"`{k}` {dict(kept.dtypes)[k]}" for k in by)
+    numbers = "".join(f", n{i} long, first{i} array<double>, answer{i} double" for i in range(len(scans)))
+    state = "".join(f", head{i} array<double>, before{i} double" for i in range(len(scans)))
+
+    def summary(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        row = dict(zip([*by, "__piece"], key))
+        for i, s in enumerate(scans):
+            _, x = values(part[s.source].to_numpy(np.float64, na_value=np.nan), False)
+            row |= {f"n{i}": len(x), f"first{i}": x[: s.first_at].tolist(), f"answer{i}": affine(x, s.a, s.b, 0.0)[-1] if len(x) else 0.0}
+        return pd.DataFrame([row])
+
+    def carry(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__piece")
+        made = part[[*by, "__piece"]].reset_index(drop=True)
+        for i, s in enumerate(scans):
+            head, before, heads, befores = np.zeros(0), np.nan, [], []
+            for n, first, answer in zip(part[f"n{i}"], part[f"first{i}"], part[f"answer{i}"]):
+                heads.append(head.tolist())
+                befores.append(before)
+                head, before = step(s, head, before, int(n), np.asarray(first, np.float64), float(answer))
+            made[f"head{i}"], made[f"before{i}"] = heads, befores
+        return made
+
+    def resume(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        for i, s in enumerate(scans):
+            before = part[f"before{i}"].iloc[0]
+            part[s.out] = run(part[s.source].to_numpy(np.float64, na_value=np.nan), s, np.asarray(part[f"head{i}"].iloc[0], np.float64), np.nan if pd.isna(before) else float(before))
+        return part[[*kept.columns, *[s.out for s in scans]]]
+
+    states = cut.groupBy(*by, "__piece").applyInPandas(summary, f"{keys}, __piece timestamp{numbers}").groupBy(*by).applyInPandas(carry, f"{keys}, __piece timestamp{state}")
+    return cut.join(states, [*by, "__piece"]).groupBy(*by, "__piece").applyInPandas(resume, fields)

@@ -149,3 +149,16 @@ def test_one_exchange_for_many_indicators(spark):
         df = add(df)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pieces_equal_the_whole(spark):
+    from barline.plans.scan import Scan, linear_scans
+    from barline.sources.bars import synthetic_bars
+
+    scans = [Scan("close", "e", 30, "ema"), Scan("close", "w", 14, "wilder"), Scan("close", "f", 14, "first"), Scan("close", "s", 20, "sum_skip")]
+    df = synthetic_bars(spark, 300, 3)
+    whole = {(r.symbol, r.ts): (r.e, r.w, r.f, r.s) for r in linear_scans(df, scans).collect()}
+    cut = {(r.symbol, r.ts): (r.e, r.w, r.f, r.s) for r in linear_scans(df, scans, pieces="day").collect()}
+    assert set(whole) == set(cut)
+    for key, want in whole.items():
+        same(cut[key], want)
