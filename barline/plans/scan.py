@@ -114,6 +114,7 @@ def linear_scans(df: DataFrame, scans: list[Scan], series: Series = BARS, pieces
         raise InvalidParameter("a scan of another scan's result needs a call of its own")
     kept = df.drop(*[s.out for s in scans])
     by, order = list(series.by), list(series.order)
+    names = [*kept.columns, *[s.out for s in scans]]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + "".join(f", `{s.out}` double" for s in scans)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
@@ -155,7 +156,7 @@ def linear_scans(df: DataFrame, scans: list[Scan], series: Series = BARS, pieces
         for i, s in enumerate(scans):
             before = part[f"before{i}"].iloc[0]
             part[s.out] = run(part[s.source].to_numpy(np.float64, na_value=np.nan), s, np.asarray(part[f"head{i}"].iloc[0], np.float64), np.nan if pd.isna(before) else float(before))
-        return part[[*kept.columns, *[s.out for s in scans]]]
+        return part[names]
 
     states = cut.groupBy(*by, "__piece").applyInPandas(summary, f"{keys}, __piece timestamp{numbers}").groupBy(*by).applyInPandas(carry, f"{keys}, __piece timestamp{state}")
     return cut.join(states, [*by, "__piece"]).groupBy(*by, "__piece").applyInPandas(resume, fields)
