@@ -244,7 +244,10 @@ OUT = "lang_pred string, score double, cross_entropy double, accepted boolean"
 
 
 def identify(docs: DataFrame, fitted: dict[str, bytes], text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1), cross_entropy (bits a character) and accepted added."""
+    """``docs`` with lang_pred, score (0 to 1), cross_entropy (bits a character) and accepted added.
+
+    Columns of these names that ``docs`` has already are replaced.
+    """
     models = docs.sparkSession.sparkContext.broadcast(fitted)
     base = docs.drop("lang_pred", "score", "cross_entropy", "accepted")
     text_at = base.columns.index(text_col)

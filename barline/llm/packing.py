@@ -16,7 +16,6 @@ not read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,100 +23,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barline.llm import arrays
+from barline.llm.arrays import Words
 from barline.llm.lineage import checkpointed
 
 #: Ids in a sequence.
 CAPACITY = 2048
 #: Appended to every document.
 END_ID = 1
-#: Words whose ids a task remembers before it starts afresh (bounds its memory).
+#: Words whose ids a worker remembers before it starts afresh (about 50 MB).
 REMEMBERED = 1_200_000
-#: Words of characters below this one have no case or accent rules of their own.
-SIMPLE = "\u0100"
+#: New words are kept apart until there are so many.
+RECENT = 100_000
 #: Pieces in a group, about.
 GROUP_PIECES = 16_384
 
 
+def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted hash is in sorted ``keys``, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class WordEncoder:
-    """Ids of texts by a word-level tokenizer that drops white space.
+    """Ids of texts by a word-level tokenizer that drops white space and letter case.
 
     Such a tokenizer splits at white space before anything else, so the ids of a
-    text are those of its words end to end. Each new word is encoded once, many
-    words to a call; texts with the strings of special tokens go to the tokenizer
-    as they are.
+    text are those of its words end to end. Words are found by their hash in sorted
+    arrays; each new one is encoded once, many words to a call. Texts with the
+    strings of special tokens go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values()))
+        self.special = tuple(x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values())
         self.end_id = end_id
         self.reset()
 
     def reset(self) -> None:
-        """Nothing but the empty word (index 0) and the end id (index 1)."""
-        self.known = {"": 0}
-        self.flat, self.at, self.long = np.array([self.end_id], np.uint32), np.array([0, 0]), np.array([0, 1])
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
-        if not new:
-            return
-        if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.reset()
-            new = words.difference(self.known)
-        # Letter case and one final stop or comma don't change the ids of the rest.
-        stems, tails = [], []
-        for w in new:
-            low = w.lower() if w.isascii() or max(w) < SIMPLE else w
-            if low[-1] in ".," and low[-2:-1].isalpha():
-                stems.append(low[:-1])
-                tails.append(low[-1])
-            else:
-                stems.append(low)
-                tails.append("")
-        self.add_encoded(list({*stems, ".", ","}.difference(self.known)))
-        known = self.known
-        forms = [(w, known[s], known[t]) for w, s, t in zip(new, stems, tails) if w not in known]
-        if forms:
-            both = np.array([(s, t) for _, s, t in forms])
+        """Nothing but the end id, at index 0."""
+        self.flat, self.at, self.long = np.array([self.end_id], np.uint32), np.array([0]), np.array([1])
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2  # all older words, and recent ones
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Indices of words by hash, -1 where unknown."""
+        (keys, index), recent = self.levels
+        at, hit = lookup(keys, hashes)
+        out = np.where(hit, index[at] if len(index) else -1, -1)
+        rest = np.flatnonzero(~hit)
+        if len(rest) and len(recent[0]):
+            at, hit = lookup(recent[0], hashes[rest])
+            out[rest[hit]] = recent[1][at[hit]]
+        return out
+
+    def keep(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        index = len(self.long) + np.arange(len(hashes))
+        self.flat, self.long = np.concatenate([self.flat, ids]), np.concatenate([self.long, lengths])
+        self.at = np.cumsum(self.long) - self.long
+        level = int(len(self.levels[1][0]) + len(hashes) <= RECENT)
+        parts = [self.levels[1], (hashes, index)] if level else [*self.levels, (hashes, index)]
+        keys, index = (np.concatenate(x) for x in zip(*parts))
+        by = np.argsort(keys)
+        self.levels[level] = keys[by], index[by]
+        if not level:
+            self.levels[1] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def indices(self, words: Words) -> np.ndarray:
+        """The index of every word; new ones are learnt."""
+        index = self.find(words.hashes)
+        unknown = np.flatnonzero(index < 0)
+        if len(unknown):
+            new, first = np.unique(words.hashes[unknown], return_index=True)
+            if len(self.long) + 2 * len(new) > REMEMBERED:
+                self.reset()
+                unknown = np.arange(len(index))
+                new, first = np.unique(words.hashes, return_index=True)
+            self.learn(words, new, unknown[first])
+            index[unknown] = self.find(words.hashes[unknown])
+        return index
+
+    def learn(self, words: Words, new: np.ndarray, place: np.ndarray) -> None:
+        """Remembers words by hash and by where they are."""
+        raw = words.data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[place].tolist(), words.ends[place].tolist())]
+        # One final stop or comma doesn't change the ids of what stands before it.
+        tails = [t[-1] if t[-1] in ".," and t[-2:-1].isalpha() else "" for t in texts]
+        stems = [t[:-1] if tail else t for t, tail in zip(texts, tails)]
+        stem_hash, where = np.unique(hashes_of([*stems, ".", ","]), return_inverse=True)
+        example = np.zeros(len(stem_hash), np.int64)
+        example[where] = np.arange(len(where))
+        missing = np.flatnonzero(self.find(stem_hash) < 0)
+        every = [*stems, ".", ","]
+        self.encode_words(stem_hash[missing], [every[i] for i in example[missing].tolist()])
+        index = self.find(stem_hash)[where]
+        tailed = np.flatnonzero(np.array([bool(t) for t in tails]))
+        if len(tailed):
+            both = np.stack([index[tailed], np.where(np.array([tails[i] == "." for i in tailed.tolist()]), index[-2], index[-1])], axis=1)
             lengths = self.long[both]
-            first = len(self.long)
-            self.flat = np.concatenate([self.flat, self.flat[arrays.ragged(self.at[both].ravel(), lengths.ravel())]])
-            self.long = np.concatenate([self.long, lengths.sum(axis=1)])
-            self.at = np.cumsum(self.long) - self.long
-            known.update((w, first + i) for i, (w, _, _) in enumerate(forms))
+            self.keep(new[tailed], self.flat[arrays.ragged(self.at[both].ravel(), lengths.ravel())], lengths.sum(axis=1))
 
-    def add_encoded(self, words: list[str]) -> None:
+    def encode_words(self, hashes: np.ndarray, words: list[str]) -> None:
         """Remembers words by the tokenizer's own ids, told apart by where each id begins."""
-        flat, long, first = [self.flat], [self.long], len(self.long)
+        flat, long = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        self.tokenizer.encode_special_tokens = True  # in small letters, a word may read like a special token
         for k in range(0, len(words), 8192):
             part = words[k : k + 8192]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            where = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            long.append(np.bincount(np.searchsorted(ends, where, "right"), minlength=len(part)))
+            long.append(np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(part)))
             flat.append(np.array(found.ids, np.uint32))
-        self.flat, self.long = np.concatenate(flat), np.concatenate(long)
-        self.at = np.cumsum(self.long) - self.long
-        self.known.update((w, first + i) for i, w in enumerate(words))
+        self.keep(hashes, np.concatenate(flat), np.concatenate(long))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each text closed by the end id, and how many each has."""
-        split = [[""] if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        index = np.fromiter(chain.from_iterable(chain(map(self.known.__getitem__, s), (1,)) for s in split), np.int64)
+        words = Words(arrays.folded(data), offsets)
+        index = np.insert(self.indices(words), words.row_at[1:], 0)
         lengths = self.long[index]
         ids = self.flat[arrays.ragged(self.at[index], lengths)]
-        per_text = np.add.reduceat(lengths, np.cumsum([0, *(len(s) + 1 for s in split[:-1])])) if texts else np.zeros(0, np.int64)
-        if any(s in t for t in texts for s in self.special):
-            parts = np.split(ids, np.cumsum(per_text)[:-1])
-            for i, t in enumerate(texts):
-                if any(s in t for s in self.special):
-                    parts[i] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, self.end_id], np.uint32)
-            ids, per_text = np.concatenate(parts), np.array([len(p) for p in parts])
-        return ids, per_text
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        counts = np.diff(total[np.concatenate([[0], np.cumsum(words.per_row + 1)])])
+        raw = data.tobytes()
+        if any(s in raw for s in self.special):
+            self.tokenizer.encode_special_tokens = False
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                if any(s in raw[a:b] for s in self.special):
+                    parts[i] = np.array([*self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, self.end_id], np.uint32)
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, counts
+
+
+def hashes_of(texts: list[str]) -> np.ndarray:
+    """Hashes of whole strings without white space, as words have them."""
+    data, offsets = arrays.utf8(pa.array(texts, pa.large_string()))
+    return Words(data, offsets, spaces=np.zeros(256, bool)).hashes
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
@@ -129,11 +172,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = arrays.once_per_process(("WordEncoder", tokenizer_path, end_id), lambda: WordEncoder(tokenizer_path, end_id))
         for batch in batches:
-            _, offsets = arrays.utf8(batch.column(1))
+            data, offsets = arrays.utf8(batch.column(1))
             for first, last in arrays.chunks(offsets):
                 keys = batch.column(0).slice(first, last - first).to_pylist()
-                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
-                ids, counts = encoder.encode(texts)
+                ids, counts = encoder.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 begin = np.cumsum(counts) - counts
                 pieces = -(-counts // capacity)
                 row = np.repeat(np.arange(len(keys)), pieces)

@@ -22,8 +22,10 @@ ORACLE_SQL = None
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that language identification rejects go."""
-    known = langid.identify(docs, langid.fit(docs.where(langid.remainder("doc_id", 4) != 2)))
-    return known.where("accepted").select(*docs.columns)
+    models = langid.fit(docs.where(langid.remainder("doc_id", 4) != 2))
+    # The row travels as one column, so that no column of the documents clashes with a result.
+    known = langid.identify(docs.select(F.col("text"), F.struct(*docs.columns).alias("row")), models)
+    return known.where("accepted").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
