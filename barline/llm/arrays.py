@@ -9,6 +9,7 @@ is never cut.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -32,6 +33,39 @@ def once_per_process(key: object, make: Callable[[], object]) -> object:
     return home[key]
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system, so that idle Python workers of an executor stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a task, then ``release_memory``."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def lean_group(work: Callable) -> Callable:
+    """``work`` over one group, then ``release_memory``."""
+
+    def run(group):
+        try:
+            return work(group)
+        finally:
+            release_memory()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of uint64 values (the public splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -176,7 +176,7 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, r
                     rows = [(batch.column(0)[first + row].as_py(), index.ids[item], value, word) for (row, item), (value, word) in found.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(OUT), OUT)], schema=OUT)
 
-        return picked.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+        return picked.mapInArrow(arrays.lean(run), "doc_id long, item_id long, similarity double, first_word long")
 
     found = search(0)
     for block in range(1, blocks):

@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from barline.llm import arrays
+
 #: Labelled rows of each class that a classifier is fitted on, about.
 SAMPLE_ROWS = 1500
 #: Longer texts are not used for fitting (they are scored whole).
@@ -41,5 +43,5 @@ def fitted(rows: DataFrame, fit: Callable[[list[str], list[int], list[float]], b
         part = part.sort_values(["key", "text"])
         return pd.DataFrame({"model": [fit(part["text"].tolist(), part["label"].tolist(), part["weight"].tolist())]})
 
-    found = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "model binary").collect()
+    found = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(arrays.lean_group(learn), "model binary").collect()
     return bytes(found[0]["model"]) if found else b""

@@ -33,7 +33,9 @@ from barline.llm import arrays
 #: Characters in an n-gram.
 ORDER = 4
 #: Characters of labelled text per language that a model is fitted to, about (a bound on the fit, never on what is scored).
-SAMPLE_CHARS = 2_500_000
+SAMPLE_CHARS = 1_500_000
+#: Bytes of text that are scored at a time.
+CHUNK_BYTES = 1 << 20
 #: Languages that a model may have.
 MAX_LANGUAGES = 500
 #: Added to the calibrated limit, so that texts of two languages or with much junk stay.
@@ -237,7 +239,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
         part = part.sort_values(["key", "text"])
         return pd.DataFrame({"lang": [part["lang"].iloc[0]], "model": [fit_language(part["text"].tolist(), order)]})
 
-    return {r["lang"]: bytes(r["model"]) for r in picked.groupBy("lang").applyInPandas(learn, "lang string, model binary").collect()}
+    return {r["lang"]: bytes(r["model"]) for r in picked.groupBy("lang").applyInPandas(arrays.lean_group(learn), "lang string, model binary").collect()}
 
 
 OUT = "lang_pred string, score double, cross_entropy double, accepted boolean"
@@ -256,7 +258,7 @@ def identify(docs: DataFrame, fitted: dict[str, bytes], text_col: str = "text",
         identifier = Identifier(models.value, order)
         for batch in batches:
             _, offsets = arrays.utf8(batch.column(text_at).cast(pa.string()))
-            for first, last in arrays.chunks(offsets):
+            for first, last in arrays.chunks(offsets, CHUNK_BYTES):
                 part = batch.slice(first, last - first)
                 rows = identifier.identify([t or "" for t in part.column(text_at).to_pylist()])
                 made = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
@@ -265,7 +267,7 @@ def identify(docs: DataFrame, fitted: dict[str, bytes], text_col: str = "text",
     schema = T.StructType(list(base.schema.fields))
     for name, kind in (f.split(" ") for f in OUT.split(", ")):
         schema = schema.add(name, kind)
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(arrays.lean(run), schema)
 
 
 def remainder(id_col: str, modulus: int) -> Column:

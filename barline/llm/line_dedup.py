@@ -187,8 +187,8 @@ def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         if held:
             yield from out([np.concatenate(c) for c in zip(*held)])
 
-    rows = lines.where(F.length("line") >= min_chars).select("h", "line").mapInArrow(emit, "key long, index boolean, h long, sign long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    rows = lines.where(F.length("line") >= min_chars).select("h", "line").mapInArrow(arrays.lean(emit), "key long, index boolean, h long, sign long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(arrays.lean(meet), "a long, b long").distinct()
 
 
 def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -204,7 +204,7 @@ def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
             keep = pa.array([within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(arrays.lean(verify), "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -135,7 +135,7 @@ def _dealt(docs: DataFrame, held_out: Column, fold: Column, blocks: int, folds:
     key = F.xxhash64(F.lit(11), F.col(id_col))
     block = F.when(fold, F.lit(blocks) + F.pmod(key, F.lit(folds))).otherwise(F.pmod(key, F.lit(blocks)))
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (~held_out).alias("training"), F.xxhash64(id_col, text_col).alias("text_key"), block.cast("long").alias("block"))
-    return picked.mapInArrow(deal, "block long, payload binary")
+    return picked.mapInArrow(arrays.lean(deal), "block long, payload binary")
 
 
 def _counts(table: pa.Table, ranges: int, blocks: int) -> pa.Table:
@@ -230,7 +230,7 @@ def score(docs: DataFrame, held_out: Column, fold: Column, id_col: str = "doc_id
         return _dealt(rows, held_out, fold, blocks, folds, id_col, text_col)
 
     sent = dealt(docs).groupBy("block").applyInArrow(lambda t: _counts(t, ranges, blocks), "range long, block long, fold boolean, payload binary")
-    answers = checkpointed(sent.groupBy("range").applyInArrow(_owner, ANSWERS))
+    answers = checkpointed(sent.groupBy("range").applyInArrow(arrays.lean_group(_owner), ANSWERS))
     sums = answers.where(F.col("block").isNull()).agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("fold_tokens").alias("fold_tokens")).first()
     types, tokens, fold_tokens = sums["types"] or 0, sums["tokens"] or 0, sums["fold_tokens"] or 0
     replies = answers.where(F.col("block").isNotNull()).select("block", "range", "payload")

@@ -138,7 +138,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy1", "copy2", "bits1", "bits2", "bands"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, copy1 long, copy2 long, bits1 long, bits2 long, bands array<long>")
+    return picked.mapInArrow(arrays.lean(run), "doc_id long, copy1 long, copy2 long, bits1 long, bits2 long, bands array<long>")
 
 
 def weighted_jaccard(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
@@ -176,7 +176,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
                 keep = pa.array(found >= similarity)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(found).filter(keep)], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, similarity double")
+    return both.select("a", "b", "left", "right").mapInArrow(arrays.lean(run), "a long, b long, similarity double")
 
 
 def _close(x: str, y: str) -> Column:
@@ -265,7 +265,7 @@ def block_links(members: DataFrame, docs: DataFrame, similarity: float = SIMILAR
         return pa.table({"a": pa.array(id_a[i[kept]]), "b": pa.array(id_b[j[kept]])})
 
     rows = sides[0].unionByName(sides[1]).join(texts, "id")
-    return checkpointed(rows.groupBy("group", "left", "right").applyInArrow(compare, "a long, b long"))
+    return checkpointed(rows.groupBy("group", "left", "right").applyInArrow(arrays.lean_group(compare), "a long, b long"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

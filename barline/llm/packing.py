@@ -195,7 +195,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return picked.mapInArrow(arrays.lean(cut), "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -248,4 +248,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
     schema = pieces.drop("sequence_id", "offset").schema.add("sequence_id", "long").add("offset", "long")
     keyed = pieces.drop("sequence_id", "offset").withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
-    return keyed.groupBy("pack_group").applyInPandas(fill, schema)
+    return keyed.groupBy("pack_group").applyInPandas(arrays.lean_group(fill), schema)

@@ -137,4 +137,4 @@ def grade(docs: DataFrame, model: bytes, good: int = GOOD, least_chance: float =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *made], names=["doc_id", "quality_score", "expected_grade", "p_good", "kept"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, quality_score double, expected_grade double, p_good double, kept boolean")
+    return picked.mapInArrow(arrays.lean(run), "doc_id long, quality_score double, expected_grade double, p_good double, kept boolean")

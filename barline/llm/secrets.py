@@ -23,6 +23,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from barline.llm import arrays
+
 KINDS = ("assign", "access", "hex", "entropy")
 
 # Fixed patterns of the base.
@@ -148,4 +150,4 @@ def scan(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allowed:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(OUT), OUT)], schema=OUT)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    return picked.mapInArrow(arrays.lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")

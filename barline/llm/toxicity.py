@@ -204,4 +204,4 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, score double, predicted int")
+    return picked.mapInArrow(arrays.lean(run), "doc_id long, score double, predicted int")
