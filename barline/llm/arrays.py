@@ -13,19 +13,19 @@ import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one chunk holds at most, unless a single text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
 
-def once_per_process(key: object, make: Callable[[], object]) -> object:
+def once_per_process(key: object, make: Callable[[], Any]) -> Any:
     """``make()``, kept for later tasks of this Python worker (functions sent by value have no lasting globals)."""
     home = sys.modules.setdefault("_barline_kept", types.ModuleType("_barline_kept")).__dict__
     if key not in home:
@@ -93,12 +93,14 @@ LOWER_VALUES = BYTE_VALUES[LOWER]
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
+    kept = once_per_process("powers", dict)
+    have = kept.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, CHUNK_BYTES + 1024), base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        _powers[base] = have
+        if n <= 16 * CHUNK_BYTES:  # those for a very long text are not held
+            kept[base] = have
     return have[:n]
 
 

@@ -35,7 +35,7 @@ ORDER = 4
 #: Characters of labelled text per language that a model is fitted to, about (a bound on the fit, never on what is scored).
 SAMPLE_CHARS = 1_500_000
 #: Bytes of text that are scored at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Languages that a model may have.
 MAX_LANGUAGES = 500
 #: Added to the calibrated limit, so that texts of two languages or with much junk stay.
@@ -44,13 +44,11 @@ UNDETERMINED = "und"
 
 _START = 2
 _multipliers = np.array([pow(arrays._BASE, 2 * i + 1, 1 << 64) for i in range(16)], np.uint64)
-_letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
-    return _letters[0]
+    """Whether each code point is a letter."""
+    return arrays.once_per_process("letters", lambda: np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
 
 
 def codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
