@@ -15,7 +15,7 @@ from barline.llm.lineage import checkpointed
 from barline.llm.op10_packing import TOKENIZER
 
 #: Pieces in a packing group; smaller than the operator's own setting because the ids travel with them.
-GROUP_PIECES = 4096
+GROUP_PIECES = 1024
 #: SQL does not express models, edit joins and signatures; the stages are tested against brute force.
 ORACLE_SQL = None
 
