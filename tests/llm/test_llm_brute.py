@@ -236,6 +236,14 @@ def test_entropy_windows():
     assert len(found) == 1
 
 
+def test_secrets_after_an_equals_sign():
+    scanner, secret = secrets.Scanner(), "Zk3v9QpL7xT2mW8rY4bN6cJ1"
+    for before in ("AUTH=", "private_key=", "export X=", "https://a.example/b?sig=", "https://a.example/b?v=1&sig=", "X==", "X = ", "X: ", "(", "X='", "é"):
+        x = f"{before}{secret} and more"
+        assert scanner.extra(x, scanner.base(x)) == [(len(before), 3, len(before) + len(secret))], before
+    assert scanner.extra("id=123e4567-e89b-12d3-a456-426614174000 n=12345678901234567890123 w=plainlowercasewordsruntogether", []) == []
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     made = langid.identify(docs.where("doc_id % 3 = 0"), langid.fit(docs.where("doc_id % 3 != 0")))
