@@ -1,15 +1,18 @@
-"""Benchmark decontamination by SimHash windows, multi-index Hamming search and exact verification.
-
-A window's fingerprint has a bit for each of 64 lanes: whether most of its words
-have that bit set in their hash. Windows are as long as the items, rounded down to
-a few sizes, and begin at every fourth word; an item is fingerprinted at its first
-four words, so whatever the place of a passage, one window lines up with the item.
-Sums for all windows are differences of running sums.
-
-A fingerprint is cut into RADIUS + 1 blocks. Two fingerprints within RADIUS bits
-agree in a block at least, so looking up every block in a table of the items finds
-all of them. Each find is verified by the weighted (multiset) Jaccard similarity
-of five-word shingles between the item and the item-sized window of the whole text.
+"""Benchmark decontamination by an exact shingle filter and exact verification.
+
+A document holds an item if an item-sized window of the document's words has a
+weighted (multiset) Jaccard similarity of 0.8 or more with the item, over five-word
+shingles. Windows begin at every word and end with the text at the latest, so a text
+shorter than the item is a window as a whole.
+
+Of an item with shingles of total weight m, such a window has ``need`` = 0.8 m at
+least. It therefore holds one of any set of the item's shingles that weighs more
+than m - need. Such a set of each item, those that the fewest items have, is looked
+up in the shingles of the documents; a pair that meets in none of them cannot reach
+the similarity. Of the pairs that meet, all windows are compared: an occurrence of a
+shingle counts in the windows that begin at it or less than a window before it, but
+after the occurrence that the item's own number of this shingle lies back. The
+number shared by every window is then a running sum, so no window is left out.
 
 Words are runs of letters and digits, in small letters (A-Z and
 the Latin-1 capitals are folded). Defined cases: null, empty
@@ -28,15 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from barline.llm import arrays
 from barline.llm.arrays import Words, ragged
-from barline.llm.near_dup import shingles, weighted_jaccard
+from barline.llm.near_dup import SHINGLE, shingles
 
-RADIUS = 7
 SIMILARITY = 0.8
-STRIDE = 4
-#: Sizes of windows in words; items take the largest that leaves room for every place modulo the stride.
-SIZES = tuple(sorted({STRIDE * max(2, round(8 * 1.16**k / STRIDE)) for k in range(60)}))
-#: Shorter items are fingerprinted whole, against windows at every word.
-SHORT = 8 + STRIDE - 1
 #: Bytes of item texts that are sent to all executors at once; more items are taken in blocks of that size.
 BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
@@ -49,111 +46,93 @@ def words_of(texts: pa.Array) -> Words:
     return Words(arrays.folded(data), offsets, spaces=_SPLIT)
 
 
-def running(hashes: np.ndarray, step: int) -> np.ndarray:
-    """Running sums of the 64 bit lanes before word 0, step, 2 * step, ..; differences are right modulo 2**16."""
-    whole = len(hashes) // step
-    lanes = np.unpackbits(hashes[: whole * step].view(np.uint8).reshape(-1, 8), axis=1)
-    lanes = lanes.reshape(whole, step, 64).sum(axis=1, dtype=np.uint16) if step > 1 else lanes.astype(np.uint16)
-    total = np.zeros((whole + 1, 64), np.uint16)
-    np.cumsum(lanes, axis=0, dtype=np.uint16, out=total[1:])
-    return total
-
-
-def fingerprints(total: np.ndarray, size: int, step: int) -> np.ndarray:
-    """Of all windows of ``size`` words at multiples of ``step``."""
-    n = size // step
-    if len(total) <= n:
-        return np.zeros(0, np.uint64)
-    sums = total[n:] - total[:-n]
-    return np.packbits(sums > size // 2, axis=1).view(np.uint64).ravel()
-
-
 class Index:
-    """Fingerprints of items by window size, with a lookup table for each block."""
+    """Shingles of items, and for each length of shingle a table of those by which an item is found."""
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS):
-        self.radius = radius
+    def __init__(self, ids: list[int], texts: list[str], similarity: float = SIMILARITY):
+        self.similarity = similarity
         words = words_of(pa.array(texts, pa.large_string()))
-        row, key, number = shingles(words)
-        at = np.searchsorted(row, np.arange(len(texts) + 1))
+        row, self.key, self.number = shingles(words)
         self.ids = ids
-        self.length = words.per_row
-        self.bags = [(key[a:b], number[a:b]) for a, b in zip(at[:-1], at[1:])]
-        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for i, n in enumerate(self.length.tolist()):
-            own = words.hashes[words.row_at[i] : words.row_at[i + 1]]
-            if not n:
-                continue
-            if n < SHORT:
-                found.setdefault((n, 1), []).append((int(fingerprints(running(own, 1), n, 1)[0]), i, 0))
-            else:
-                size = max(s for s in SIZES if s <= n - STRIDE + 1) if n - STRIDE + 1 <= SIZES[-1] else SIZES[-1]
-                for offset in range(STRIDE):
-                    found.setdefault((size, STRIDE), []).append((int(fingerprints(running(own[offset : offset + size], STRIDE), size, STRIDE)[0]), i, offset))
-        self.sizes = {}
-        cuts = np.linspace(0, 64, radius + 2).astype(int)
-        for shape, entries in found.items():
-            prints = np.array([e[0] for e in entries], np.uint64)
-            blocks = []
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                mask = np.uint64((1 << int(high - low)) - 1)
-                value = ((prints >> np.uint64(low)) & mask).astype(np.int64)
-                by = np.argsort(value, kind="stable")
-                bounds = np.searchsorted(value[by], np.arange((1 << int(high - low)) + 1))
-                blocks.append((np.uint64(low), mask, by, bounds[:-1], np.diff(bounds)))
-            self.sizes[shape] = (prints, np.array([e[1] for e in entries]), np.array([e[2] for e in entries]), blocks)
-
-    def near(self, shape: tuple[int, int], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, entry) within the radius."""
-        own, _, _, blocks = self.sizes[shape]
-        windows, entries = [], []
-        for low, mask, by, begin, many in blocks:
-            value = ((prints >> low) & mask).astype(np.int64)
-            count = many[value]
-            hit = np.flatnonzero(count)
-            n = count[hit]
-            entry = by[ragged(begin[value[hit]], n)]
-            window = np.repeat(hit, n)
-            close = np.bitwise_count(prints[window] ^ own[entry]) <= self.radius
-            windows.append(window[close])
-            entries.append(entry[close])
-        both = np.unique(np.concatenate(windows) * len(own) + np.concatenate(entries))
-        return both // len(own), both % len(own)
-
-    def matches(self, words: Words, similarity: float) -> dict[tuple[int, int], tuple[float, int]]:
+        self.at = np.searchsorted(row, np.arange(len(texts) + 1))
+        self.shingle = np.minimum(words.per_row, SHINGLE)
+        self.mass = np.bincount(row, self.number, len(texts)).astype(np.int64)
+        # Rounded down, since the similarity itself is decided on the windows.
+        self.need = np.maximum(1, np.ceil(similarity * self.mass - 1e-6).astype(np.int64))
+        _, same, owners = np.unique(self.key, return_inverse=True, return_counts=True)
+        by = np.lexsort((self.key, owners[same], row))
+        number = self.number[by]
+        before = np.cumsum(number) - number
+        before -= before[self.at[row[by]]] if len(by) else 0
+        by = by[before <= (self.mass - self.need)[row[by]]]
+        self.tables = {}
+        for n in np.unique(self.shingle[row[by]]).tolist():
+            own = by[self.shingle[row[by]] == n]
+            own = own[np.argsort(self.key[own], kind="stable")]
+            keys, first, many = np.unique(self.key[own], return_index=True, return_counts=True)
+            shift = np.uint64(64 - min(24, max(10, int(len(keys)).bit_length() + 5)))
+            marks = np.zeros(1 << (64 - int(shift)), bool)
+            marks[keys >> shift] = True
+            self.tables[n] = (shift, marks, keys, first, many, row[own])
+
+    def matches(self, words: Words) -> dict[tuple[int, int], tuple[float, int]]:
         """(row, item) -> similarity and first word of the best window."""
         found: dict[tuple[int, int], tuple[float, int]] = {}
         rows = words.rows()
-        sums: dict[int, np.ndarray] = {}
-        for size, step in self.sizes:
-            if step not in sums:
-                sums[step] = running(words.hashes, step)
-            prints = fingerprints(sums[step], size, step)
-            place = np.arange(len(prints)) * step
-            inside = np.flatnonzero(rows[place] == rows[place + size - 1]) if len(prints) else place
-            window, entry = self.near((size, step), prints[inside])
-            _, items, offsets, _ = self.sizes[size, step]
-            for w, e in zip(inside[window].tolist(), entry.tolist()):
-                item, row = int(items[e]), int(rows[w * step])
-                low, high = int(words.row_at[row]), int(words.row_at[row + 1])
-                for shift in (0, -1, 1):
-                    first = max(low, w * step - int(offsets[e]) + shift)
-                    last = min(high, first + int(self.length[item]))
-                    value = self.similarity(item, words.hashes[first:last])
-                    if value >= similarity and value > found.get((row, item), (0.0, 0))[0]:
-                        found[row, item] = (value, first - low)
+        for n, (shift, marks, keys, first, many, items) in self.tables.items():
+            grams = arrays.ngrams(words.hashes, n)
+            place = np.flatnonzero(marks[grams >> shift])
+            place = place[rows[place] == rows[place + n - 1]]
+            at = np.minimum(np.searchsorted(keys, grams[place]), len(keys) - 1)
+            hit = keys[at] == grams[place]
+            place, at = place[hit], at[hit]
+            item = items[ragged(first[at], many[at])]
+            place = np.repeat(place, many[at])
+            by = np.lexsort((place, item, rows[place]))
+            place, item = place[by], item[by]
+            row = rows[place]
+            new = np.ones(len(place), bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+            begin = np.flatnonzero(new)
+            end = np.append(begin, len(place))[1:]
+            for a, b in zip(begin.tolist(), end.tolist()):
+                r, i, m = int(row[a]), int(item[a]), int(self.mass[item[a]])
+                top = int(words.row_at[r + 1]) - n + 1
+                low = max(int(words.row_at[r]), int(place[a]) - m + 1)
+                high = min(top, int(place[b - 1]) + m)
+                best = self.best(i, grams[low:high], top - low)
+                if best is not None:
+                    found[r, i] = (best[0], low + best[1] - int(words.row_at[r]))
         return found
 
-    def similarity(self, item: int, hashes: np.ndarray) -> float:
-        grams = arrays.ngrams(hashes, min(5, max(len(hashes), 1)))
-        key, number = np.unique(grams, return_counts=True)
-        return weighted_jaccard(*self.bags[item], key, number)
+    def best(self, item: int, grams: np.ndarray, left: int) -> tuple[float, int] | None:
+        """Similarity and start of the best window of an item over consecutive shingles, of which the text has ``left`` to its end."""
+        m, need = int(self.mass[item]), int(self.need[item])
+        key, number = self.key[self.at[item] : self.at[item + 1]], self.number[self.at[item] : self.at[item + 1]]
+        which = np.minimum(np.searchsorted(key, grams), len(key) - 1)
+        place = np.flatnonzero(key[which] == grams)
+        if len(place) < need or (place[need - 1 :] - place[: len(place) - need + 1]).min() >= m:
+            return None
+        which = which[place]
+        # Of each occurrence: where the occurrence of the same shingle lies that fills the item's number without it.
+        by = np.argsort(which, kind="stable")
+        rank = np.arange(len(by))
+        back = rank - number[which[by]]
+        full = (back >= 0) & (which[by][back] == which[by])
+        lowest = np.zeros(len(by), np.int64)
+        lowest[by[full]] = place[by[back[full]]] + 1
+        lowest = np.maximum(lowest, place - m + 1)
+        steps = np.bincount(lowest, minlength=len(grams) + 1) - np.bincount(place + 1, minlength=len(grams) + 1)
+        shared = np.cumsum(steps[:-1])
+        value = shared / (m + np.minimum(m, left - np.arange(len(grams))) - shared)
+        first = int(value.argmax())
+        return (float(value[first]), first) if value[first] >= self.similarity else None
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())])
 
 
-def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity and first_word of the best window, for every item that a document holds.
 
     Items are read in blocks of a bounded size; every block is held against all documents.
@@ -169,10 +148,10 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, r
         sent = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(*sent.value, radius)
+            index = Index(*sent.value, similarity)
             for batch in batches:
                 for first, _, words in arrays.words_in_chunks(batch.column(1), spaces=_SPLIT, limit=CHUNK_BYTES, fold=True):
-                    found = index.matches(words, similarity)
+                    found = index.matches(words)
                     rows = [(batch.column(0)[first + row].as_py(), index.ids[item], value, word) for (row, item), (value, word) in found.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(OUT), OUT)], schema=OUT)
 

@@ -153,6 +153,47 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_decontamination_of_cut_and_edited_passages(spark):
+    """All pairs and similarities of brute force, near 0.8 too and in texts shorter than the item."""
+    rng = random.Random(11)
+    vocabulary = ["w%d" % i for i in range(400)]
+    items = [" ".join(rng.choices(vocabulary[: 400 if k % 4 else 6], k=n)) for k, n in enumerate((1, 2, 4, 5, 7, 11, 14, 20, 28, 40, 64, 90, 130))]
+    docs = []
+    for i in range(600):
+        w = items[i % len(items)].split()
+        some, at = rng.randrange(len(w) // 5 + 2), rng.randrange(len(w))
+        kind = i // len(items) % 5
+        if kind == 0:
+            w = w[some:]
+        elif kind == 1:
+            w = w[: len(w) - some]
+        elif kind == 2:
+            w[at : at + some // 2] = rng.choices(vocabulary, k=some // 2)
+        elif kind == 3:
+            w[at : at + some // 2] = []
+        else:
+            w[at:at] = rng.choices(vocabulary, k=some // 2)
+        around = rng.choice((0, 0, 3, 60))
+        docs.append(" ".join([*rng.choices(vocabulary, k=around), *w, *rng.choices(vocabulary, k=rng.choice((0, around)))]))
+    want, whole = {}, set()
+    for k, item in enumerate(items):
+        own, n = bag(item), len(item.split())
+        for i, x in enumerate(docs):
+            w = x.split()
+            for p in range(len(w)):
+                value = jaccard(bag(" ".join(w[p : p + n])), own)
+                if value >= 0.8:
+                    want[i, k] = max(want.get((i, k), 0.0), value)
+                    if p < max(1, len(w) - n + 1):
+                        whole.add((i, k))
+    got = decontaminate.matches(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    rows = {(r.doc_id, r.item_id): r for r in got.collect()}
+    assert {k: r.similarity for k, r in rows.items()} == want and whole <= set(rows)
+    assert sum(1 for v in want.values() if v < 0.85) > 20 and sum(1 for i, k in whole if len(docs[i].split()) < len(items[k].split())) > 20
+    for (i, k), r in rows.items():
+        assert jaccard(bag(" ".join(docs[i].split()[r.first_word :][: len(items[k].split())])), bag(items[k])) == r.similarity
+
+
 def test_lm_counts(corpus):
     df, docs = corpus
     low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
