@@ -3,18 +3,24 @@
 Bars come from ticks by an event-time window with a watermark. Indicators keep a
 small versioned state per symbol in Spark's state store. Bars of a micro-batch are
 taken in order of time; bars at or before the last one seen are dropped as late.
+
+An indicator of several values has their ``names``; its columns are its own name with
+each of them as ``name_suffix`` (without a suffix for an empty one).
 """
 
 from __future__ import annotations
 
 import json
+import math
+import statistics
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barline.errors import StateVersionError, window
+from barline.errors import InvalidParameter, StateVersionError, window
+from barline.functions.windows import EPSILON
 
 VERSION = 1
 
@@ -41,7 +47,9 @@ class Average:
         return {"count": 0, "sum": 0.0, "value": None}
 
     def update(self, state: dict, bar: pd.Series) -> float | None:
-        x = float(bar["close"])
+        return self.add(state, float(bar["close"]))
+
+    def add(self, state: dict, x: float) -> float | None:
         state["count"] += 1
         if state["count"] <= self.n:
             state["sum"] += x
@@ -66,6 +74,133 @@ class Rolling:
         return self.of(state["last"]) if len(state["last"]) == self.n else None
 
 
+def kept(state: dict, name: str, x: float | None, n: int) -> list[float] | None:
+    """The last n values with ``x``, once there are n of them that are defined."""
+    state[name] = [*state.get(name, []), x][-n:]
+    return state[name] if len(state[name]) == n and None not in state[name] else None
+
+
+def mean(values: list[float] | None) -> float | None:
+    return None if values is None else math.fsum(values) / len(values)
+
+
+def prices(bar: pd.Series) -> tuple[float, float, float]:
+    return float(bar["high"]), float(bar["low"]), float(bar["close"])
+
+
+class Sma(Rolling):
+    def __init__(self, n: int = 14):
+        super().__init__(n, mean)
+
+
+class Wma(Rolling):
+    """Weights 1 for the oldest up to n for the newest close."""
+
+    def __init__(self, n: int = 14):
+        super().__init__(n, lambda x: math.fsum((i + 1) * v for i, v in enumerate(x)) / (n * (n + 1) / 2))
+
+
+class Roc(Rolling):
+    """Change over n bars in percent; undefined from 0."""
+
+    def __init__(self, n: int = 12):
+        super().__init__(window(n) + 1, lambda x: 100 * (x[-1] - x[0]) / x[0] if abs(x[0]) >= EPSILON else None)
+
+
+class LogReturn:
+    """Logarithm of a column's change, or with ``log1p`` (volumes) the change of log(1 + value); ``fill`` where undefined."""
+
+    def __init__(self, column: str = "close", log1p: bool = False, fill: float | None = None):
+        self.column, self.log1p, self.fill = column, log1p, fill
+
+    def start(self) -> dict:
+        return {"before": None}
+
+    def update(self, state: dict, bar: pd.Series) -> float | None:
+        x, before, value = float(bar[self.column]), state["before"], None
+        if self.log1p:
+            x = math.log1p(x) if x > 0 else 0.0
+            value = x - before if before is not None else None
+        elif before is not None and x > 0 and before > 0:
+            value = math.log(x / before)
+        state["before"] = x
+        return self.fill if value is None else value
+
+
+class Macd:
+    """macd, its signal and the difference."""
+
+    names = ("", "signal", "histogram")
+
+    def __init__(self, fast: int = 12, slow: int = 26, signal: int = 9):
+        if window(fast) >= window(slow):
+            raise InvalidParameter("fast must be below slow")
+        self.fast, self.slow, self.signal = Average(fast), Average(slow), Average(signal)
+
+    def start(self) -> dict:
+        return {"fast": self.fast.start(), "slow": self.slow.start(), "signal": self.signal.start()}
+
+    def update(self, state: dict, bar: pd.Series) -> tuple:
+        fast, slow = self.fast.update(state["fast"], bar), self.slow.update(state["slow"], bar)
+        if fast is None or slow is None:
+            return None, None, None
+        signal = self.signal.add(state["signal"], fast - slow)
+        return fast - slow, signal, None if signal is None else fast - slow - signal
+
+
+class Adx:
+    """adx and the directional indicators."""
+
+    names = ("", "plus_di", "minus_di")
+
+    def __init__(self, n: int = 14):
+        if window(n) < 2:
+            raise InvalidParameter("adx needs a window of 2 or more")
+        self.n, self.average = n, Average(n, "wilder")
+
+    def start(self) -> dict:
+        return {"count": 0, "before": None, "sums": [0.0, 0.0, 0.0], "adx": self.average.start()}
+
+    def update(self, state: dict, bar: pd.Series) -> tuple:
+        high, low, close = prices(bar)
+        new = [high - low, 0.0, 0.0]
+        if state["before"] is not None:
+            h, l, c = state["before"]
+            up, down = high - h, l - low
+            new = [max(high - low, abs(high - c), abs(low - c)), up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0]
+        state["before"] = [high, low, close]
+        state["count"] += 1
+        if state["count"] <= self.n:
+            state["sums"] = [a + b for a, b in zip(state["sums"], new)]
+            return None, None, None
+        if state["count"] > self.n + 1:  # the bar after the first n is left out
+            state["sums"] = [a * (1 - 1 / self.n) + b for a, b in zip(state["sums"], new)]
+        reach, *moves = state["sums"]
+        plus, minus = (100 * x / reach if abs(reach) >= EPSILON else 0.0 for x in moves)
+        return self.average.add(state["adx"], 100 * abs(plus - minus) / (plus + minus) if plus + minus > EPSILON else 0.0), plus, minus
+
+
+class Aroon:
+    """Up, down and oscillator over n + 1 bars; of equal extremes the latest counts."""
+
+    names = ("up", "down", "oscillator")
+
+    def __init__(self, n: int = 25):
+        self.n = window(n)
+
+    def start(self) -> dict:
+        return {}
+
+    def update(self, state: dict, bar: pd.Series) -> tuple:
+        high, low, _ = prices(bar)
+        highs, lows = kept(state, "high", high, self.n + 1), kept(state, "low", low, self.n + 1)
+        if highs is None or lows is None:
+            return None, None, None
+        up = 100.0 * (self.n - highs[::-1].index(max(highs))) / self.n
+        down = 100.0 * (self.n - lows[::-1].index(min(lows))) / self.n
+        return up, down, up - down
+
+
 class Rsi:
     """Relative strength; gains and losses are averaged from the first bar's 0 on."""
 
@@ -145,8 +280,192 @@ class Vwap:
         return state["value"]
 
 
+class RollingVwap:
+    """Volume-weighted typical price over n bars; without volume the last value stays."""
+
+    def __init__(self, n: int):
+        self.n = window(n)
+
+    def start(self) -> dict:
+        return {"value": None}
+
+    def update(self, state: dict, bar: pd.Series) -> float | None:
+        amount = float(bar["volume"])
+        money, volume = kept(state, "money", sum(prices(bar)) / 3 * amount, self.n), kept(state, "volume", amount, self.n)
+        if money is not None and volume is not None and abs(math.fsum(volume)) >= EPSILON:
+            state["value"] = math.fsum(money) / math.fsum(volume)
+        return state["value"]
+
+
+class StochRsi:
+    """The place of the strength in its range, and two averages of it, from 0 to 1."""
+
+    names = ("", "k", "d")
+
+    def __init__(self, n: int = 14, k: int = 3, d: int = 3):
+        self.n, self.k, self.d, self.rsi = window(n), window(k), window(d), Rsi(n)
+
+    def start(self) -> dict:
+        return {"rsi": self.rsi.start()}
+
+    def update(self, state: dict, bar: pd.Series) -> tuple:
+        last = kept(state, "last", self.rsi.update(state["rsi"], bar), self.n)
+        value = None
+        if last is not None:
+            low, high = min(last), max(last)
+            value = 0.5 if high - low < EPSILON else (last[-1] - low) / (high - low)
+        k = mean(kept(state, "raw", value, self.k))
+        return value, k, mean(kept(state, "smooth", k, self.d))
+
+
+class Channel:
+    """High and low of the last n bars."""
+
+    def __init__(self, n: int):
+        self.n = window(n)
+
+    def start(self) -> dict:
+        return {}
+
+    def range(self, state: dict, bar: pd.Series) -> tuple[float, float] | None:
+        high, low, _ = prices(bar)
+        highs, lows = kept(state, "high", high, self.n), kept(state, "low", low, self.n)
+        return None if highs is None or lows is None else (max(highs), min(lows))
+
+
+class Stochastic(Channel):
+    """The smoothed place of the close in the range, and its average; 50 in a window without range."""
+
+    names = ("k", "d")
+
+    def __init__(self, k_period: int = 14, k_smooth: int = 3, d_period: int = 3):
+        super().__init__(k_period)
+        self.k, self.d = window(k_smooth), window(d_period)
+
+    def update(self, state: dict, bar: pd.Series) -> tuple:
+        ends, raw = self.range(state, bar), None
+        if ends is not None:
+            high, low = ends
+            raw = 100 * ((prices(bar)[2] - low) / (high - low) if high - low >= EPSILON else 0.5)
+        k = mean(kept(state, "raw", raw, self.k))
+        return k, mean(kept(state, "smooth", k, self.d))
+
+
+class WilliamsR(Channel):
+    """-100 to 0; -50 in a window without range."""
+
+    def __init__(self, n: int = 14):
+        super().__init__(n)
+
+    def update(self, state: dict, bar: pd.Series) -> float | None:
+        ends = self.range(state, bar)
+        if ends is None:
+            return None
+        high, low = ends
+        return -100 * ((high - prices(bar)[2]) / (high - low) if high - low >= EPSILON else 0.5)
+
+
+class Donchian(Channel):
+    names = ("upper", "middle", "lower", "width")
+
+    def __init__(self, n: int = 20):
+        super().__init__(n)
+
+    def update(self, state: dict, bar: pd.Series) -> tuple:
+        ends = self.range(state, bar)
+        if ends is None:
+            return None, None, None, None
+        high, low = ends
+        return high, (high + low) / 2, low, high - low
+
+
+class Bollinger:
+    """Bands of the sample deviation (0 for one bar)."""
+
+    names = ("upper", "middle", "lower", "width", "pct_b")
+
+    def __init__(self, n: int = 20, num_std: float = 2.0):
+        if num_std <= 0:
+            raise InvalidParameter("num_std must be positive")
+        self.n, self.num_std = window(n), num_std
+
+    def start(self) -> dict:
+        return {}
+
+    def update(self, state: dict, bar: pd.Series) -> tuple:
+        last = kept(state, "last", float(bar["close"]), self.n)
+        if last is None:
+            return None, None, None, None, None
+        middle, spread = mean(last), self.num_std * (statistics.stdev(last) if self.n > 1 else 0.0)
+        upper, lower = middle + spread, middle - spread
+        width = (upper - lower) / middle if abs(middle) >= EPSILON else None
+        return upper, middle, lower, width, (last[-1] - lower) / (upper - lower) if upper - lower > EPSILON else 0.5
+
+
+class Keltner:
+    """An exponential average with bands of the average true range."""
+
+    names = ("upper", "middle", "lower")
+
+    def __init__(self, ema_window: int = 20, atr_window: int = 10, multiplier: float = 2.0):
+        if multiplier <= 0:
+            raise InvalidParameter("multiplier must be positive")
+        self.ema, self.atr, self.multiplier = Average(ema_window), Atr(atr_window), multiplier
+
+    def start(self) -> dict:
+        return {"ema": self.ema.start(), "atr": self.atr.start()}
+
+    def update(self, state: dict, bar: pd.Series) -> tuple:
+        middle, reach = self.ema.update(state["ema"], bar), self.atr.update(state["atr"], bar)
+        if middle is None or reach is None:
+            return None, None, None
+        return middle + self.multiplier * reach, middle, middle - self.multiplier * reach
+
+
+class Mfi:
+    """Money flow index, 0 to 100, from the bar after the first n on."""
+
+    def __init__(self, n: int = 14):
+        self.n = window(n)
+
+    def start(self) -> dict:
+        return {"count": 0, "before": None}
+
+    def update(self, state: dict, bar: pd.Series) -> float | None:
+        price = sum(prices(bar)) / 3
+        change, flow = 0.0 if state["before"] is None else price - state["before"], price * float(bar["volume"])
+        state["before"] = price
+        state["count"] += 1
+        ups, downs = kept(state, "up", flow if change > 0 else 0.0, self.n), kept(state, "down", flow if change < 0 else 0.0, self.n)
+        if ups is None or downs is None or state["count"] <= self.n:
+            return None
+        up, down = math.fsum(ups), math.fsum(downs)
+        if abs(down) < EPSILON:
+            return 50.0 if abs(up) < EPSILON else 100.0
+        return 0.0 if abs(up) < EPSILON else min(max(100 - 100 / (1 + up / down), 0.0), 100.0)
+
+
+class Cmf:
+    """Chaikin money flow, -1 to 1; 0 without volume."""
+
+    def __init__(self, n: int = 20):
+        self.n = window(n)
+
+    def start(self) -> dict:
+        return {}
+
+    def update(self, state: dict, bar: pd.Series) -> float | None:
+        high, low, close = prices(bar)
+        place, amount = ((close - low) - (high - close)) / (high - low) if abs(high - low) >= EPSILON else 0.0, float(bar["volume"])
+        flow, volume = kept(state, "flow", place * amount, self.n), kept(state, "volume", amount, self.n)
+        if flow is None or volume is None:
+            return None
+        return math.fsum(flow) / math.fsum(volume) if abs(math.fsum(volume)) >= EPSILON else 0.0
+
+
 def live_indicators(bars: DataFrame, indicators: dict[str, object]) -> DataFrame:
-    """A stream of bars with a column for each indicator (an object with ``start`` and ``update``)."""
+    """A stream of bars with a column for each value of each indicator (an object with ``start`` and ``update``)."""
+    columns = {k: [f"{k}_{n}" if n else k for n in getattr(i, "names", ("",))] for k, i in indicators.items()}
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved = json.loads(state.get[0]) if state.exists else {"version": VERSION, "seen": None, "own": {k: i.start() for k, i in indicators.items()}}
@@ -156,10 +475,12 @@ def live_indicators(bars: DataFrame, indicators: dict[str, object]) -> DataFrame
         if saved["seen"] is not None:
             rows = rows[rows["ts"] > pd.Timestamp(saved["seen"])]
         rows = rows.drop_duplicates("ts").reset_index(drop=True)
-        made: dict[str, list] = {k: [] for k in indicators}
+        made: dict[str, list] = {c: [] for own in columns.values() for c in own}
         for _, bar in rows.iterrows():
             for k, i in indicators.items():
-                made[k].append(i.update(saved["own"][k], bar))
+                value = i.update(saved["own"][k], bar)
+                for c, v in zip(columns[k], value if isinstance(value, tuple) else (value,)):
+                    made[c].append(v)
         if len(rows):
             saved["seen"] = str(rows["ts"].iloc[-1])
         state.update((json.dumps(saved),))
@@ -168,5 +489,5 @@ def live_indicators(bars: DataFrame, indicators: dict[str, object]) -> DataFrame
         yield rows
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
-    out = fields + "".join(f", `{k}` double" for k in indicators)
+    out = fields + "".join(f", `{c}` double" for own in columns.values() for c in own)
     return bars.groupBy("symbol").applyInPandasWithState(advance, out, "state string", "append", GroupStateTimeout.NoTimeout)
