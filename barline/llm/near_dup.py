@@ -21,7 +21,8 @@ Defined cases: texts with the same words are copies whatever the white space; a
 text of one to four words has one shingle of all its words; null, empty and
 wordless texts are alone in their class; a class is named by its least doc_id; a
 row without doc_id follows its text; repeated rows get the same class; an empty
-table gives an empty result; only the two named columns are read.
+table gives an empty result; only the two named columns are read. An id names one
+text: where different texts share an id, give a key of the rows as ``id_col``.
 """
 
 from __future__ import annotations

@@ -33,26 +33,40 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.deduplicate(docs)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose doc_id is not in ``ids``; these are broadcast up to a checked number and shuffled beyond."""
-    ids = checkpointed(ids)
-    few = ids.count() <= near_dup.BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key (the one column of ``keys``) is not in ``keys``; these are broadcast up to a checked number and shuffled beyond."""
+    keys = checkpointed(keys)
+    few = keys.count() <= near_dup.BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys, keys.columns, "left_anti").select(*docs.columns)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number ``__row`` of their own, in the order of doc_id (null last); of equal rows with a doc_id one stays."""
+    known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
+    rows = known.unionByName(docs.where(F.col("doc_id").isNull())).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return checkpointed(rows.withColumn("__row", F.monotonically_increasing_id()))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near-duplicates (one row of it, if its row is repeated)."""
-    kept = without(docs, near_dup.classes(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct())
-    repeated = checkpointed(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return without(kept, repeated).unionByName(once)
+    """The document of least doc_id of each class of near-duplicates (one row of it, if its row is repeated).
+
+    Different texts of one doc_id are documents of their own. Documents without a
+    doc_id come after all others.
+    """
+    counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    unclear = not checkpointed(counted.where("n > 1 OR doc_id IS NULL").select("doc_id")).isEmpty()
+    key = "__row" if unclear else "doc_id"
+    rows = numbered(docs) if unclear else docs
+    classes = near_dup.classes(rows, id_col=key)
+    kept = without(rows, classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(key)).distinct())
+    return kept.select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return without(docs, decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    """Documents that hold no benchmark item, by their text alone: rows without a doc_id or with a shared one are judged like all others."""
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    found = decontaminate.matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__text")
+    return without(keyed, found.select(F.col("doc_id").alias("__text")).distinct()).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

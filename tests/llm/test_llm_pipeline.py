@@ -107,6 +107,36 @@ def test_stages(spark, tmp_path):
         docs = made
 
 
+def test_null_and_shared_ids(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+
+    def words(n):
+        return " ".join(str(rng.randrange(10**6)) for _ in range(n))
+
+    item, x, y, z, last = (words(60) for _ in range(5))
+    leak, near_y = f"before {item} after", f"{y} more"
+    spark.createDataFrame([(1, item)], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def after(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in made.collect()), key=str)
+
+    # A row without an id goes if it leaks; of two texts with one id only the leaking one does.
+    rows = [(None, leak), (None, x), (5, leak), (5, y), (6, z), (7, None), (None, None)]
+    assert after(corpus_pipeline.drop_benchmark_leaks, rows) == sorted([(None, x), (5, y), (6, z), (7, None), (None, None)], key=str)
+    # Different texts of one id stay, near copies without an id go, and equal rows become one.
+    rows = [(None, x), (None, f"{x} more"), (5, y), (5, z), (None, near_y), (9, near_y), (6, last), (6, last), (3, f"{last} more"), (8, None), (8, None), (None, "")]
+    made = after(corpus_pipeline.keep_one_of_near_duplicates, rows)
+    assert [r for r in made if r[1] in (x, f"{x} more")] in ([(None, x)], [(None, f"{x} more")])
+    assert [r for r in made if r[1] not in (x, f"{x} more")] == sorted([(5, y), (5, z), (3, f"{last} more"), (8, None), (None, "")], key=str)
+
+
 def test_entry_works_without_this_part(tmp_path):
     """With these folders gone the other queries are still there."""
     import shutil
