@@ -119,7 +119,11 @@ class Scanner:
                         found.add((m.start() + a, 3, m.start() + b))
         spans: list[tuple[int, int, int]] = []
         for a, k, b in sorted(found):
-            if any(x < b and a < y for x, _, y in covered):
+            reach = a
+            for x, _, y in covered:
+                if x <= reach < y:
+                    reach = y
+            if reach >= b:
                 continue
             if spans and a < spans[-1][2]:
                 spans[-1] = (spans[-1][0], k, max(b, spans[-1][2]))

@@ -285,6 +285,16 @@ def test_secrets_after_an_equals_sign():
     assert scanner.extra("id=123e4567-e89b-12d3-a456-426614174000 n=12345678901234567890123 w=plainlowercasewordsruntogether", []) == []
 
 
+def test_partly_covered_secrets_are_kept():
+    scanner = secrets.Scanner()
+    x = "id 0123456789abcdefZk3v9QpL7xT2mW8rY4bN6cJ1"
+    base = scanner.base(x)
+    assert base == [(3, 2, 19)] and [(k, b) for _, k, b in scanner.extra(x, base)] == [(3, len(x))]
+    x = "token=Zk3v9QpL7xT2mW8rY4bN6cJ1"
+    assert scanner.base(x) and scanner.extra(x, scanner.base(x)) == []
+    assert scanner.extra(x, [(0, 0, 12), (12, 2, len(x))]) == [] and len(scanner.extra(x, [(0, 0, 12), (13, 2, len(x))])) == 1
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     made = langid.identify(docs.where("doc_id % 3 = 0"), langid.fit(docs.where("doc_id % 3 != 0")))
