@@ -55,7 +55,7 @@ def ratio(top: Column, bottom: Column, otherwise: Column | float | None = None)
     return F.when(~is_zero(bottom), F.try_divide(top, bottom)).when(bottom.isNotNull(), F.lit(otherwise) if not isinstance(otherwise, Column) else otherwise)
 
 
-def with_columns(df: DataFrame, made: dict[str, Column], fillna: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def with_columns(df: DataFrame, made: dict[str, Column], fillna: bool = False) -> DataFrame:
     """``df`` with columns; ``fillna`` turns what is undefined into 0 at the very end."""
     return df.withColumns({k: F.coalesce(v, F.lit(0.0)) if fillna else v for k, v in made.items()})
 

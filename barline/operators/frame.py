@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.errors import DuplicateColumn, columns
 from barline.functions.windows import BARS, Series
+from barline.operators.quantiles import exact_quantiles
 
 
 def series_stats(df: DataFrame, column: str, series: Series = BARS) -> DataFrame:
@@ -27,9 +28,9 @@ def series_stats(df: DataFrame, column: str, series: Series = BARS) -> DataFrame
 
 
 def quantiles(df: DataFrame, column: str, q: tuple[float, ...] = (0.25, 0.5, 0.75), series: Series = BARS) -> DataFrame:
-    """Exact quantiles with linear interpolation, as columns q0, q1, .."""
+    """Exact quantiles with linear interpolation, as columns q0, q1, ..; missing values are passed over."""
     columns(df, column)
-    return df.groupBy(*series.by).agg(*[F.percentile(column, p).alias(f"q{i}") for i, p in enumerate(q)])
+    return exact_quantiles(df, list(series.by), column, q)
 
 
 def select(df: DataFrame, *names: str) -> DataFrame:

@@ -15,20 +15,20 @@ def _strength(gain: Column, loss: Column) -> Column:
     return F.when((gain < EPSILON) & (loss < EPSILON), 50.0).when(loss < EPSILON, 100.0).when(gain < EPSILON, 0.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
 
 
-def rsi(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def rsi(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
     """Relative strength; gains and losses are averaged from the first row's 0 on, shown from row n on."""
     columns(df, column)
     name = out or f"rsi_{window(n)}"
     change = F.col(column) - series.lag(F.col(column))
     made = df.withColumns({"__gain": F.when(change > 0, change).otherwise(0.0), "__loss": F.when(change < 0, -change).otherwise(0.0)})
-    made = linear_scans(made, [Scan("__gain", "__g", n, "first"), Scan("__loss", "__l", n, "first")], series)
+    made = linear_scans(made, [Scan("__gain", "__g", n, "first"), Scan("__loss", "__l", n, "first")], series, pieces)
     made = made.withColumn(name, series.guarded(_strength(F.col("__g"), F.col("__l")), n)).drop("__gain", "__loss", "__g", "__l")
     return with_columns(made, {name: F.col(name)}, fillna)
 
 
-def stoch_rsi(df: DataFrame, n: int = 14, k: int = 3, d: int = 3, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def stoch_rsi(df: DataFrame, n: int = 14, k: int = 3, d: int = 3, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
     """stoch_rsi, stoch_rsi_k and stoch_rsi_d, from 0 to 1."""
-    made = rsi(df, n, out="__rsi", series=series)
+    made = rsi(df, n, out="__rsi", series=series, pieces=pieces)
     x = F.col("__rsi")
     low, high = rolling.rolling_min(x, n, series), rolling.rolling_max(x, n, series)
     made = made.withColumn("stoch_rsi", F.when(high - low < EPSILON, 0.5).otherwise(F.try_divide(x - low, high - low)))

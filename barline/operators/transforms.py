@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barline.errors import InverseNotSupported, InvalidParameter, NotFitted, StateVersionError, columns
 from barline.functions.windows import BARS, Series
+from barline.operators.quantiles import exact_quantiles
 
 VERSION = 1
 _NUMERIC = ("double", "float")
@@ -23,6 +24,17 @@ class Transform(Protocol):
     def fit(self, df: DataFrame) -> "Transform": ...
     def transform(self, df: DataFrame) -> DataFrame: ...
     def inverse(self, df: DataFrame) -> DataFrame: ...
+    def output_columns(self, columns_in: list[str]) -> list[str]: ...
+    def state(self) -> str: ...
+    def restore(self, saved: str) -> "Transform": ...
+    def reset(self) -> None: ...
+
+
+def checked(saved: str, kind: str) -> dict:
+    found = json.loads(saved)
+    if found.get("version") != VERSION or found.get("kind") != kind:
+        raise StateVersionError(f"{found.get('kind')} version {found.get('version')}")
+    return found
 
 
 def numeric(df: DataFrame, names: list[str] | None, series: Series) -> list[str]:
@@ -68,6 +80,20 @@ class LogReturn:
     def inverse(self, df: DataFrame) -> DataFrame:
         raise InverseNotSupported("log returns cannot be undone")
 
+    def output_columns(self, columns_in: list[str]) -> list[str]:
+        return list(columns_in)
+
+    def state(self) -> str:
+        return json.dumps({"version": VERSION, "kind": "log_return", "fitted": self.fitted, "fill": self.fill, "log1p": self.log1p})
+
+    def restore(self, saved: str) -> "LogReturn":
+        found = checked(saved, "log_return")
+        self.fitted, self.fill, self.log1p = found["fitted"], found["fill"], found["log1p"]
+        return self
+
+    def reset(self) -> None:
+        self.fitted = None
+
 
 class _Scaler:
     kind = ""
@@ -77,20 +103,20 @@ class _Scaler:
         self.centers: dict[str, float | None] | None = None
         self.scales: dict[str, float] = {}
 
-    def _figures(self, x: Column) -> tuple[Column, Column]:
+    def _figures(self, df: DataFrame, names: list[str]) -> list[tuple[float | None, float | None]]:
+        """Centre and scale of each column, missing values passed over."""
         raise NotImplementedError
 
     def fit(self, df: DataFrame) -> "_Scaler":
         names = numeric(df, self.names, self.series)
-        made = []
-        for i, n in enumerate(names):
-            center, scale = self._figures(F.when(~F.isnan(n), F.col(n)))
-            made += [center.alias(f"c{i}"), scale.alias(f"s{i}")]
-        row = df.agg(*made).first() if made else {}
-        self.centers = {n: row[f"c{i}"] for i, n in enumerate(names)}
-        self.scales = {n: row[f"s{i}"] if row[f"s{i}"] and row[f"s{i}"] > 0 else 1.0 for i, n in enumerate(names)}
+        figures = self._figures(df, names) if names else []
+        self.centers = {n: center for n, (center, _) in zip(names, figures)}
+        self.scales = {n: scale if scale and scale > 0 else 1.0 for n, (_, scale) in zip(names, figures)}
         return self
 
+    def output_columns(self, columns_in: list[str]) -> list[str]:
+        return list(columns_in)
+
     def _fitted(self, df: DataFrame) -> list[str]:
         if self.centers is None:
             raise NotFitted(self.kind)
@@ -109,13 +135,14 @@ class _Scaler:
     def scale(self, name: str) -> float | None:
         return self.scales.get(name)
 
+    def reset(self) -> None:
+        self.centers, self.scales = None, {}
+
     def state(self) -> str:
         return json.dumps({"version": VERSION, "kind": self.kind, "centers": self.centers, "scales": self.scales})
 
     def restore(self, saved: str) -> "_Scaler":
-        found = json.loads(saved)
-        if found.get("version") != VERSION or found.get("kind") != self.kind:
-            raise StateVersionError(f"{found.get('kind')} version {found.get('version')}")
+        found = checked(saved, self.kind)
         self.centers, self.scales = found["centers"], found["scales"]
         return self
 
@@ -125,8 +152,13 @@ class Normalization(_Scaler):
 
     kind = "normalization"
 
-    def _figures(self, x: Column) -> tuple[Column, Column]:
-        return F.avg(x), F.coalesce(F.stddev_samp(x), F.lit(0.0))
+    def _figures(self, df: DataFrame, names: list[str]) -> list[tuple[float | None, float | None]]:
+        made = []
+        for i, n in enumerate(names):
+            x = F.when(~F.isnan(n), F.col(n))
+            made += [F.avg(x).alias(f"c{i}"), F.stddev_samp(x).alias(f"s{i}")]
+        row = df.agg(*made).first()
+        return [(row[f"c{i}"], row[f"s{i}"]) for i in range(len(names))]
 
     mean = _Scaler.center
 
@@ -143,8 +175,11 @@ class RobustNormalization(_Scaler):
             raise InvalidParameter("quantile_range must rise within 0 and 1")
         self.range = quantile_range
 
-    def _figures(self, x: Column) -> tuple[Column, Column]:
-        return F.median(x), F.percentile(x, self.range[1]) - F.percentile(x, self.range[0])
+    def _figures(self, df: DataFrame, names: list[str]) -> list[tuple[float | None, float | None]]:
+        # Columns become rows of (number, value), so that one pair of aggregations serves them all.
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(n).cast("double").alias("x")) for i, n in enumerate(names)])).alias("p")
+        found = {r["i"]: r for r in exact_quantiles(df.select(pairs).select("p.i", "p.x"), ["i"], "x", (0.5, *self.range)).collect()}
+        return [(found[i]["q0"], None if found[i]["q1"] is None else found[i]["q2"] - found[i]["q1"]) if i in found else (None, None) for i in range(len(names))]
 
 
 class Pipeline:
@@ -192,5 +227,28 @@ class Pipeline:
             df = step.inverse(df)
         return df
 
+    def output_columns(self, columns_in: list[str]) -> list[str]:
+        for _, step in self.steps:
+            columns_in = step.output_columns(columns_in)
+        return columns_in
+
+    def state(self) -> str:
+        if not self.fitted:
+            raise NotFitted("pipeline")
+        return json.dumps({"version": VERSION, "kind": "pipeline", "steps": [[n, s.state()] for n, s in self.steps]})
+
+    def restore(self, saved: str) -> "Pipeline":
+        """Puts saved figures into a pipeline of the same steps."""
+        found = checked(saved, "pipeline")["steps"]
+        if [n for n, _ in found] != self.names:
+            raise InvalidParameter(f"a state of the steps {', '.join(n for n, _ in found)}")
+        for (_, step), (_, own) in zip(self.steps, found):
+            step.restore(own)
+        self.fitted = True
+        return self
+
     def reset(self) -> None:
+        """Forgets what was fitted, in every step."""
+        for _, step in self.steps:
+            step.reset()
         self.fitted = False

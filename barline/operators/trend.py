@@ -1,14 +1,19 @@
-"""Trend indicators. Each function adds columns to a table of bars; undefined values are NULL."""
+"""Trend indicators. Each function adds columns to a table of bars; undefined values are NULL.
+
+Indicators that rest on recurrences take ``pieces``: the unit of time by which series
+that are too long for one task are cut (see ``barline.plans.scan``).
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from barline.errors import InvalidParameter, columns, window
 from barline.functions import rolling
 from barline.functions.price import true_range
-from barline.functions.windows import BARS, EPSILON, Series, ratio, with_columns
-from barline.plans.scan import Scan, linear_scans
+from barline.functions.windows import BARS, EPSILON, Series, with_columns
+from barline.plans.scan import Derived, Scan, linear_scans
 
 
 def sma(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS) -> DataFrame:
@@ -16,19 +21,19 @@ def sma(df: DataFrame, n: int = 14, column: str = "close", out: str | None = Non
     return with_columns(df, {out or f"sma_{n}": rolling.sma(F.col(column), n, series)}, fillna)
 
 
-def ema(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def ema(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
     """Exponential average, alpha 2 / (n + 1), begun at the mean of the first n values."""
     columns(df, column)
     name = out or f"ema_{n}"
-    made = linear_scans(df, [Scan(column, name, window(n), "ema")], series)
+    made = linear_scans(df, [Scan(column, name, window(n), "ema")], series, pieces)
     return with_columns(made, {name: F.col(name)}, fillna)
 
 
-def wilder(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def wilder(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
     """Wilder's average, alpha 1 / n, begun at the mean of the first n values."""
     columns(df, column)
     name = out or f"wilder_{n}"
-    made = linear_scans(df, [Scan(column, name, window(n), "wilder")], series)
+    made = linear_scans(df, [Scan(column, name, window(n), "wilder")], series, pieces)
     return with_columns(made, {name: F.col(name)}, fillna)
 
 
@@ -37,20 +42,30 @@ def wma(df: DataFrame, n: int = 14, column: str = "close", out: str | None = Non
     return with_columns(df, {out or f"wma_{n}": rolling.wma(F.col(column), n, series)}, fillna)
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
     """macd, macd_signal and macd_histogram; the signal begins at the first macd value."""
     for n in (fast, slow, signal):
         window(n)
     if fast >= slow:
         raise InvalidParameter("fast must be below slow")
     columns(df, "close")
-    made = linear_scans(df, [Scan("close", "__fast", fast, "ema"), Scan("close", "__slow", slow, "ema")], series)
-    made = made.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    made = linear_scans(made, [Scan("macd", "macd_signal", signal, "ema")], series)
+    steps = [Scan("close", "__fast", fast, "ema"), Scan("close", "__slow", slow, "ema"), Derived(("__fast", "__slow"), "macd", np.subtract), Scan("macd", "macd_signal", signal, "ema")]
+    made = linear_scans(df, steps, series, pieces).drop("__fast", "__slow")
     return with_columns(made, {"macd": F.col("macd"), "macd_signal": F.col("macd_signal"), "macd_histogram": F.col("macd") - F.col("macd_signal")}, fillna)
 
 
-def adx(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def _directional(move: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The share of a movement in the range, in percent; 0 without a range."""
+    wide = np.abs(reach) >= EPSILON
+    return np.where(np.isnan(reach), np.nan, np.where(wide, 100 * move / np.where(wide, reach, 1.0), 0.0))
+
+
+def _difference(plus: np.ndarray, minus: np.ndarray) -> np.ndarray:
+    both = plus + minus
+    return np.where(both > EPSILON, 100 * np.abs(plus - minus) / np.where(both > EPSILON, both, 1.0), both * 0.0)
+
+
+def adx(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
     """adx, plus_di and minus_di; directional values from the row after the first n on, adx n rows later."""
     if window(n) < 2:
         raise InvalidParameter("adx needs a window of 2 or more")
@@ -64,11 +79,10 @@ def adx(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS)
             "__minus": F.when((down > up) & (down > 0), down).otherwise(0.0),
         }
     )
-    made = linear_scans(made, [Scan(f"__{x}", f"__s_{x}", n, "sum_skip") for x in ("tr", "plus", "minus")], series)
-    made = made.withColumn("plus_di", 100 * ratio(F.col("__s_plus"), F.col("__s_tr"), 0.0)).withColumn("minus_di", 100 * ratio(F.col("__s_minus"), F.col("__s_tr"), 0.0))
-    both = F.col("plus_di") + F.col("minus_di")
-    made = made.withColumn("__dx", F.when(both > EPSILON, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / both).when(both.isNotNull(), 0.0))
-    made = linear_scans(made, [Scan("__dx", "adx", n, "wilder")], series)
+    steps = [Scan(f"__{x}", f"__s_{x}", n, "sum_skip") for x in ("tr", "plus", "minus")]
+    steps += [Derived((f"__s_{x}", "__s_tr"), f"{x}_di", _directional) for x in ("plus", "minus")]
+    steps += [Derived(("plus_di", "minus_di"), "__dx", _difference), Scan("__dx", "adx", n, "wilder")]
+    made = linear_scans(made, steps, series, pieces)
     made = made.drop("__tr", "__plus", "__minus", "__s_tr", "__s_plus", "__s_minus", "__dx")
     return with_columns(made, {c: F.col(c) for c in ("adx", "plus_di", "minus_di")}, fillna)
 

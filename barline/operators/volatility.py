@@ -11,11 +11,11 @@ from barline.functions.windows import BARS, EPSILON, Series, is_zero, with_colum
 from barline.plans.scan import Scan, linear_scans
 
 
-def atr(df: DataFrame, n: int = 14, out: str | None = None, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def atr(df: DataFrame, n: int = 14, out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
     """Wilder's average of the true range."""
     columns(df, "high", "low", "close")
     name = out or f"atr_{window(n)}"
-    made = linear_scans(df.withColumn("__tr", true_range(series)), [Scan("__tr", name, n, "wilder")], series).drop("__tr")
+    made = linear_scans(df.withColumn("__tr", true_range(series)), [Scan("__tr", name, n, "wilder")], series, pieces).drop("__tr")
     return with_columns(made, {name: F.col(name)}, fillna)
 
 
@@ -38,13 +38,13 @@ def bollinger(df: DataFrame, n: int = 20, num_std: float = 2.0, column: str = "c
     return with_columns(df, made, fillna)
 
 
-def keltner(df: DataFrame, ema_window: int = 20, atr_window: int = 10, multiplier: float = 2.0, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def keltner(df: DataFrame, ema_window: int = 20, atr_window: int = 10, multiplier: float = 2.0, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
     """kc_upper, kc_middle and kc_lower: an exponential average with bands of the average true range."""
     if multiplier <= 0:
         raise InvalidParameter("multiplier must be positive")
     columns(df, "high", "low", "close")
     scans = [Scan("close", "__ema", window(ema_window), "ema"), Scan("__tr", "__atr", window(atr_window), "wilder")]
-    made = linear_scans(df.withColumn("__tr", true_range(series)), scans, series)
+    made = linear_scans(df.withColumn("__tr", true_range(series)), scans, series, pieces)
     both = F.col("__ema").isNotNull() & F.col("__atr").isNotNull()
     bands = {"kc_upper": F.col("__ema") + multiplier * F.col("__atr"), "kc_middle": F.col("__ema"), "kc_lower": F.col("__ema") - multiplier * F.col("__atr")}
     return with_columns(made, {k: F.when(both, x) for k, x in bands.items()}, fillna).drop("__tr", "__ema", "__atr")

@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barline.functions import price, rolling
+from barline.functions.windows import BARS
 from barline.operators import frame, momentum, transforms, trend, volatility, volume
 from barline.sources.bars import event_bars, order_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_BARS = """WITH bars AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high,
- min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2),
+_BARS = """WITH bars AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
+ min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2),
  b AS (SELECT *, row_number() OVER o AS rn, lag(close) OVER o AS pc, lag(high) OVER o AS ph, lag(low) OVER o AS pl,
  (high + low + close) / 3 AS tp FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts))"""
 _KEY = "symbol, CAST(epoch(ts) AS BIGINT) AS ts_s"
@@ -127,6 +128,18 @@ def _head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(frame.append(frame.head(bars, 3), frame.tail(bars, 2)), "close")
 
 
+def _gaps(pieces: str | None) -> Query:
+    """Averages of closes that are missing in rows 1 to 3 and in row 300."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = event_bars(spark, sf_dir)
+        rn = F.row_number().over(BARS.ordered())
+        bars = bars.withColumn("close", F.when((rn > 3) & (rn != 300), F.col("close")))
+        return shown(trend.macd(trend.wilder(trend.ema(bars, pieces=pieces), pieces=pieces), pieces=pieces), "ema_14", "wilder_14", "macd", "macd_signal")
+
+    return query
+
+
 def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars by user with many indicators in one plan."""
     df = event_bars(spark, sf_dir, "user_id", "day")
@@ -135,6 +148,12 @@ def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(df, "sma_14", "bb_upper", "dc_width", "williams_r_14", "stoch_d", "cmf_20", "mfi_14", "obv")
 
 
+def _by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurrences over series that are cut by month."""
+    df = volatility.keltner(volatility.atr(trend.adx(event_bars(spark, sf_dir), pieces="month"), pieces="month"), pieces="month")
+    return shown(df, "adx", "atr_14", "kc_upper")
+
+
 _PRICES = ("open", "high", "low", "close", "volume")
 
 
@@ -183,6 +202,22 @@ _SRSI = f"{_RSI_LISTS}, {_RSI}, t0 AS (SELECT *, min(rsi) OVER {_r(14)} AS lo, m
 _MFI = f"u AS (SELECT *, lag(tp) OVER ({_O}) AS ptp FROM b), v AS (SELECT *, CASE WHEN tp > ptp THEN tp * volume ELSE 0 END AS up, CASE WHEN tp < ptp THEN tp * volume ELSE 0 END AS down FROM u), w AS (SELECT *, sum(up) OVER {_r(14)} AS pos, sum(down) OVER {_r(14)} AS neg FROM v)"
 _BB = f"e AS (SELECT *, avg(close) OVER {_r(20)} AS mid, 2 * coalesce(stddev_samp(close) OVER {_r(20)}, 0) AS sp FROM b)"
 
+_MFI_VALUE = "CASE WHEN pos < 1e-10 AND neg < 1e-10 THEN 50 WHEN neg < 1e-10 THEN 100 WHEN pos < 1e-10 THEN 0 ELSE 100 - 100 / (1 + pos / neg) END"
+_OBV = f"sum(CASE WHEN close - pc > 1e-10 THEN volume WHEN close - pc < -1e-10 THEN -volume ELSE 0 END) OVER ({_O})"
+# Missing closes: the averages begin at row 4 and end before row 300.
+_GAPS = (
+    _lists(xs="CASE WHEN rn > 3 THEN close END").format("b").replace("list(CASE WHEN rn > 3 THEN close END)", "list(close) FILTER (rn > 3)")
+    + f", m AS (SELECT *, CASE WHEN rn BETWEEN 29 AND 299 THEN {_ema('xs', 12)} - {_ema('xs', 26)} END AS macd FROM l), n AS (SELECT *, list(macd) FILTER (macd IS NOT NULL) OVER ({_O}) AS ms FROM m), q AS (SELECT * FROM n)"
+)
+_GAP_VALUES = {
+    "ema_14": f"CASE WHEN rn BETWEEN 17 AND 299 THEN round({_ema('xs', 14)}, 6) + 0.0 END",
+    "wilder_14": f"CASE WHEN rn BETWEEN 17 AND 299 THEN round({_wilder('xs', 14)}, 6) + 0.0 END",
+    "macd": _round("macd"),
+    "macd_signal": f"CASE WHEN rn BETWEEN 37 AND 299 THEN round({_ema('ms', 9)}, 6) + 0.0 END",
+}
+_BY_MONTH = f"{_ADX.replace(_lists(ts_='t', ps='p', ms='m').format('d'), _lists(ts_='t', ps='p', ms='m', xs='close').format('d'))}, z AS (SELECT *, {_ema('xs', 20)} AS mid, 2 * {_wilder('ts_', 10)} AS band FROM f)"
+_BY_MONTH_VALUES = {"adx": f"CASE WHEN rn >= 28 THEN round({_wilder('ds', 14)}, 6) END", "atr_14": _full(14, _wilder("ts_", 14)), "kc_upper": _full(20, "mid + band")}
+
 #: name -> (query, SQL)
 REGISTRY: dict[str, tuple[Query, str]] = {
     "bars_1h": (lambda s, d: shown(event_bars(s, d), *_PRICES), _sql(**{c: _round(c) for c in _PRICES})),
@@ -217,6 +252,9 @@ REGISTRY: dict[str, tuple[Query, str]] = {
     "true_range": (_expressions(tr=price.true_range), _sql(_TR, "tr", tr=_round("t"))),
     "ema": (_indicator(trend.ema, "ema_14"), _sql(_CLOSES, "l", ema_14=_full(14, _ema("xs", 14)))),
     "wilder": (_indicator(trend.wilder, "wilder_14"), _sql(_CLOSES, "l", wilder_14=_full(14, _wilder("xs", 14)))),
+    "ema_gaps": (_gaps(None), _sql(_GAPS, "q", **_GAP_VALUES)),
+    "ema_gaps_by_month": (_gaps("month"), _sql(_GAPS, "q", **_GAP_VALUES)),
+    "indicators_by_month": (_by_month, _sql(_BY_MONTH, "z", **_BY_MONTH_VALUES)),
     "wma": (_indicator(trend.wma, "wma_14"), _sql(f"e AS (SELECT *, {' + '.join(f'{14 - k} * lag(close, {k}) OVER ({_O})' for k in range(14))} AS x FROM b)", "e", wma_14=_round("x / 105"))),
     "macd": (_indicator(trend.macd, "macd", "macd_signal", "macd_histogram"), _sql(_MACD, "q", macd=_round("macd"), macd_signal=_round("sig"), macd_histogram=_round("macd - sig"))),
     "adx": (_indicator(trend.adx, "adx", "plus_di", "minus_di"), _sql(_ADX, "f", adx=f"CASE WHEN rn >= 28 THEN round({_wilder('ds', 14)}, 6) END", plus_di=_round("plus_di"), minus_di=_round("minus_di"))),
@@ -239,14 +277,15 @@ REGISTRY: dict[str, tuple[Query, str]] = {
         _sql(f"{_TR}, {_lists(xs='close', ts_='t').format('tr')}, e AS (SELECT *, {_ema('xs', 20)} AS mid, 2 * {_wilder('ts_', 10)} AS band FROM l)", "e", kc_upper=_full(20, "mid + band"), kc_middle=_full(20, "mid"), kc_lower=_full(20, "mid - band")),
     ),
     "donchian": (_indicator(volatility.donchian, "dc_upper", "dc_middle", "dc_lower", "dc_width"), _sql(f"e AS (SELECT *, max(high) OVER {_r(20)} AS u, min(low) OVER {_r(20)} AS d FROM b)", "e", dc_upper=_full(20, "u"), dc_middle=_full(20, "(u + d) / 2"), dc_lower=_full(20, "d"), dc_width=_full(20, "u - d"))),
-    "obv": (_indicator(volume.obv, "obv"), _sql(obv=_round(f"sum(CASE WHEN close - pc > 1e-10 THEN volume WHEN close - pc < -1e-10 THEN -volume ELSE 0 END) OVER ({_O})"))),
+    "obv": (_indicator(volume.obv, "obv"), _sql(obv=_round(_OBV))),
     "vwap_cumulative": (_indicator(volume.vwap, "vwap"), _sql(vwap=_round(f"sum(tp * volume) OVER ({_O}) / sum(volume) OVER ({_O})"))),
+    # Two-decimal prices over counts up to 128 end within nine places, so no value lies halfway between two roundings.
     "vwap_rolling": (
-        lambda s, d: shown(volume.vwap(event_bars(s, d), "rolling", 10).withColumn("vwap", F.round("vwap", 4)), "vwap"),
-        _sql(vwap=f"CASE WHEN rn >= 10 THEN round(sum(tp * volume) OVER {_r(10)} / sum(volume) OVER {_r(10)}, 4) END"),
+        lambda s, d: volume.vwap(event_bars(s, d), "rolling", 10).select("symbol", seconds(), plain("vwap", 9).alias("vwap")),
+        _sql(vwap=f"CASE WHEN rn >= 10 THEN round(sum(tp * volume) OVER {_r(10)} / sum(volume) OVER {_r(10)}, 9) + 0.0 END"),
     ),
     "vwap_session": (_indicator(lambda x: volume.vwap(x, "session"), "vwap"), _sql(vwap=_round("sum(tp * volume) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) / sum(volume) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts)"))),
-    "mfi": (_indicator(volume.mfi, "mfi_14"), _sql(_MFI, "w", mfi_14=_full(15, "CASE WHEN pos < 1e-10 AND neg < 1e-10 THEN 50 WHEN neg < 1e-10 THEN 100 WHEN pos < 1e-10 THEN 0 ELSE 100 - 100 / (1 + pos / neg) END"))),
+    "mfi": (_indicator(volume.mfi, "mfi_14"), _sql(_MFI, "w", mfi_14=_full(15, _MFI_VALUE))),
     "cmf": (_indicator(volume.cmf, "cmf_20"), _sql("e AS (SELECT *, CASE WHEN abs(high - low) < 1e-10 THEN 0 ELSE (2 * close - high - low) / (high - low) END AS clv FROM b)", "e", cmf_20=_full(20, f"sum(clv * volume) OVER {_r(20)} / sum(volume) OVER {_r(20)}"))),
     "log_return": (
         _scaled(lambda: transforms.LogReturn()),
@@ -270,17 +309,30 @@ REGISTRY: dict[str, tuple[Query, str]] = {
     "frame_ops": (_frame_ops, _sql(close=_round("close"), reach=_round("high - low"), twice=_round("2 * (high - low)"))),
     "concat_join": (_concat, _sql(close=_round("close"), volume=_round("volume"))),
     "head_tail": (_head_tail, f"{_BARS}, e AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM b) SELECT {_KEY}, round(close, 6) AS close FROM e WHERE rn <= 3 UNION ALL SELECT {_KEY}, round(close, 6) AS close FROM e WHERE back <= 2"),
+    "many_indicators_by_user": (
+        _many,
+        _sql(
+            f"{_STOCH}, {_MFI.replace('FROM b)', 'FROM k3)')}, {_BB.replace('FROM b)', 'FROM w)')}, y AS (SELECT *, CASE WHEN abs(high - low) < 1e-10 THEN 0 ELSE (2 * close - high - low) / (high - low) END AS clv FROM e)",
+            "y",
+            sma_14=_full(14, f"avg(close) OVER {_r(14)}"),
+            bb_upper=_full(20, "mid + sp"),
+            dc_width=_full(20, f"max(high) OVER {_r(20)} - min(low) OVER {_r(20)}"),
+            williams_r_14=_full(14, "CASE WHEN abs(hh - ll) < 1e-10 THEN -50 ELSE -100 * (hh - close) / (hh - ll) END"),
+            stoch_d=_round("d"),
+            cmf_20=_full(20, f"sum(clv * volume) OVER {_r(20)} / sum(volume) OVER {_r(20)}"),
+            mfi_14=_full(15, _MFI_VALUE),
+            obv=_round(_OBV),
+        ).replace("event_type AS symbol, date_trunc('hour', ts)", "CAST(user_id AS VARCHAR) AS symbol, date_trunc('day', ts)"),
+    ),
     "order_bars_sma": (
         _order_sma,
         f"WITH bars AS (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 1, 2), b AS (SELECT *, row_number() OVER ({_O}) AS rn FROM bars) SELECT {_KEY}, round(open, 6) AS open, round(close, 6) AS close, volume, CASE WHEN rn >= 5 THEN round(avg(close) OVER {_r(5)}, 6) END AS sma_5 FROM b",
     ),
 }
-#: Queries without SQL of their own (their parts have it).
-UNCHECKED: dict[str, Query] = {"many_indicators_by_user": _many}
 
 
 def queries() -> dict[str, Query]:
-    return {**{k: q for k, (q, _) in REGISTRY.items()}, **UNCHECKED}
+    return {k: q for k, (q, _) in REGISTRY.items()}
 
 
 def oracles() -> dict[str, str]:

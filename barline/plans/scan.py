@@ -1,31 +1,37 @@
 """First-order linear recurrences y[t] = a * y[t-1] + b * x[t] over each series.
 
 No window function expresses them. All recurrences that a plan needs run in one
-grouped pass: a numpy kernel solves blocks of rows by a triangular product and
-carries one number from block to block. Seeds differ by indicator:
+grouped pass over Arrow tables: a numpy kernel solves blocks of rows by a triangular
+product and carries one number from block to block. Seeds differ by indicator:
 
 * ``ema``, ``wilder``: the mean of the first n values, at the n-th;
 * ``first``: the first value itself;
 * ``sum_skip``: the sum of the first n values, at the row after them, whose own
   value is left out (directional movement).
 
-Leading NULLs are passed over; the recurrence begins at the first value.
+Missing values (NULL, NaN, infinite): leading ones are passed over and the
+recurrence begins at the first value; a later one ends it, so that it and all rows
+after it have no result, while the rows before it keep theirs.
 
-A series that is too long for one task is cut by time (``pieces="month"``). A piece
-is summed up by its number of rows, its first values and its answer to a zero
-start; since such maps compose, the value before each piece follows from these few
-numbers, and every piece is then solved in a task of its own.
+A series that is too long for one task is cut by its order (``pieces``, a unit of
+time such as "month", or a number for numeric orders). A piece is summed up by its
+number of values, its first values and its answer to a zero start; since such maps
+compose, the value before each piece follows from these few numbers, and every piece
+is then solved in a task of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from barline.errors import InvalidParameter, window
+from barline.errors import window
 from barline.functions.windows import BARS, Series
 
 _ROWS = 128
@@ -55,8 +61,17 @@ class Scan:
         return float(head[: self.n].sum() if self.kind == "sum_skip" else head.mean())
 
 
+@dataclass(frozen=True)
+class Derived:
+    """A column made row by row from scans' results, for a later scan to read; NaN where undefined."""
+
+    of: tuple[str, ...]
+    out: str
+    value: Callable[..., np.ndarray]
+
+
 def affine(x: np.ndarray, a: float, b: float, y: float) -> np.ndarray:
-    """y[t] = a * y[t-1] + b * x[t], from the value before x[0]."""
+    """y[t] = a * y[t-1] + b * x[t], from the value before x[0]; all x are finite."""
     out = np.empty(len(x))
     power = a ** np.arange(_ROWS + 1)
     lower = np.tril(power[np.abs(np.subtract.outer(np.arange(_ROWS), np.arange(_ROWS)))]) * b
@@ -68,95 +83,177 @@ def affine(x: np.ndarray, a: float, b: float, y: float) -> np.ndarray:
     return out
 
 
-def values(x: np.ndarray, begun: bool) -> tuple[int, np.ndarray]:
-    """Where the values begin (at once, if the series has begun before), and the values."""
-    there = np.flatnonzero(~np.isnan(x))
-    begin = 0 if begun else int(there[0]) if len(there) else len(x)
-    return begin, x[begin:]
+def extent(x: np.ndarray) -> tuple[int, int]:
+    """Where the first value is, and where the values from there on end."""
+    there = np.isfinite(x)
+    if not there.any():
+        return len(x), len(x)
+    begin = int(there.argmax())
+    gap = ~there[begin:]
+    return begin, begin + int(gap.argmax()) if gap.any() else len(x)
 
 
-def run(x: np.ndarray, scan: Scan, head: np.ndarray = np.zeros(0), before: float = np.nan) -> np.ndarray:
-    """One recurrence over one series or piece; NaN where undefined. ``head`` has earlier values short of the seed."""
+@dataclass(frozen=True)
+class Carried:
+    """What a piece needs from the pieces before it: values short of the seed, the last result, and whether a missing value has ended the recurrence."""
+
+    head: np.ndarray
+    before: float
+    ended: bool
+
+    @property
+    def begun(self) -> bool:
+        return self.ended or len(self.head) > 0 or not np.isnan(self.before)
+
+
+FRESH = Carried(np.zeros(0), np.nan, False)
+
+
+def run(x: np.ndarray, scan: Scan, carried: Carried = FRESH) -> np.ndarray:
+    """One recurrence over one series or piece; NaN where undefined."""
     out = np.full(len(x), np.nan)
-    begin, x = values(x, bool(len(head)) or not np.isnan(before))
+    begin, end = extent(x)
+    if carried.ended or begin == end or (carried.begun and begin > 0):
+        return out
+    before, part = carried.before, x[begin:end]
     if np.isnan(before):
-        need = scan.first_at - len(head)
-        if len(x) < need:
+        need = scan.first_at - len(carried.head)
+        if len(part) < need:
             return out
-        before = scan.seed(np.concatenate([head, x[:need]]))
-        begin, x = begin + need, x[need:]
+        before = scan.seed(np.concatenate([carried.head, part[:need]]))
+        begin, part = begin + need, part[need:]
         out[begin - 1] = before
-    out[begin:] = affine(x, scan.a, scan.b, before)
+    out[begin:end] = affine(part, scan.a, scan.b, before)
     return out
 
 
-def step(scan: Scan, head: np.ndarray, before: float, n: int, first: np.ndarray, answer: float) -> tuple[np.ndarray, float]:
-    """``head`` and ``before`` after a piece of n values, its first ones and its answer to a zero start."""
+@dataclass(frozen=True)
+class Summary:
+    """A piece: whether it starts with a missing value, its values up to a later missing one (their number, the first ones, the answer to a zero start), and whether there is a later one."""
+
+    late: bool
+    n: int
+    first: np.ndarray
+    answer: float
+    ends: bool
+
+    @classmethod
+    def of(cls, x: np.ndarray, scan: Scan) -> Summary:
+        begin, end = extent(x)
+        part = x[begin:end]
+        return cls(begin > 0, len(part), part[: scan.first_at], float(affine(part, scan.a, scan.b, 0.0)[-1]) if len(part) else 0.0, end < len(x))
+
+
+def step(scan: Scan, carried: Carried, piece: Summary) -> Carried:
+    """What is carried on after a piece."""
+    if carried.ended or (carried.begun and piece.late):
+        return Carried(np.zeros(0), np.nan, True)
+    head, before = carried.head, carried.before
     if not np.isnan(before):
-        return head, scan.a**n * before + answer
-    need = scan.first_at - len(head)
-    if n < need:
-        return np.concatenate([head, first[:n]]), before
-    seeded = scan.seed(np.concatenate([head, first[:need]]))
-    rest = n - need
-    late = answer - scan.a**rest * affine(first[:need], scan.a, scan.b, 0.0)[-1]
-    return head, scan.a**rest * seeded + late
+        before = scan.a**piece.n * before + piece.answer
+    else:
+        need = scan.first_at - len(head)
+        if piece.n < need:
+            head = np.concatenate([head, piece.first[: piece.n]])
+        else:
+            seeded = scan.seed(np.concatenate([head, piece.first[:need]]))
+            rest = piece.n - need
+            late = piece.answer - scan.a**rest * affine(piece.first[:need], scan.a, scan.b, 0.0)[-1]
+            before = scan.a**rest * seeded + late
+    return Carried(head, before, piece.ends)
+
+
+def numbers(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name).cast(pa.float64()).to_numpy(), np.float64)
+
+
+def doubles(x: np.ndarray) -> pa.Array:
+    return pa.array(x, pa.float64(), mask=np.isnan(x))
+
+
+def in_order(table: pa.Table, order: list[str]) -> pa.Table:
+    """Rows by rising order, without one first, as Spark's windows have them."""
+    return table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+
+
+def solved(table: pa.Table, steps: list[Scan | Derived], carried: dict[str, Carried]) -> pa.Table:
+    for s in steps:
+        made = s.value(*[numbers(table, c) for c in s.of]) if isinstance(s, Derived) else run(numbers(table, s.source), s, carried.get(s.out, FRESH))
+        table = table.append_column(s.out, doubles(made))
+    return table
 
 
-def linear_scans(df: DataFrame, scans: list[Scan], series: Series = BARS, pieces: str | None = None) -> DataFrame:
-    """``df`` with the ``out`` column of every scan.
+def levels(steps: list[Scan | Derived]) -> list[list[Scan | Derived]]:
+    """Steps in runs in which no scan reads what the run itself makes."""
+    found: list[list[Scan | Derived]] = [[]]
+    for s in steps:
+        if isinstance(s, Scan) and s.source in {t.out for t in found[-1]}:
+            found.append([])
+        found[-1].append(s)
+    return found
 
-    ``pieces`` is a unit of time (of ``date_trunc``) by which long series are cut.
+
+def linear_scans(df: DataFrame, steps: list[Scan | Derived], series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
+    """``df`` with the ``out`` column of every step, in one grouped pass.
+
+    ``pieces`` is the unit (of ``date_trunc``), or for a numeric order the width, by
+    which long series are cut; each further level of scans over scans is then a pass
+    of its own. All other columns travel as they are.
     """
-    for s in scans:
-        window(s.n)
-    if pieces and {s.out for s in scans} & {s.source for s in scans}:
-        raise InvalidParameter("a scan of another scan's result needs a call of its own")
-    kept = df.drop(*[s.out for s in scans])
+    for s in steps:
+        if isinstance(s, Scan):
+            window(s.n)
+    kept = df.drop(*[s.out for s in steps])
     by, order = list(series.by), list(series.order)
-    names = [*kept.columns, *[s.out for s in scans]]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + "".join(f", `{s.out}` double" for s in scans)
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        for s in scans:
-            part[s.out] = run(part[s.source].to_numpy(np.float64, na_value=np.nan), s)
-        return part
-
-    if not pieces:
-        return kept.groupBy(*by).applyInPandas(solve, fields)
-
-    cut = kept.withColumn("__piece", F.date_trunc(pieces, order[0]))
-    keys = ", ".join(f"`{k}` {dict(kept.dtypes)[k]}" for k in by)
-    numbers = "".join(f", n{i} long, first{i} array<double>, answer{i} double" for i in range(len(scans)))
-    state = "".join(f", head{i} array<double>, before{i} double" for i in range(len(scans)))
-
-    def summary(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        row = dict(zip([*by, "__piece"], key))
+
+    def wider(schema: T.StructType, names: list[str]) -> T.StructType:
+        return T.StructType([*schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    if pieces is None:
+        return kept.groupBy(*by).applyInArrow(lambda t: solved(in_order(t, order), steps, {}), wider(kept.schema, [s.out for s in steps]))
+    for level in levels(steps):
+        kept = _by_pieces(kept, level, by, order, pieces, wider(kept.schema, [s.out for s in level]))
+    return kept
+
+
+def _by_pieces(df: DataFrame, steps: list[Scan | Derived], by: list[str], order: list[str], pieces: str | int, schema: T.StructType) -> DataFrame:
+    scans = [s for s in steps if isinstance(s, Scan)]
+    piece: Column = F.floor(F.col(order[0]) / pieces) if isinstance(pieces, int) else F.date_trunc(pieces, order[0])
+    cut = df.withColumn("__piece", piece)
+    where = [*by, "__piece"]
+    keys = ", ".join(f"`{k}` {dict(cut.dtypes)[k]}" for k in where)
+    figures = "".join(f", late{i} boolean, n{i} long, first{i} array<double>, answer{i} double, ends{i} boolean" for i in range(len(scans)))
+    state = "".join(f", head{i} array<double>, before{i} double, ended{i} boolean" for i in range(len(scans)))
+
+    def summary(table: pa.Table) -> pa.Table:
+        table = in_order(table, order)
+        made = {k: table.column(k).slice(0, 1) for k in where}
         for i, s in enumerate(scans):
-            _, x = values(part[s.source].to_numpy(np.float64, na_value=np.nan), False)
-            row |= {f"n{i}": len(x), f"first{i}": x[: s.first_at].tolist(), f"answer{i}": affine(x, s.a, s.b, 0.0)[-1] if len(x) else 0.0}
-        return pd.DataFrame([row])
+            x = Summary.of(numbers(table, s.source), s)
+            made |= {f"late{i}": [x.late], f"n{i}": [x.n], f"first{i}": pa.array([x.first.tolist()], pa.list_(pa.float64())), f"answer{i}": [x.answer], f"ends{i}": [x.ends]}
+        return pa.table(made)
 
-    def carry(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__piece")
-        made = part[[*by, "__piece"]].reset_index(drop=True)
+    def carry(table: pa.Table) -> pa.Table:
+        table = in_order(table, ["__piece"])
+        made = {k: table.column(k) for k in where}
         for i, s in enumerate(scans):
-            head, before, heads, befores = np.zeros(0), np.nan, [], []
-            for n, first, answer in zip(part[f"n{i}"], part[f"first{i}"], part[f"answer{i}"]):
-                heads.append(head.tolist())
-                befores.append(before)
-                head, before = step(s, head, before, int(n), np.asarray(first, np.float64), float(answer))
-            made[f"head{i}"], made[f"before{i}"] = heads, befores
-        return made
-
-    def resume(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
+            carried, all_carried = FRESH, []
+            for late, n, first, answer, ends in zip(*(table.column(f"{c}{i}").to_pylist() for c in ("late", "n", "first", "answer", "ends"))):
+                all_carried.append(carried)
+                carried = step(s, carried, Summary(late, n, np.asarray(first, np.float64), answer, ends))
+            made |= {f"head{i}": pa.array([c.head.tolist() for c in all_carried], pa.list_(pa.float64())), f"before{i}": doubles(np.array([c.before for c in all_carried])), f"ended{i}": pa.array([c.ended for c in all_carried])}
+        return pa.table(made)
+
+    def resume(table: pa.Table) -> pa.Table:
+        table = in_order(table, order)
+        carried = {}
         for i, s in enumerate(scans):
-            before = part[f"before{i}"].iloc[0]
-            part[s.out] = run(part[s.source].to_numpy(np.float64, na_value=np.nan), s, np.asarray(part[f"head{i}"].iloc[0], np.float64), np.nan if pd.isna(before) else float(before))
-        return part[names]
-
-    states = cut.groupBy(*by, "__piece").applyInPandas(summary, f"{keys}, __piece timestamp{numbers}").groupBy(*by).applyInPandas(carry, f"{keys}, __piece timestamp{state}")
-    return cut.join(states, [*by, "__piece"]).groupBy(*by, "__piece").applyInPandas(resume, fields)
+            head, before, ended = (table.column(f"{c}{i}")[0].as_py() for c in ("head", "before", "ended"))
+            carried[s.out] = Carried(np.asarray(head, np.float64), np.nan if before is None else before, ended)
+        return solved(table, steps, carried).select(schema.names)
+
+    needed = list(dict.fromkeys([*where, *order, *[s.source for s in scans]]))
+    states = cut.select(*needed).groupBy(*where).applyInArrow(summary, f"{keys}{figures}").groupBy(*by).applyInArrow(carry, f"{keys}{state}")
+    renamed = states.select(*[F.col(k).alias(f"__of_{i}") for i, k in enumerate(where)], *[c for c in states.columns if c not in where])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__of_{i}")) for i, k in enumerate(where)])
+    return cut.join(renamed, same).groupBy(*where).applyInArrow(resume, schema)

@@ -162,3 +162,135 @@ def test_pieces_equal_the_whole(spark):
     assert set(whole) == set(cut)
     for key, want in whole.items():
         same(cut[key], want)
+
+
+def loop(x, n, kind):
+    """A recurrence as a plain loop: leading missing values are passed over, a later one ends it."""
+    a, b = {"ema": (1 - 2 / (n + 1), 2 / (n + 1)), "wilder": (1 - 1 / n, 1 / n), "first": (1 - 1 / n, 1 / n), "sum_skip": (1 - 1 / n, 1.0)}[kind]
+    first_at = {"ema": n, "wilder": n, "first": 1, "sum_skip": n + 1}[kind]
+    out, head, y, ended = [], [], None, False
+    for v in x:
+        missing = v is None or not math.isfinite(v)
+        ended = ended or (missing and bool(head))
+        if missing or ended:
+            out.append(None)
+            continue
+        head.append(v)
+        if len(head) == first_at:
+            y = sum(head[:n]) if kind == "sum_skip" else sum(head) / len(head)
+        elif len(head) > first_at:
+            y = a * y + b * v
+        out.append(y)
+    return out
+
+
+GAPS = {
+    "none": [],
+    "first row": [0],
+    "leading": [0, 1, 2, 3],
+    "middle": [200],
+    "at a piece's start": [100],
+    "at a piece's end": [99],
+    "a whole piece": list(range(50, 100)),
+    "leading pieces": list(range(0, 120)),
+    "before the seed": [3],
+    "all": list(range(260)),
+}
+
+
+@pytest.mark.parametrize("kind", ["ema", "wilder", "first", "sum_skip"])
+def test_recurrences_with_missing_values(spark, kind):
+    from barline.plans.scan import Scan, linear_scans
+
+    rows, want = [], {}
+    for name, gone in GAPS.items():
+        x = [100 + 5 * math.sin(i / 7) + i % 3 for i in range(260)]
+        for k, i in enumerate(gone):
+            x[i] = (None, float("nan"), float("inf"))[k % 3]
+        want[name] = loop(x, 14, kind)
+        rows += [(name, i, v, 9007199254740993 if i % 2 else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, close double, tag long")
+    for pieces in (None, 50):
+        made = linear_scans(df, [Scan("close", "y", 14, kind)], pieces=pieces).orderBy("symbol", "ts").collect()
+        assert len(made) == len(rows)
+        assert {r.tag for r in made} == {None, 9007199254740993}
+        for name in GAPS:
+            got = [r.y for r in made if r.symbol == name]
+            assert [v is None for v in got] == [v is None for v in want[name]], (name, pieces)
+            same(got, want[name])
+
+
+def test_pieces_give_the_same_indicators(spark):
+    from barline.sources.bars import synthetic_bars
+
+    df = synthetic_bars(spark, 3000, 2)  # four months of hours
+    df = df.withColumn("close", F.when((F.col("symbol") == "s0") | (F.col("ts") < "1970-03-10") | (F.col("ts") > "1970-03-11"), F.col("close")))
+    for add, names in (
+        (trend.ema, ["ema_14"]),
+        (trend.wilder, ["wilder_14"]),
+        (trend.macd, ["macd", "macd_signal", "macd_histogram"]),
+        (trend.adx, ["adx", "plus_di", "minus_di"]),
+        (momentum.rsi, ["rsi_14"]),
+        (momentum.stoch_rsi, ["stoch_rsi", "stoch_rsi_d"]),
+        (volatility.atr, ["atr_14"]),
+        (volatility.keltner, ["kc_upper", "kc_lower"]),
+    ):
+        whole = {(r.symbol, r.ts): r for r in add(df).select("symbol", "ts", *names).collect()}
+        cut = {(r.symbol, r.ts): r for r in add(df, pieces="month").select("symbol", "ts", *names).collect()}
+        assert len(whole) == len(cut) == 6000
+        for k, r in whole.items():
+            same([cut[k][n] for n in names], [r[n] for n in names])
+
+
+def test_null_series_and_order(spark):
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(5)] + [("a", None, 9.0), ("a", 0, 1.0), ("a", 1, 3.0)], "symbol string, ts long, close double")
+    for pieces in (None, 2):
+        made = {(r.symbol, r.ts): r.ema_2 for r in trend.ema(df, 2, pieces=pieces).collect()}
+        assert len(made) == 8
+        assert made[(None, 1)] == 0.5 and made[("a", None)] is None and made[("a", 0)] == 5.0
+
+
+def test_exact_quantiles(spark):
+    from barline.operators import quantiles
+
+    rows = [("big", float(i % 1000)) for i in range(90_000)] + [("hot", 7.0)] * 90_000 + [("hot", 8.0)] * 10 + [("small", v) for v in (1.0, 2.0, None, float("nan"), 4.0)] + [("none", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, x double")
+    levels = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    got = {r.symbol: [r[f"q{i}"] for i in range(6)] for r in quantiles.exact_quantiles(df, ["symbol"], "x", levels).collect()}
+    want = {r.symbol: [r[f"q{i}"] for i in range(6)] for r in df.where("not isnan(x)").groupBy("symbol").agg(*[F.percentile("x", p).alias(f"q{i}") for i, p in enumerate(levels)]).collect()}
+    assert got.pop("none") == [None] * 6
+    want.pop("none", None)
+    assert set(got) == set(want)
+    for k in want:
+        same(got[k], want[k])
+    assert quantiles.exact_quantiles(df.limit(0), ["symbol"], "x", levels).count() == 0
+
+
+def test_states(spark):
+    df = bars(spark, [1, 2, 4, 8, 16], vol=[1, 2, 3, 4, 5])
+    steps = transforms.Pipeline(transforms.LogReturn(["close"], fill=0.0), transforms.Normalization(["close"]))
+    want = values(steps.fit_transform(df), "close")
+    other = transforms.Pipeline(transforms.LogReturn(), transforms.Normalization()).restore(steps.state())
+    same(values(other.transform(df), "close"), want)
+    assert steps.output_columns(df.columns) == df.columns
+    steps.reset()
+    with pytest.raises(NotFitted):
+        steps.state()
+    with pytest.raises(NotFitted):
+        steps.steps[0][1].transform(df)
+    with pytest.raises(InvalidParameter):
+        transforms.Pipeline(transforms.LogReturn()).restore(other.state())
+    with pytest.raises(StateVersionError):
+        transforms.LogReturn().restore(transforms.Normalization(["close"]).fit(df).state())
+
+
+def test_saved_regression_cases(spark):
+    # 30 equal bars without volume, window 8; 20 bars whose first three volumes are 0, window 5.
+    df = bars(spark, [0.01] * 30, vol=[0.0] * 30)
+    assert set(values(volume.cmf(df, 8), "cmf_8")) == {None, 0.0}
+    assert set(values(volume.mfi(df, 8), "mfi_8")) == {None, 50.0}
+    assert set(values(volume.vwap(df, "rolling", 8), "vwap")) == {None}
+    close = [100 + 7 * math.sin(i * 1.7) for i in range(20)]
+    df = bars(spark, close, [c * 1.05 for c in close], [c * 0.95 for c in close], [0.0] * 3 + [1000.0 + i for i in range(17)])
+    assert all(x is None or -1 <= x <= 1 for x in values(volume.cmf(df, 5), "cmf_5"))
+    assert all(x is None or 0 <= x <= 100 for x in values(volume.mfi(df, 5), "mfi_5"))
