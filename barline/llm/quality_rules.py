@@ -15,15 +15,16 @@ columns beyond the two named ones are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barline.llm.lineage import checkpointed
 
-# Fixed: a word, and the characters that count as symbols.
-WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+# Fixed: what lies between words, what a line with a word has, and the characters that count as symbols.
+SPACE = r"[\x20\x09-\x0D]+"
+NO_SPACE = r"[^\x20\x09-\x0D]"
+SYMBOL = r"[#*$%&|<>]+"
 #: Documents that the base fails: fewer words, or a larger share (in percent) in repeated 3-word windows.
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -33,57 +34,60 @@ ITERATIONS = 12
 SMOOTHING = 1.0
 
 
-def repeated_words(words: Column, bits: Column, mask: Column, n: int = 3) -> Column:
-    """How many words lie in n-word windows that occur twice or more in ``words``.
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a one-element transform binds it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    A window is one long: its hash above, its position in as many low ``bits`` as the
-    number of words needs (``mask`` has those bits set). Sorting brings equal windows
-    together; two longs of one hash differ in the low bits only.
-    """
-    size = F.size(words)
-    packed = F.transform(
-        F.sequence(F.lit(0), size - n),
-        lambda i: F.call_function("shiftleft", F.xxhash64(*[F.get(words, i + k) for k in range(n)]), bits).bitwiseOR(i.cast("long")),
-    )
 
-    def same(x: Column, y: Column) -> Column:
-        return x.bitwiseXOR(y).between(F.lit(0), mask)
+def repeated_words(hashes: Column, n: int = 3) -> Column:
+    """How many words lie in n-word windows that occur twice or more, from the words' 64-bit hashes.
+
+    Most texts repeat no window, which a set of the windows' hashes shows. In the
+    others, sorting pairs of hash and position brings equal windows together.
+    """
 
-    def twins(windows: Column) -> Column:
-        return F.filter(windows, lambda x, i: same(x, F.get(windows, i + 1)) | same(x, F.get(windows, i - 1)))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
 
     def covered(places: Column) -> Column:
-        gaps = F.transform(places, lambda p, i: F.least(F.lit(n).cast("long"), F.coalesce(F.get(places, i + 1) - p, F.lit(n).cast("long"))))
+        gaps = F.transform(places, lambda p, i: F.least(F.lit(n), F.coalesce(F.get(places, i + 1) - p, F.lit(n))).cast("long"))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    # Each array is bound once by a one-element transform, else it would be computed again for each element.
-    count = F.transform(
-        F.array(F.sort_array(packed)),
-        lambda windows: F.get(F.transform(F.array(F.sort_array(F.transform(twins(windows), lambda x: x.bitwiseAND(mask)))), covered), 0),
-    )
-    return F.when(size >= n, F.get(count, 0)).otherwise(F.lit(0).cast("long"))
+    def in_twins(grams: Column) -> Column:
+        placed = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+
+        def twins(rows: Column) -> Column:
+            same = F.filter(rows, lambda x, i: F.coalesce(x["g"] == F.get(rows, i + 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get(rows, i - 1)["g"], F.lit(False)))
+            return F.sort_array(F.transform(same, lambda x: x["i"]))
+
+        return once(once(placed, twins), covered)
+
+    none = F.lit(0).cast("long")
+    count = once(hashes, lambda h: F.when(F.size(h) < n, none).otherwise(once(windows(h), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), none).otherwise(in_twins(g)))))
+    return count
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the figures that rules look at, for every whole text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    worded = base.select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
-    bits = F.ceil(F.log2(F.size("words").cast("double") + 1)).cast("int")
-    worded = worded.withColumn("bits", bits).withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
-    return worded.select(
+    worded = base.select("doc_id", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
+    size = F.length("text")
+
+    def lines(found: Column) -> Column:
+        return F.struct(F.size(found).cast("long").alias("n"), (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("again"))
+
+    made = worded.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 0).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words"), F.col("bits"), F.col("mask")).alias("n_repeat_words"),
-        F.get(F.transform(F.array(lines), F.size), 0).cast("long").alias("n_lines"),
-        letters.cast("long").alias("n_letters"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        (size - F.length(F.regexp_replace("text", SYMBOL, ""))).cast("long").alias("n_symbols"),
+        once(F.filter(F.split("text", "\n"), lambda x: x.rlike(NO_SPACE)), lines).alias("lines"),
+        repeated_words(F.transform("words", lambda w: F.xxhash64(w))).alias("n_repeat_words"),
+        (size - F.length(F.regexp_replace("text", r"\p{L}+", ""))).cast("long").alias("n_letters"),
         F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
     )
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.again").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").alias("n_lines"), "n_letters", "n_capitals")
 
 
 def _vote(value: Column, good: Column, bad: Column) -> Column:
@@ -123,33 +127,29 @@ class LabelModel:
         #: a bad document may well please most rules.
         self.rates = {n: {1: (0.85, 0.55), 0: (0.14, 0.2), -1: (0.01, 0.25)} for n in names}
 
-    def posterior(self) -> Column:
-        # The numbers stand in one array literal, so each iteration runs the code compiled for the first.
+    def posterior(self, votes: Column) -> Column:
+        """The chance of "good", from the votes of all rules as an array."""
         logs = [math.log(self.rates[n][vote][0] / self.rates[n][vote][1]) for n in self.names for vote in (-1, 0, 1)]
-        table = F.array(*[F.lit(x) for x in [*logs, math.log(self.prior / (1 - self.prior))]])
-        odds = F.get(table, len(logs))
-        for i, n in enumerate(self.names):
-            odds = odds + F.get(table, F.col(n).cast("int") + (3 * i + 1))
+        table = F.lit(logs)
+        odds = F.aggregate(F.transform(votes, lambda v, i: F.get(table, 3 * i + v + 1)), F.lit(math.log(self.prior / (1 - self.prior))), lambda a, x: a + x)
         return 1.0 / (1.0 + F.exp(-odds))
 
+    def votes(self) -> Column:
+        return F.array(*[F.col(n).cast("int") for n in self.names])
+
     def fit(self, patterns: DataFrame, iterations: int = ITERATIONS) -> LabelModel:
-        """Expectation-maximisation over rows of votes and ``weight``, each iteration one aggregation."""
+        """Expectation-maximisation over rows of votes and ``weight``, each iteration one aggregation by rule and vote."""
+        rows = patterns.select(self.votes().alias("votes"), "weight")
+        good, bad = F.sum(F.col("weight") * F.col("p")).alias("good"), F.sum(F.col("weight") * (1 - F.col("p"))).alias("bad")
         for _ in range(iterations):
-            good, bad = F.col("weight") * F.col("p"), F.col("weight") * (1 - F.col("p"))
-            sums = [F.sum(good).alias("good"), F.sum(bad).alias("bad")]
-            for i, n in enumerate(self.names):
-                for vote in (1, 0, -1):
-                    for side, w in (("g", good), ("b", bad)):
-                        sums.append(F.sum(F.when(F.col(n) == vote, w).otherwise(0.0)).alias(f"{side}{i}_{vote}"))
-            row = patterns.withColumn("p", self.posterior()).agg(*sums).first()
-            if row["good"] is None:
+            scored = rows.withColumn("p", self.posterior(F.col("votes"))).select("weight", "p", F.posexplode("votes").alias("rule", "vote"))
+            found = {(r["rule"], r["vote"]): (r["good"], r["bad"]) for r in scored.groupBy("rule", "vote").agg(good, bad).collect()}
+            if not found:
                 return self
-            self.prior = (row["good"] + SMOOTHING) / (row["good"] + row["bad"] + 2 * SMOOTHING)
+            totals = [sum(found.get((0, vote), (0.0, 0.0))[side] for vote in (1, 0, -1)) for side in (0, 1)]
+            self.prior = (totals[0] + SMOOTHING) / (totals[0] + totals[1] + 2 * SMOOTHING)
             for i, n in enumerate(self.names):
-                self.rates[n] = {
-                    vote: tuple((row[f"{s}{i}_{vote}"] + SMOOTHING) / (row[t] + 3 * SMOOTHING) for s, t in (("g", "good"), ("b", "bad")))
-                    for vote in (1, 0, -1)
-                }
+                self.rates[n] = {vote: tuple((found.get((i, vote), (0.0, 0.0))[side] + SMOOTHING) / (totals[side] + 3 * SMOOTHING) for side in (0, 1)) for vote in (1, 0, -1)}
         return self
 
 
@@ -158,11 +158,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     votes = rules()
     names = list(votes)
     seen = checkpointed(measures(docs, id_col, text_col).withColumns(votes))
-    patterns = checkpointed(seen.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight")).coalesce(1))
-    model = LabelModel(names).fit(patterns)
+    # Counted in parallel; only then do the rows, 3 ** rules at most, go into one partition for the iterations.
+    patterns = checkpointed(seen.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    model = LabelModel(names).fit(patterns.coalesce(1))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return (
-        seen.withColumn("p_good", model.posterior())
+        seen.withColumn("p_good", model.posterior(model.votes()))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barline.llm import sql
 from barline.llm.op1_lm_score import op1_lm_score
 from barline.llm.op2_secrets import op2_secret_scan
 from barline.llm.op3_line_dedup import op3_line_dedup
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality_rules": sql.quality_rules()}
