@@ -5,25 +5,29 @@ and a uniform one. The weights depend on how often the context h was seen (by
 powers of two) and are learned by expectation-maximisation on held-out counts: one
 fold of the training texts, scored with the counts of all other training texts.
 
-How counting is distributed: texts are dealt to blocks of bounded size by a hash of
-their id and travel compressed. Each block sends its distinct words and pairs with
+How counting is distributed: texts are dealt to blocks by a hash of their id and
+text and travel compressed. Each block sends its distinct words and pairs with
 their counts, cut by hash range, to the owner of that range; the owner adds them up
 and answers with the totals in the same order. So what is shuffled is distinct
 n-grams per block instead of tokens, and no table of the corpus is broadcast or
 collected. Totals then meet their block's texts, where all tokens are scored at
-once. Only two corpus sums, and a histogram of bounded size for the weights, reach
-the driver.
+once. Only three corpus sums, and a histogram of bounded size for the weights, reach
+the driver. Blocks and ranges grow with the root of the corpus once that keeps a
+message above MESSAGE_BYTES of text, so the number of messages (blocks times
+ranges) grows with the corpus and not with its square, and the memory of a task
+with its root.
 
 Words are runs of bytes other than white space with A-Z as a-z, told apart by
 64-bit hashes; each text ends with one end token, which is also the context of its
-first word. Defined cases: a null or empty text is its end token alone; a null id
-counts as training; repeated rows each count and each get a row; an empty table
+first word. Totals are 64-bit numbers. Defined cases: a null or empty text is its
+end token alone; a null id is dealt by its text and counts as training; repeated rows each count and each get a row; an empty table
 gives an empty result; with nothing to learn from, only the uniform estimate is
 left; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,9 +39,11 @@ from barline.llm import arrays
 from barline.llm.arrays import Words, mix
 from barline.llm.lineage import checkpointed
 
-#: Bytes of text in a block, and of all texts for each owner of a hash range, about.
+#: Bytes of text in a block, and of all texts for each owner of a hash range, about; more where messages would get small.
 BLOCK_BYTES = 12 << 20
 RANGE_BYTES = 16 << 20
+#: Bytes of a block's text for each message that it sends, at least, about.
+MESSAGE_BYTES = 2500
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: Classes of context frequency: 0, 1, 2-3, 4-7, ..
 CLASSES = 24
@@ -47,16 +53,14 @@ ITERATIONS = 60
 START = (0.4, 0.4, 0.2)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, which compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _unpacked(raw: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -101,21 +105,22 @@ class Block:
         found: list[list[np.ndarray]] = [[], [], [], []]
         for raw in answers:
             for at, part in zip(found, _fields(raw)):
-                at.append(_unpacked(part, np.uint32))
+                at.append(_numbers(part, np.uint64))
         made = [np.concatenate(f).astype(np.float64) if f else np.zeros(0) for f in found]
         return made if deleted else made[:2]
 
 
 def _joined(fields: list[bytes]) -> bytes:
-    return b"".join(len(f).to_bytes(4, "little") + f for f in fields)
+    """One compressed message."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(f).to_bytes(8, "little") + f for f in fields))
 
 
-def _fields(raw: bytes) -> Iterator[bytes]:
-    at = 0
+def _fields(message: bytes) -> Iterator[bytes]:
+    raw, at = zstandard.ZstdDecompressor().decompress(message), 0
     while at < len(raw):
-        n = int.from_bytes(raw[at : at + 4], "little")
-        yield raw[at + 4 : at + 4 + n]
-        at += 4 + n
+        n = int.from_bytes(raw[at : at + 8], "little")
+        yield raw[at + 8 : at + 8 + n]
+        at += 8 + n
 
 
 def _dealt(docs: DataFrame, held_out: Column, fold: Column, blocks: int, folds: int, id_col: str, text_col: str) -> DataFrame:
@@ -132,7 +137,7 @@ def _dealt(docs: DataFrame, held_out: Column, fold: Column, blocks: int, folds:
                     out.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
 
-    key = F.xxhash64(F.lit(11), F.col(id_col))
+    key = F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))
     block = F.when(fold, F.lit(blocks) + F.pmod(key, F.lit(folds))).otherwise(F.pmod(key, F.lit(blocks)))
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (~held_out).alias("training"), F.xxhash64(id_col, text_col).alias("text_key"), block.cast("long").alias("block"))
     return picked.mapInArrow(arrays.lean(deal), "block long, payload binary")
@@ -150,7 +155,7 @@ def _counts(table: pa.Table, ranges: int, blocks: int) -> pa.Table:
     for r in range(len(owners)):
         fields = []
         for (keys, counts, _), (first, last) in zip(sides, cuts):
-            fields += [_packed(_steps(keys[first[r] : last[r]])), _packed(counts[first[r] : last[r]])]
+            fields += [_planes(_steps(keys[first[r] : last[r]])), _planes(counts[first[r] : last[r]])]
         rows.append(_joined(fields))
     n = len(owners)
     return pa.table({"range": pa.array(owners.astype(np.int64)), "block": pa.array([number] * n, pa.int64()), "fold": pa.array([number >= blocks] * n), "payload": pa.array(rows, pa.binary())})
@@ -168,20 +173,20 @@ def _owner(table: pa.Table) -> pa.Table:
     late: list[list[bytes]] = [[] for _ in numbers]
     sums = (0, 0, 0)
     for side in (0, 2):
-        keys = [np.cumsum(_unpacked(p[side], np.uint64), dtype=np.uint64) for p in payloads]
-        counts = [_unpacked(p[side + 1], np.uint32) for p in payloads]
+        keys = [np.cumsum(_numbers(p[side], np.uint64), dtype=np.uint64) for p in payloads]
+        counts = [_numbers(p[side + 1], np.uint32) for p in payloads]
         sizes = [len(k) for k in keys]
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         every = np.concatenate(counts)
         in_fold = np.repeat(folds, sizes)
-        total = np.bincount(where, every, len(distinct)).astype(np.uint32)
-        held = np.bincount(where[in_fold], every[in_fold], len(distinct)).astype(np.uint32)
+        total = np.bincount(where, every, len(distinct)).astype(np.uint64)
+        held = np.bincount(where[in_fold], every[in_fold], len(distinct)).astype(np.uint64)
         if side == 0:
-            sums = (int((total > 0).sum()), int(total.sum(dtype=np.int64)), int(held.sum(dtype=np.int64)))
+            sums = (int((total > 0).sum()), int(total.sum()), int(held.sum()))
         for i, part in enumerate(np.split(where, np.cumsum(sizes)[:-1])):
-            answers[i].append(_packed(total[part]))
+            answers[i].append(_planes(total[part]))
             if folds[i]:
-                late[i].append(_packed(held[part]))
+                late[i].append(_planes(held[part]))
     rows = [(n, own, _joined(a + b), None, None, None) for n, a, b in zip(numbers, answers, late)] + [(None, own, None, *sums)]
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split(" ")[0] for f in ANSWERS.split(", ")])
@@ -221,9 +226,10 @@ def score(docs: DataFrame, held_out: Column, fold: Column, id_col: str = "doc_id
     true (and ``held_out`` is not) are what the mixture weights are learned on.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
+    wider = max(1.0, math.sqrt(size * MESSAGE_BYTES / (block_bytes * range_bytes)))
+    blocks = max(1, math.ceil(size / (block_bytes * wider)))
     folds = max(1, blocks // 6)
-    ranges = max(1, -(-size // range_bytes))
+    ranges = max(1, math.ceil(size / (range_bytes * wider)))
     fold = fold & ~held_out
 
     def dealt(rows: DataFrame) -> DataFrame:
