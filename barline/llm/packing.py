@@ -1,16 +1,18 @@
 """Packing token pieces into fixed-size sequences by first-fit decreasing.
 
 ``tokenize`` cuts each document's ids into pieces of at most ``capacity`` ids.
-``pack`` deals documents to groups at random (by a hash of the id) and runs
-first-fit decreasing in each group on its own: pieces in order of falling length,
-each put into the lowest-numbered sequence with room, found by a tournament tree
-over the free space of the sequences. The number of groups follows the number of
-pieces, so a group is a bounded piece of work at any size of the input.
-
-Defined cases: a null text is an empty one; an empty text has the end id alone; a
-null id is a group key like any other; repeated rows are packed as often as they
-come; an empty table gives an empty result; columns beyond the two named ones are
-not read, whatever their names.
+``pack`` deals documents to groups at random and runs first-fit decreasing in each
+group on its own: pieces in order of falling length, each put into the
+lowest-numbered sequence with room, found by a tournament tree over the free space
+of the sequences. The number of groups follows the number of pieces, so a group is
+a bounded piece of work at any size of the input. Only lengths and places go
+through the groups; token ids, where there are any, are joined to them afterwards.
+
+Defined cases: a null text is an empty one; an empty text has the end id alone;
+documents are dealt by row, so null and much repeated ids spread over all groups;
+repeated rows are packed as often as they come; equal lengths are packed by id
+(null first), then start; an empty table gives an empty result; columns beyond the
+two named ones are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from barline.llm import arrays
 from barline.llm.arrays import Words
@@ -46,6 +48,37 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
+#: Mixed case, accents, figures, marks and all white space, for telling how a tokenizer treats words.
+PROBE = "Probe WORDS, \u00c9t\u00e9 it's 12.5-3 (x)\n\tand\u00e9  a\u0301b ...Q\r\x0b\x0cz_z #9\u20ac"
+
+
+class TextEncoder:
+    """Ids of texts by any tokenizer, whole texts at a time."""
+
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer, self.end_id = tokenizer, end_id
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each text closed by the end id, and how many each has."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        parts = [np.array([*e.ids, self.end_id], np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def encoder(path: str, end_id: int) -> TextEncoder | WordEncoder:
+    """By words where the tokenizer lower-cases and treats each word alone, else by whole texts."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+
+    def ids(x: str) -> list[int]:
+        return tokenizer.encode(x, add_special_tokens=False).ids
+
+    alone = [i for w in PROBE.lower().split() for i in ids(w)]
+    return WordEncoder(tokenizer, end_id) if ids(PROBE) == alone == ids(PROBE.upper()) else TextEncoder(tokenizer, end_id)
+
+
 class WordEncoder:
     """Ids of texts by a word-level tokenizer that drops white space and letter case.
 
@@ -55,10 +88,8 @@ class WordEncoder:
     strings of special tokens go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer = tokenizer
         self.special = tuple(x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values())
         self.end_id = end_id
         self.reset()
@@ -163,39 +194,40 @@ def hashes_of(texts: list[str]) -> np.ndarray:
     return Words(data, offsets, spaces=np.zeros(256, bool)).hashes
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("deal", pa.int64())])
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of documents: doc_id, start, length, ids (little-endian uint32), doc_tokens."""
+    """Pieces of documents: doc_id, start, length, ids (little-endian uint32), doc_tokens, and a random number of each row (``deal``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = arrays.once_per_process(("WordEncoder", tokenizer_path, end_id), lambda: WordEncoder(tokenizer_path, end_id))
+        own = arrays.once_per_process(("encoder", tokenizer_path, end_id), lambda: encoder(tokenizer_path, end_id))
         for batch in batches:
             data, offsets = arrays.utf8(batch.column(1))
             for first, last in arrays.chunks(offsets):
-                keys = batch.column(0).slice(first, last - first).to_pylist()
-                ids, counts = encoder.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                ids, counts = own.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 begin = np.cumsum(counts) - counts
                 pieces = -(-counts // capacity)
-                row = np.repeat(np.arange(len(keys)), pieces)
-                start = arrays.ragged(np.zeros(len(keys), np.int64), pieces) * capacity
+                row = np.repeat(np.arange(last - first), pieces)
+                start = arrays.ragged(np.zeros(last - first, np.int64), pieces) * capacity
                 length = np.minimum(capacity, counts[row] - start)
                 at = begin[row] + start
                 ids = ids.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([keys[i] for i in row], pa.int64()),
+                        batch.column(0).take(pa.array(first + row)),
                         pa.array(start, pa.int64()),
                         pa.array(length, pa.int64()),
                         pa.array([ids[a : a + n].tobytes() for a, n in zip(at.tolist(), length.tolist())], pa.binary()),
                         pa.array(counts[row], pa.int64()),
+                        batch.column(2).take(pa.array(first + row)),
                     ],
                     schema=PIECES,
                 )
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(arrays.lean(cut), "doc_id long, start long, length long, ids binary, doc_tokens long")
+    deal = F.xxhash64(F.lit(17), F.col(id_col), F.monotonically_increasing_id())
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), deal.alias("deal"))
+    return picked.mapInArrow(arrays.lean(cut), "doc_id long, start long, length long, ids binary, doc_tokens long, deal long")
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -228,24 +260,30 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``, and without ``deal``.
 
-    Needs doc_id, start and length (1 up to ``capacity``); other columns pass
-    through. A sequence holds pieces of one group only, without gaps. No sequence
-    id occurs in two groups.
+    Needs doc_id, start, length (1 up to ``capacity``) and deal, by which rows are
+    dealt to groups; other columns pass through. A sequence holds pieces of one
+    group only, without gaps. No sequence id occurs in two groups.
     """
-    pieces = checkpointed(pieces)
+    pieces = checkpointed(pieces.drop("sequence_id", "offset").withColumn("pack_row", F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.count() // group_pieces))
 
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        group = int(part["pack_group"].iloc[0])
-        part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(part["length"].tolist(), capacity)
-        part["sequence_id"] = np.array(bins, np.int64) + (group << 32)
-        part["offset"] = np.array(offsets, np.int64)
-        return part.drop(columns="pack_group")
-
-    schema = pieces.drop("sequence_id", "offset").schema.add("sequence_id", "long").add("offset", "long")
-    keyed = pieces.drop("sequence_id", "offset").withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
-    return keyed.groupBy("pack_group").applyInPandas(arrays.lean_group(fill), schema)
+    def fill(table: pa.Table) -> pa.Table:
+        # Nulls come first in one order only if it is that of all keys, so lengths are sorted by their negative.
+        table = table.append_column("less", pc.negate(table.column("length")))
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("less", "doc_id", "start", "pack_row")], null_placement="at_start"))
+        bins, offsets = first_fit_decreasing(table.column("length").to_pylist(), capacity)
+        group = table.column("pack_group")[0].as_py()
+        made = table.select([n for n in table.column_names if n not in ("less", "pack_group")])
+        return made.append_column("sequence_id", pa.array(np.array(bins, np.int64) + (group << 32))).append_column("offset", pa.array(offsets, pa.int64()))
+
+    placed = pieces.withColumn("pack_group", F.pmod("deal", F.lit(groups))).drop("deal")
+    light = [f for f in placed.schema.fields if not isinstance(f.dataType, (T.BinaryType, T.StringType))]
+    heavy = [f.name for f in placed.schema.fields if f not in light]
+    schema = T.StructType([f for f in light if f.name != "pack_group"]).add("sequence_id", "long").add("offset", "long")
+    packed = placed.select(*[f.name for f in light]).groupBy("pack_group").applyInArrow(arrays.lean_group(fill), schema)
+    if heavy:
+        packed = packed.join(pieces.select("pack_row", *heavy), "pack_row")
+    return packed.select(*[c for c in pieces.columns if c not in ("deal", "pack_row")], "sequence_id", "offset")
