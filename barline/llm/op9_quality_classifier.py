@@ -10,8 +10,9 @@ from barline.llm.quality_classifier import fit, grade
 
 
 def ratings(labels: DataFrame) -> DataFrame:
-    """Grades from the two labels: 0 low quality, 1 good but toxic, 2 good and clean."""
-    return labels.withColumn("grade", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2))
+    """Grades from the two labels: 0 low quality, 1 good but toxic, 2 good and clean; good with unknown toxicity, or of unknown quality, has none."""
+    good = F.col("quality") == 1
+    return labels.withColumn("grade", F.when(F.col("quality") == 0, 0).when(good & (F.col("toxic") == 1), 1).when(good & (F.col("toxic") == 0), 2))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

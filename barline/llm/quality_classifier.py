@@ -8,8 +8,8 @@ probability P(grade >= g) with which texts are selected.
 
 Defined cases: null, empty and wordless texts have no features, so their score is
 0; with no labels every grade is equally likely; a single grade leaves the weights
-at 0; repeated rows each get the same result; an empty table gives an empty
-result; only the named columns are read.
+at 0; a chance that equals the limit is enough; repeated rows each get the same
+result; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -56,7 +56,8 @@ def features(words: Words, buckets: int = BUCKETS) -> np.ndarray:
         ending = ending * np.uint64(257) + np.where(size >= k, data[np.maximum(words.ends - k, 0)], 0).astype(np.uint64)
     shape = many(_UPPER) + 4 * many(_DIGIT) + 16 * many(_SYMBOL) + 64 * np.minimum(size // 4, 7)
     again = np.zeros(n, np.int64)
-    again[1:] = words.hashes[1:] == words.hashes[:-1]
+    row = words.rows()
+    again[1:] = (words.hashes[1:] == words.hashes[:-1]) & (row[1:] == row[:-1])
     out = np.empty((n, 4), np.int64)
     for i, x in enumerate((words.hashes, arrays.mix(ending + np.uint64(1 << 40)), arrays.mix(shape.astype(np.uint64) + np.uint64(1 << 41)), arrays.mix(again.astype(np.uint64) + np.uint64(1 << 42)))):
         out[:, i] = (x % np.uint64(buckets)).astype(np.int64)
@@ -72,6 +73,19 @@ def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return sigmoid(score[:, None] - thresholds[None, :])
 
 
+def slopes(y: np.ndarray, mass: np.ndarray, score: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log-likelihood of the grades, and its slopes by score and by threshold."""
+    grades = len(thresholds) + 1
+    tail = np.concatenate([np.ones((len(y), 1)), tails(score, thresholds), np.zeros((len(y), 1))], axis=1)
+    low, high = tail[np.arange(len(y)), y], tail[np.arange(len(y)), y + 1]
+    p = np.maximum(low - high, 1e-9)
+    slope_low, slope_high = low * (1 - low), high * (1 - high)
+    to_threshold = np.zeros(grades + 1)
+    np.add.at(to_threshold, y, mass * slope_low / p)
+    np.add.at(to_threshold, y + 1, -mass * slope_high / p)
+    return -float((mass * np.log(p)).sum()), -mass * (slope_low - slope_high) / p, to_threshold[1:grades]
+
+
 def fit(texts: list[str], labels: list[int], weights: list[float], epochs: int = EPOCHS) -> bytes:
     """Weights and ordered thresholds by Adagrad on the weighted likelihood of the grades."""
     y, mass = np.array(labels, np.int64), np.array(weights)
@@ -98,18 +112,11 @@ def fit(texts: list[str], labels: list[int], weights: list[float], epochs: int =
     for _ in range(epochs):
         thresholds = base + np.concatenate([[0], np.cumsum(np.exp(gaps))])
         score = np.bincount(doc, value * w[feature], len(y))
-        tail = np.concatenate([np.ones((len(y), 1)), tails(score, thresholds), np.zeros((len(y), 1))], axis=1)
-        low, high = tail[np.arange(len(y)), y], tail[np.arange(len(y)), y + 1]
-        p = np.maximum(low - high, 1e-9)
-        slope_low, slope_high = low * (1 - low), high * (1 - high)
-        to_score = -mass * (slope_low - slope_high) / p
-        to_threshold = np.zeros(grades + 1)
-        np.add.at(to_threshold, y, mass * slope_low / p)
-        np.add.at(to_threshold, y + 1, -mass * slope_high / p)
+        _, to_score, to_threshold = slopes(y, mass, score, thresholds)
         gradient = np.bincount(feature, value * to_score[doc], BUCKETS) / len(y) + DECAY * w
         square += gradient**2
         w -= RATE * gradient / np.sqrt(square)
-        moved = to_threshold[1:grades] / len(y)
+        moved = to_threshold / len(y)
         parts = np.concatenate([[moved.sum()], [moved[k:].sum() * np.exp(gaps[k - 1]) for k in range(1, grades - 1)]])
         extra += parts**2
         parts = 0.5 * RATE * parts / np.sqrt(extra)

@@ -5,12 +5,15 @@ an unseen misspelling shares most vectors with the word it comes from. A window
 words is the mean of its words and goes through a linear softmax; vectors and
 softmax are trained together by Adagrad in numpy. A document is as toxic as its
 most toxic window: training starts from all windows with their document's label
-and goes on with each document's top windows. Scores are calibrated on documents
-kept out of that training.
+and goes on with each document's top windows (an average over a whole text would hide
+one toxic sentence in a long document). The cut at which a text counts as toxic is
+fitted on documents kept out of that training.
 
 Defined cases: null, empty and wordless texts score like a window without words;
-with no labels, or of one class only, every score is 0; repeated rows each get the
-same score; an empty table gives an empty result; only the named columns are read.
+with no labels, or of one class only, every score is 0; with so few documents that
+a class would be missing in the training or the calibration part, both use all of
+them; equal top windows count once; repeated rows each get the same score; an empty
+table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ RATE = 0.25
 #: Pull of a vector towards zero, and the training documents that an n-gram must occur in to have one.
 DECAY = 1e-6
 LEAST_DOCUMENTS = 3
+#: Steps of the fit (not of scoring): windows that each of the first three epochs takes at most, drawn at random from
+#: all windows of the sample, and further clean windows that each later epoch takes beside the top ones.
+FIRST_WINDOWS, CLEAN_WINDOWS = 40_000, 3_000
 #: Documents count as toxic from this score on.
 THRESHOLD = 0.3
 
@@ -107,7 +113,12 @@ def fit(texts: list[str], labels: list[int], weights: list[float], epochs: int =
     grams, size = subwords(names)
     at = np.cumsum(size) - size
     row, start, end = window_bounds(words.row_at)
-    held = np.arange(len(y)) % 5 == 4  # for calibration
+    held = np.zeros(len(y), bool)  # for calibration: every fifth document of each class
+    for own in (np.flatnonzero(y), np.flatnonzero(~y)):
+        held[own[4::5]] = True
+    train = ~held
+    if not (y[held].any() and not y[held].all()):
+        held, train = np.ones(len(y), bool), np.ones(len(y), bool)
     # N-grams of few documents would be learnt by heart, so they keep the zero vector.
     holding = np.zeros(BUCKETS, np.int64)
     for first, last in zip(words.row_at[:-1], words.row_at[1:]):
@@ -149,29 +160,32 @@ def fit(texts: list[str], labels: list[int], weights: list[float], epochs: int =
             square += gradient**2
             value -= 0.2 * RATE * gradient / np.sqrt(square)
 
-    usable = np.flatnonzero(~held[row] & (end > start))
+    usable = np.flatnonzero(train[row] & (end > start))
+    if not len(usable):
+        return b""
     for epoch in range(epochs):
         if epoch < 3:
-            chosen = usable if len(usable) < 40_000 else rng.choice(usable, 40_000, replace=False)
+            chosen = usable if len(usable) < FIRST_WINDOWS else rng.choice(usable, FIRST_WINDOWS, replace=False)
         else:
             z = logits()
             order = usable[np.lexsort((-z[usable], row[usable]))]
             rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
             chosen = order[(rank == 0) | ((rank < 4) & ~y[row[order]])]
-            chosen = np.concatenate([chosen, rng.choice(order[~y[row[order]]], min(len(order), 3000))])
+            clean = order[~y[row[order]]]
+            chosen = np.concatenate([chosen, rng.choice(clean, min(len(clean), CLEAN_WINDOWS))]) if len(clean) else chosen
         chosen = rng.permutation(chosen)
         for k in range(0, len(chosen), 256):
             batch = chosen[k : k + 256]
             target = y[row[batch]].astype(np.float32)
             step(batch, target, np.full(len(batch), 1.0 / len(batch), np.float32))
     top = tops(row, logits(), len(y))
-    scale = calibrate(top[held], y[held], weight[held]) if y[held].any() and not y[held].all() else (1.0, 0.0)
+    scale = calibrate(top[held], y[held], weight[held])
     return pickle.dumps(((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), scale))
 
 
 def calibrate(top: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset with which a sigmoid of the top logit is the chance of the label, and
-    the best cut (by F1) has the score THRESHOLD."""
+    """Slope and offset of a sigmoid of the top logit: the best cut (by F1) gets the score THRESHOLD,
+    and the slope follows the spread of the logits. Scores rank texts; only the cut is fitted."""
     cuts = np.unique(top)
     cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2]) if len(cuts) > 1 else cuts
     f1 = np.array([2 * (weight * (y & (top >= c))).sum() / max((weight * y).sum() + (weight * (top >= c)).sum(), 1e-9) for c in cuts])
