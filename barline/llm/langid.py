@@ -32,12 +32,18 @@ from barline.llm import arrays
 
 #: Characters in an n-gram.
 ORDER = 4
-#: Characters of labelled text per language that a model is fitted to, about (a bound on the fit, never on what is scored).
+#: Characters of labelled text per language that a model is fitted to, about (a bound on the fit, never on what is scored),
+#: of all languages together (shared equally where there are many), and documents per language at least, about.
 SAMPLE_CHARS = 1_500_000
+ALL_CHARS = 60_000_000
+LEAST_DOCUMENTS = 30
 #: Bytes of text that are scored at a time.
 CHUNK_BYTES = 1 << 19
-#: Languages that a model may have.
-MAX_LANGUAGES = 500
+#: Cells (n-grams by languages) up to which all languages' log probabilities are kept in one table; beyond, each language
+#: looks its own n-grams up, with the same results.
+TABLE_CELLS = 50_000_000
+#: The calibration texts of a language above which the limit lies, as a share: one odd text in fifty sets no limit.
+CALIBRATION = 0.98
 #: Added to the calibrated limit, so that texts of two languages or with much junk stay.
 MARGIN_BITS = 1.0
 UNDETERMINED = "und"
@@ -161,7 +167,7 @@ def fit_language(texts: list[str], order: int) -> bytes:
             sizes.append(len(own))
             spread = max(spread, float(loss.std()) if len(own) > 100 else 0.0)
     spread = 4 * max(spread, 1.0)
-    level = np.quantile(np.array(losses) - spread / np.sqrt(sizes), 0.999) if losses else 8.0
+    level = np.quantile(np.array(losses) - spread / np.sqrt(sizes), CALIBRATION) if losses else 8.0
     typical = float(np.median(losses)) if losses else 8.0
     return pickle.dumps((grams[first], (order, model.uniform, model.levels), (max(float(level), typical) + MARGIN_BITS, spread)))
 
@@ -177,10 +183,22 @@ class Identifier:
         if self.languages:
             grams = np.concatenate([g for g, _, _ in loaded.values()])
             self.known, first = np.unique(keys(grams), return_index=True)
-            self.bits = self.losses(grams[first])
-
-    def losses(self, grams: np.ndarray) -> np.ndarray:
-        return np.stack([-np.log2(m.probabilities(grams)) for m in self.models], axis=1).astype(np.float32)
+            self.bits = None
+            if len(self.known) * len(self.languages) <= TABLE_CELLS:
+                self.bits = [self.losses(m, grams[first]) for m in self.models]
+
+    @staticmethod
+    def losses(model: KneserNey, grams: np.ndarray) -> np.ndarray:
+        return (-np.log2(model.probabilities(grams))).astype(np.float32)
+
+    def bits_of(self, language: int, grams: np.ndarray, row: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Bits of each n-gram in one language."""
+        if self.bits is None:
+            return self.losses(self.models[language], grams)
+        bits = self.bits[language][row]
+        if not hit.all():
+            bits[~hit] = self.losses(self.models[language], np.ascontiguousarray(grams[~hit]))
+        return bits
 
     def identify(self, texts: list[str]) -> list[tuple[str, float, float | None, bool]]:
         """For each text: language, confidence, cross-entropy in bits per character, accepted."""
@@ -190,18 +208,18 @@ class Identifier:
         x, at = codes(texts, self.order)
         grams = windows(x, self.order)
         n = self.order - 1
-        bits = np.zeros((len(x) + 1, len(self.languages)), np.float32)
-        if len(grams):
-            row, hit = found(self.known, keys(grams))
-            bits[n:-1] = self.bits[row]
-            if not hit.all():
-                bits[n:-1][~hit] = self.losses(np.ascontiguousarray(grams[~hit]))
         scored = x != _START
-        bits[:-1][~scored] = 0
         letters = np.concatenate([[0], np.cumsum(scored & (x != 32))])
         sizes = np.diff(np.concatenate([[0], np.cumsum(scored)])[at])
         has = np.diff(letters[at]) > 0
-        entropy = np.add.reduceat(bits, at[:-1], axis=0, dtype=np.float64) / np.maximum(sizes, 1)[:, None]
+        entropy = np.zeros((len(texts), len(self.languages)))
+        if len(grams):
+            row, hit = found(self.known, keys(grams))
+            bits = np.zeros(len(x) + 1, np.float32)
+            for i in range(len(self.languages)):  # one language at a time, so memory doesn't grow with their number
+                bits[n:-1] = self.bits_of(i, grams, row, hit)
+                bits[:-1][~scored] = 0
+                entropy[:, i] = np.add.reduceat(bits, at[:-1], dtype=np.float64) / np.maximum(sizes, 1)
         best = entropy.argmin(axis=1)
         low = entropy[np.arange(len(texts)), best]
         ahead = (entropy - low[:, None]) * np.minimum(sizes, 60)[:, None]
@@ -220,17 +238,17 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     """A fitted model for each language of ``labelled``.
 
     Rows are taken by a hash of their id so that each language gives about
-    ``sample_chars`` characters. Each language is fitted in a task of its own.
+    ``sample_chars`` characters, and about LEAST_DOCUMENTS documents at least. Each
+    language is fitted in a task of its own.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(5), F.col(id_col), F.col(text_col)).alias("key")
     )
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("docs")).collect()
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, sample_chars / max(r["n"], 1)))])
+    chars = min(sample_chars, ALL_CHARS / len(sizes))
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, max(chars / max(r["n"], 1), LEAST_DOCUMENTS / r["docs"])))])
     picked = rows.where(F.pmod("key", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
