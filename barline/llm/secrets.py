@@ -4,8 +4,11 @@ Three fixed patterns give the base spans. The method then looks at candidate
 strings (runs of base64-like characters). For each character class a window slides
 over the runs of that class; its Shannon entropy follows from character counts
 that change by one in and one out per step. Windows above the class's threshold
-are joined to spans. An allow-list suppresses identifiers that are no secrets, and
-spans that a base span covers already are not repeated.
+are joined to spans. An allow-list suppresses identifiers that are no secrets:
+numbers, words and paths without figures (so a random string of letters alone is
+none), UUIDs, dates and words joined by marks. Of spans of this kind that overlap,
+one is made; those that base spans cover whole are not repeated, those that they
+cover in part stay whole.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows each
 get their own result; an empty table gives an empty result; positions are code

@@ -194,19 +194,79 @@ def test_decontamination_of_cut_and_edited_passages(spark):
         assert jaccard(bag(" ".join(docs[i].split()[r.first_word :][: len(items[k].split())])), bag(items[k])) == r.similarity
 
 
-def test_lm_counts(corpus):
-    df, docs = corpus
+def plain_lm(docs, held_out, fold):
+    """Counts, weights and scores of deleted interpolation in plain Python."""
+    import math
+
     low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-    tokens = [x.encode().translate(low).split() + [None] for x in docs]
-    counts = Counter(t for i, ts in enumerate(tokens) if i % 5 for t in ts)
-    n, v = sum(counts.values()), len(counts)
-    rows = lm_score.score(df, F.col("doc_id") % 5 == 0, F.col("doc_id") % 5 == 1, block_bytes=9000, range_bytes=7000).collect()
-    for r in rows:
-        ts = tokens[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ts), sum(counts[t] > 0 for t in ts), n)
-        assert r.base_score == pytest.approx(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in ts))
-    held = [r for r in rows if r.doc_id % 5 == 0]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    tokens = [[w for w in re.split(rb"[\x20\x09-\x0d]+", x.encode().translate(low)) if w] + [None] for x in docs]
+    words, pairs, fold_words, fold_pairs = Counter(), Counter(), Counter(), Counter()
+    for i, ts in enumerate(tokens):
+        if not held_out(i):
+            both = list(zip([None, *ts], ts))
+            words.update(ts)
+            pairs.update(both)
+            if fold(i):
+                fold_words.update(ts)
+                fold_pairs.update(both)
+    n, v, rest = sum(words.values()), len(words), sum(words.values()) - sum(fold_words.values())
+
+    def kind(count):
+        return min(math.floor(math.log2(count + 1)), lm_score.CLASSES - 1)
+
+    def cell(p):
+        return min(math.floor(-math.log10(p) / lm_score.STEP), lm_score.CELLS - 2) if p > 0 else None
+
+    def middle(c):
+        return 0.0 if c is None else 10 ** (-(c + 0.5) * lm_score.STEP)
+
+    events = Counter()
+    for i, ts in enumerate(tokens):
+        if fold(i) and not held_out(i):
+            for h, w in zip([None, *ts], ts):
+                seen = words[h] - fold_words[h]
+                pair = (pairs[h, w] - fold_pairs[h, w]) / seen if seen else 0
+                events[kind(seen), cell(pair), cell((words[w] - fold_words[w]) / max(rest, 1))] += 1
+    weights = [list(lm_score.START) for _ in range(lm_score.CLASSES)]
+    for _ in range(lm_score.ITERATIONS):
+        sums = [list(lm_score.START) for _ in range(lm_score.CLASSES)]
+        for (k, pair, word), count in events.items():
+            parts = [x * y for x, y in zip(weights[k], (middle(pair), middle(word), 1 / (v + 1)))]
+            for j in range(3):
+                sums[k][j] += count * parts[j] / sum(parts)
+        weights = [[x / sum(row) for x in row] for row in sums]
+    scores = []
+    for ts in tokens:
+        total = 0.0
+        for h, w in zip([None, *ts], ts):
+            a, b, c = weights[kind(words[h])]
+            total += math.log10(a * (pairs[h, w] / words[h] if words[h] else 0) + b * words[w] / max(n, 1) + c / (v + 1))
+        scores.append(total)
+    return tokens, words, n, v, scores
+
+
+def test_lm_scores(corpus):
+    df, docs = corpus
+    tokens, counts, n, v, want = plain_lm(docs, lambda i: i % 5 == 0, lambda i: i % 5 == 1)
+    for blocks, ranges in ((9000, 7000), (1 << 20, 1 << 20)):
+        rows = lm_score.score(df, F.col("doc_id") % 5 == 0, F.col("doc_id") % 5 == 1, block_bytes=blocks, range_bytes=ranges).collect()
+        for r in rows:
+            ts = tokens[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ts), sum(counts[t] > 0 for t in ts), n)
+            assert r.base_score == pytest.approx(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in ts))
+            assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
+        held = [r for r in rows if r.doc_id % 5 == 0]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_totals_beyond_32_bits():
+    import pyarrow as pa
+
+    count = np.array([3_000_000_000], np.uint32)
+    message = lm_score._joined([lm_score._planes(np.array([7], np.uint64)), lm_score._planes(count), lm_score._planes(np.zeros(0, np.uint64)), lm_score._planes(np.zeros(0, np.uint32))])
+    rows = lm_score._owner(pa.table({"range": [0, 0], "block": [0, 1], "fold": [False, True], "payload": pa.array([message] * 2, pa.binary())})).to_pylist()
+    assert (rows[-1]["types"], rows[-1]["tokens"], rows[-1]["fold_tokens"]) == (1, 6_000_000_000, 3_000_000_000)
+    assert [lm_score._numbers(f, np.uint64).tolist() for f in lm_score._fields(rows[1]["payload"])] == [[6_000_000_000], [], [3_000_000_000], []]
 
 
 def test_quality_measures(corpus):
@@ -295,6 +355,144 @@ def test_partly_covered_secrets_are_kept():
     assert scanner.extra(x, [(0, 0, 12), (12, 2, len(x))]) == [] and len(scanner.extra(x, [(0, 0, 12), (13, 2, len(x))])) == 1
 
 
+def plain_spans(x):
+    """All spans of a text by re-computing every window."""
+    import math
+
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x) if len(m.group(1)) >= 12]
+    base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", x) if len(m.group()) >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", x) if len(m.group()) >= 16]
+    hexadecimal, every = set("0123456789abcdefABCDEF"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    found, i = set(), 0
+    while i < len(x):
+        j = i
+        while j < len(x) and x[j] in every:
+            j += 1
+        word = x[i:j]
+        if len(word) >= 20 and any(c in "0123456789" for c in word) and not any(re.fullmatch(p, word, re.ASCII) for p in secrets.ALLOWED):
+            for alphabet, n, bits in ((hexadecimal, 24, 3.0), (every, 20, 3.75)):
+                marked = set()
+                for k in range(len(word) - n + 1):
+                    w = word[k : k + n]
+                    if set(w) <= alphabet and -sum(c / n * math.log2(c / n) for c in Counter(w).values()) >= bits - 1e-9:
+                        marked |= set(range(k, k + n))
+                runs = [(a, next(b for b in range(a, len(word) + 1) if b not in marked)) for a in marked if a - 1 not in marked]
+                found |= {(i + a, 3, i + b) for a, b in runs if re.search("[0-9]", word[a:b]) and re.search("[A-Za-z]", word[a:b])}
+        i = max(j, i + 1)
+    covered = {p for a, _, b in base for p in range(a, b)}
+    extra = []
+    for a, _, b in sorted(found):
+        if not set(range(a, b)) <= covered:
+            extra = [*extra[:-1], (extra[-1][0], 3, max(b, extra[-1][2]))] if extra and a < extra[-1][2] else [*extra, (a, 3, b)]
+    return sorted(base), extra
+
+
+def test_secrets_whole(spark):
+    rng = random.Random(21)
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+
+    def piece():
+        make = rng.randrange(9)
+        run = "".join(rng.choice((every, "0123456789abcdef", "0123456789ABCDEF", "ab01", "0123456789")[rng.randrange(5)]) for _ in range(rng.randint(1, 60)))
+        name = rng.choice(("password", "Token", "API_KEY", "apikey", "secret", "passwd", "key"))
+        return (run, f"{name}={run}", f'{name}" : \'{run}', "AKIA" + run.upper(), run[:20] + "0123456789abcdef" + run[20:], text(rng, 4), "123e4567-e89b-12d3-a456-426614174000", "2024-01-02T03-04", "é" + run)[make]
+
+    docs = [rng.choice((" ", "\n", "=", ";", "")).join(piece() for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    rows = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    more = 0
+    for i, x in enumerate(docs):
+        base, extra = plain_spans(x)
+        assert rows[i].spans == secrets.joined(sorted(base + extra)), x
+        assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex, rows[i].n_entropy] == [sum(k == n for _, k, _ in base) for n in range(3)] + [len(extra)]
+        more += len(extra)
+    assert more > 100
+
+
+def test_recall_of_random_strings():
+    rng, scanner = random.Random(22), secrets.Scanner()
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n, least in ((24, 0.9), (32, 0.98), (40, 0.99)):
+        made = ["".join(rng.choice(every) for _ in range(n)) for _ in range(2000)]
+        assert sum(bool(scanner.extra(f"key {x} end", [])) for x in made) / len(made) >= least
+    prose = [text(rng, 200) for _ in range(50)] + ["see https://example.org/some/path/to/a/page-of-words and some_long_identifier_name_here"]
+    assert not any(scanner.extra(x, []) for x in prose)
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by dictionaries of strings."""
+
+    def __init__(self, texts, order):
+        self.order, self.tables = order, []
+        counts = Counter(g for t in texts for g in self.grams(t))
+        self.uniform = 1 / (len({g[-1] for g in counts}) + 1)
+        while True:
+            singles, doubles = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+            discount = singles / (singles + 2 * doubles) if singles and doubles else 0.5
+            totals, kinds = Counter(), Counter()
+            for g, c in counts.items():
+                totals[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            self.tables.insert(0, (counts, totals, kinds, discount))
+            if len(next(iter(counts))) == 1:
+                break
+            counts = Counter(g[1:] for g in counts)
+
+    def line(self, t):
+        return "\x02" * (self.order - 1) + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
+
+    def grams(self, t):
+        x = self.line(t)
+        return [x[i : i + self.order] for i in range(len(x) - self.order + 1)]
+
+    def probability(self, gram):
+        p = self.uniform
+        for k, (counts, totals, kinds, discount) in enumerate(self.tables, 1):
+            g = gram[self.order - k :]
+            if totals[g[:-1]]:
+                p = max(counts[g] - discount, 0) / totals[g[:-1]] + discount * kinds[g[:-1]] / totals[g[:-1]] * p
+        return p
+
+    def bits(self, t):
+        import math
+
+        own = self.grams(t)
+        return sum(-math.log2(self.probability(g)) for g in own) / len(own)
+
+
+def test_kneser_ney_against_dictionaries(monkeypatch):
+    rng = random.Random(31)
+    languages = {"a": "abcdeéü", "b": "cdefgh", "c": "xyzwvab"}
+    made = {k: ["".join(rng.choice(v + "  .") for _ in range(rng.randint(5, 120))) for _ in range(9)] for k, v in languages.items()}
+    models = {k: langid.fit_language(v, 4) for k, v in made.items()}
+    plain = {k: PlainKneserNey(v, 4) for k, v in made.items()}
+    tests = ["".join(rng.choice(languages[k] + " Q7") for _ in range(rng.randint(1, 200))) for k in "abc" for _ in range(20)] + ["123 ...", ""]
+    for cells in (langid.TABLE_CELLS, 0):
+        monkeypatch.setattr(langid, "TABLE_CELLS", cells)
+        for t, (language, _, low, _) in zip(tests, langid.Identifier(models).identify(tests)):
+            if not any(c.isalpha() for c in t):
+                assert language == "und"
+                continue
+            want = {k: m.bits(t) for k, m in plain.items()}
+            assert low == pytest.approx(min(want.values()), rel=1e-5) and want[language] == pytest.approx(low, rel=1e-5)
+
+
+def test_foreign_and_random_text_is_rejected(spark):
+    rng = random.Random(32)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = langid.fit(docs)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(300)) for _ in range(20)]
+    made = langid.identify(spark.createDataFrame(list(enumerate([finnish, *noise])), "doc_id long, text string"), models).collect()
+    assert not any(r.accepted for r in made)
+    assert langid.identify(docs.where("lang is not null and length(text) > 100"), models).select(F.avg(F.col("accepted").cast("int")).alias("x")).first().x > 0.995
+
+
+def test_language_fit_has_documents_of_each_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 10)
+    docs = spark.createDataFrame([(i, "some words of a language here " * 50, "en") for i in range(400)], "doc_id long, text string, lang string")
+    assert langid.fit(docs, sample_chars=10)["en"]
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     made = langid.identify(docs.where("doc_id % 3 = 0"), langid.fit(docs.where("doc_id % 3 != 0")))

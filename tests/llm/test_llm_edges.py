@@ -33,6 +33,15 @@ def test_packing(spark, odd):
     assert packing.pack(packing.tokenize(odd.limit(0), path)).count() == 0
 
 
+def test_packing_keeps_large_ids_and_spreads_rows_without_one(spark):
+    path, big = public_tokenizers.path("word_bpe_49k.json"), 9007199254740993
+    docs = spark.createDataFrame([(big + i, "some words") for i in range(4)] + [(None, "no id")] * 200, "doc_id long, text string")
+    made = packing.pack(packing.tokenize(docs, path), group_pieces=40).collect()
+    assert sorted(r.doc_id for r in made if r.doc_id is not None) == [big + i for i in range(4)] and len(made) == 204
+    groups = {r.sequence_id >> 32 for r in made if r.doc_id is None}
+    assert len(groups) == 6
+
+
 def test_secrets(odd):
     rows = {r.doc_id: r for r in secrets.scan(odd).collect()}
     assert rows[1].spans == "" and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
@@ -58,7 +67,10 @@ def test_quality_rules(odd):
 def test_classifiers(odd):
     assert {r.score for r in toxicity.score(odd, b"").collect()} == {0.0} and toxicity.score(odd.limit(0), b"").count() == 0
     assert {r.kept for r in quality_classifier.grade(odd, b"").collect()} == {True} and quality_classifier.grade(odd.limit(0), b"").count() == 0
-    assert toxicity.fit(["a", "b"], [0, 0], [1, 1]) == b""
+    assert toxicity.fit(["a", "b"], [0, 0], [1, 1]) == b"" and toxicity.fit(["", ""], [0, 1], [1, 1]) == b""
+    for labels in ([1, 1, 1, 1, 0], [0, 1], [0, 0, 0, 0, 1], [1] * 9 + [0], [0] * 5 + [1] * 5):
+        made = toxicity.fit([f"word{i} other{i} text" for i in range(len(labels))], labels, [1.0] * len(labels))
+        assert all(0 <= r.score <= 1 for r in toxicity.score(odd, made).collect())
     model = quality_classifier.fit(["a b", "c d", ""], [0, 2, 1], [1, 1, 1])
     rows = quality_classifier.grade(odd, model).collect()
     assert len(rows) == 8 and all(0 <= r.p_good <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
