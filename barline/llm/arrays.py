@@ -20,6 +20,8 @@ import pyarrow as pa
 
 #: Bytes of text that one chunk holds at most, unless a single text is longer.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a single long text whose words are found at a time.
+SLICE_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -140,10 +142,35 @@ def folded(data: np.ndarray) -> np.ndarray:
     return data
 
 
+def next_gap(data: np.ndarray, begin: int, spaces: np.ndarray) -> int:
+    """How far the next separator is from ``begin``, or the rest of the data."""
+    for at in range(begin, len(data), SLICE_BYTES):
+        found = np.flatnonzero(spaces[data[at : at + SLICE_BYTES]])
+        if len(found):
+            return at + int(found[0]) - begin
+    return len(data) - begin
+
+
 class Words:
     """Words of consecutive texts: byte bounds, 64-bit hashes, and rows as ranges of words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, values=BYTE_VALUES, spaces=SPACES):
+        self.data = data
+        parts, begin = [], 0
+        while begin < len(data):
+            end = begin + SLICE_BYTES
+            if end < len(data):  # slices end where words do, so that a very long text needs no more memory than a slice
+                end += next_gap(data, end, spaces)
+            end = min(end, len(data))
+            inside = offsets[np.searchsorted(offsets, begin) : np.searchsorted(offsets, end, "right")] - begin
+            parts.append([x + y for x, y in zip(self._found(data[begin:end], inside, values, spaces), (begin, begin, np.uint64(0)))])
+            begin = end
+        self.starts, self.ends, self.hashes = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        #: Row i has the words row_at[i] up to row_at[i + 1].
+        self.row_at = np.searchsorted(self.starts, offsets)
+
+    @staticmethod
+    def _found(data: np.ndarray, offsets: np.ndarray, values: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
         solid = ~spaces[data]
         first = np.zeros(n + 1, bool)
@@ -154,14 +181,11 @@ class Words:
         after = np.empty(n, bool)
         after[-1:] = True
         after[:-1] = ~solid[1:]
-        self.data = data
-        self.starts = np.flatnonzero(solid & (before | first[:-1]))
-        self.ends = np.flatnonzero(solid & (after | first[1:])) + 1
+        starts = np.flatnonzero(solid & (before | first[:-1]))
+        ends = np.flatnonzero(solid & (after | first[1:])) + 1
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values[data] * powers(_BASE, n), out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * powers(_INVERSE, n + 1)[self.starts])
-        #: Row i has the words row_at[i] up to row_at[i + 1].
-        self.row_at = np.searchsorted(self.starts, offsets)
+        return starts, ends, mix((total[ends] - total[starts]) * powers(_INVERSE, n + 1)[starts])
 
     @property
     def per_row(self) -> np.ndarray:

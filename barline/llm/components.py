@@ -1,8 +1,9 @@
 """Connected components of links by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join, so a node with very many links is
-pre-aggregated before the shuffle and split by the skew join. The links never
-leave the cluster. Edges shrink to stars whose centre is the least node.
+Each step is a grouped minimum, pre-aggregated before the shuffle, and a join with
+it. Up to BROADCAST_EDGES edges that join is a broadcast; beyond, a node with very
+many links is split by the skew join. The links never leave the cluster. Edges
+shrink to stars whose centre is the least node.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 from barline.llm.lineage import checkpointed
 
 
-def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
+#: Edges (two numbers each) up to which the least neighbours of all nodes are broadcast.
+BROADCAST_EDGES = 1_000_000
+
+
+def _toward_least(edges: DataFrame, larger_only: bool, few: bool) -> DataFrame:
     """Links every neighbour (or those above the node itself) with the least node of the neighbourhood."""
     least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = edges.join(least, "a")
+    joined = edges.join(F.broadcast(least) if few else least, "a")
     if larger_only:
         return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -28,13 +33,14 @@ def components(links: DataFrame) -> DataFrame:
     Null ends and links of a node with itself are left out. No links: an empty table.
     """
     edges = checkpointed(links.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct())
-    state = None
+    state = (edges.count(), None)
     while True:
+        few = state[0] <= BROADCAST_EDGES
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _toward_least(both, larger_only=True).where(F.col("a") != F.col("b")).distinct()
+        large = _toward_least(both, True, few).where(F.col("a") != F.col("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        edges = checkpointed(_toward_least(down, larger_only=False).where(F.col("a") != F.col("b")).distinct())
-        seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges = checkpointed(_toward_least(down, False, few).where(F.col("a") != F.col("b")).distinct())
+        seen = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == state:
             break
         state = seen

@@ -11,11 +11,14 @@ are filled, so a long text costs little more than a short one.
 
 Signatures are banded. Links within a bucket are verified exactly on the multisets.
 Buckets are not expanded to all pairs: every member is first linked with one
-centre, then classes are formed, and only members of different classes are compared
-further: by pairs of rows in small buckets; in large ones, all members outside the
-largest class are held against all members, in blocks of texts of which only the
-links that join classes come back. No bucket keeps an unchecked pair of different
-classes, and no candidate is capped.
+centre, and classes are formed. Members of buckets that then still hold several
+classes are searched by an exact filter instead: two texts of the similarity asked
+for must share one of their rarest shingles (the rarest by count among these texts,
+as many as may be missing, and one more), so only texts of different classes that
+share such a shingle are compared. Template pages, which share most shingles but
+not the rare ones, thus meet nobody. No candidate is capped. A comparison is done
+for a group of one text and some partners; a text with many partners is dealt to
+many groups.
 
 Defined cases: texts with the same words are copies whatever the white space; a
 text of one to four words has one shingle of all its words; null, empty and
@@ -32,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.llm import arrays
 from barline.llm.arrays import Words, mix, ragged
@@ -45,12 +49,14 @@ SLOTS = 128
 BANDS = 32
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Buckets with more members of several classes are compared in blocks of texts instead of by pairs of rows.
-HOT = 48
-BLOCK = 200
+#: Partners of a text, and bytes of theirs, in one group of comparisons, about.
+GROUP_PARTNERS = 64
+GROUP_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
-#: Of 128 one-bit slots, so many differ at most between texts of similarity 0.8 (four standard deviations).
-MOST_BITS_APART = 27
+#: Elements of a multiset that are hashed at a time.
+ELEMENTS = 1 << 20
+#: Of 128 one-bit slots, more than this differ between texts of similarity 0.8 with a chance below 10 ** -10.
+MOST_BITS_APART = 40
 
 
 def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,43 +81,48 @@ def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np
 
 def bag_minhash(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int, slots: int = SLOTS) -> np.ndarray:
     """Earliest point of every slot of every row, as a 64-bit hash; 0 in rows without elements."""
+    mass = np.bincount(row, weight, rows)
+    until = (np.log(slots) + 3) * slots / np.maximum(mass, 1)
+    earliest = np.full(rows * slots, np.inf)
+    there = np.flatnonzero(mass > 0)
+    todo = np.arange(len(row))
+    while len(todo):
+        for k in range(0, len(todo), ELEMENTS):
+            part = todo[k : k + ELEMENTS]
+            run_processes(row[part], key[part], weight[part], until, earliest, slots)
+        short = there[~np.isfinite(earliest.reshape(rows, slots)[there]).all(axis=1)]
+        until[short] *= 2
+        todo = np.flatnonzero(np.isin(row, short))  # rarely any: their processes are run anew and further
+    earliest[~np.isfinite(earliest)] = 0
+    return mix(earliest.view(np.uint64)).reshape(rows, slots)
+
+
+def run_processes(row: np.ndarray, key: np.ndarray, weight: np.ndarray, until: np.ndarray, earliest: np.ndarray, slots: int) -> None:
+    """Runs the processes of some elements up to the time of their rows and lowers ``earliest`` by their points."""
     levels = 1 + np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64)
     element = np.repeat(np.arange(len(row)), levels)
     level = ragged(np.zeros(len(row), np.int64), levels)
-    rate = np.where(level == 0, 1.0, np.exp2(level - 1.0))
-    start = np.where(level == 0, 0.0, rate)
-    owner = row[element]
-    below = weight[element].astype(np.float64)
-    state = mix(key[element] + level.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    r = np.where(level == 0, 1.0, np.exp2(level - 1.0))
+    z = np.where(level == 0, 0.0, r)
+    who, b = row[element], weight[element].astype(np.float64)
+    s = mix(key[element] + level.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     unit = 2.0**-53
 
     def next_gap(state: np.ndarray, rate: np.ndarray) -> np.ndarray:
         return -np.log1p(-((state >> np.uint64(11)) * unit)) / rate
 
-    time = next_gap(state, rate)
-    mass = np.bincount(row, weight, rows)
-    until = (np.log(slots) + 3) * slots / np.maximum(mass, 1)
-    earliest = np.full(rows * slots, np.inf)
-    there = np.flatnonzero(mass > 0)
+    t = next_gap(s, r)
     while True:
-        live = np.flatnonzero(time <= until[owner])
-        t, s, who, r, b, z = time[live], state[live], owner[live], rate[live], below[live], start[live]
-        while len(t):
-            point = mix(s + np.uint64(1))
-            place = z + np.floor((point >> np.uint64(32)) * 2.0**-32 * r)
-            hit = place < b
-            np.minimum.at(earliest, who[hit] * slots + (point[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64) % slots, t[hit])
-            s = mix(point + np.uint64(0x9E3779B97F4A7C15))
-            t = t + next_gap(s, r)
-            time[live], state[live] = t, s
-            on = t <= until[who]
-            live, t, s, who, r, b, z = live[on], t[on], s[on], who[on], r[on], b[on], z[on]
-        short = there[~np.isfinite(earliest.reshape(rows, slots)[there]).all(axis=1)]
-        if not len(short):
-            break
-        until[short] *= 2
-    earliest[~np.isfinite(earliest)] = 0
-    return mix(earliest.view(np.uint64)).reshape(rows, slots)
+        on = t <= until[who]
+        t, s, who, r, b, z = t[on], s[on], who[on], r[on], b[on], z[on]
+        if not len(t):
+            return
+        point = mix(s + np.uint64(1))
+        place = z + np.floor((point >> np.uint64(32)) * 2.0**-32 * r)
+        hit = place < b
+        np.minimum.at(earliest, who[hit] * slots + (point[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64) % slots, t[hit])
+        s = mix(point + np.uint64(0x9E3779B97F4A7C15))
+        t = t + next_gap(s, r)
 
 
 def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -123,23 +134,24 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """doc_id, copy (128 bits of the word sequence as two longs; null without words), bits (two longs) and bands of each text."""
+    """doc_id, copy (128 bits of the word sequence as two longs; null without words), size in bytes, bits (two longs) and bands of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            size = np.diff(arrays.utf8(batch.column(1))[1])
             for first, last, words in arrays.words_in_chunks(batch.column(1), limit=CHUNK_BYTES):
                 signature = bag_minhash(*shingles(words, n), last - first)
                 bits = np.packbits((signature & np.uint64(1)).astype(bool), axis=1).view(np.int64)
                 raw = [words.hashes[a:b].tobytes() for a, b in zip(words.row_at[:-1], words.row_at[1:])]
                 digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in raw), np.int64).reshape(-1, 2)
                 none = words.per_row == 0
-                columns = [batch.column(0).slice(first, last - first), pa.array(digest[:, 0], mask=none), pa.array(digest[:, 1], mask=none), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+                columns = [batch.column(0).slice(first, last - first), pa.array(digest[:, 0], mask=none), pa.array(digest[:, 1], mask=none), pa.array(size[first:last]), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
                 bands = band_hashes(signature).view(np.int64)
                 columns.append(pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), pa.array(bands.ravel())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy1", "copy2", "bits1", "bits2", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy1", "copy2", "size", "bits1", "bits2", "bands"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(arrays.lean(run), "doc_id long, copy1 long, copy2 long, bits1 long, bits2 long, bands array<long>")
+    return picked.mapInArrow(arrays.lean(run), "doc_id long, copy1 long, copy2 long, size long, bits1 long, bits2 long, bands array<long>")
 
 
 def weighted_jaccard(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
@@ -149,35 +161,45 @@ def weighted_jaccard(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarra
     return shared / max(int(na.sum() + nb.sum()) - shared, 1)
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of distinct ``ids``: broadcast to the scan up to BROADCAST_IDS of them, joined by a shuffle beyond."""
+    ids = checkpointed(ids.distinct())
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """Those pairs (a, b) of ids whose whole texts have at least ``similarity``, with it as column ``similarity``.
 
-    Texts of candidate documents alone are moved: their ids are broadcast to the
-    scan up to BROADCAST_IDS of them and joined by a shuffle beyond.
+    ``pairs`` also has the ``size`` of b's text in bytes. A group of comparisons has
+    one text a and up to about GROUP_PARTNERS partners, so a text moves once for
+    each group, not for each pair, and the partners of one text spread over tasks.
     """
-    ids = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, id_col, text_col)
+    groups = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_PARTNERS), F.ceil(F.sum("size") / GROUP_BYTES)).cast("int")
+    centres = checkpointed(pairs.groupBy("a").agg(groups.alias("groups")))
+    many = centres.where("groups > 1")
+    dealt = pairs.join(F.broadcast(many) if many.count() <= BROADCAST_IDS else many, "a", "left")
+    dealt = dealt.select("a", F.pmod(F.xxhash64(F.lit(29), "b"), F.coalesce("groups", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("centre"))
+    copies = centres.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("a").alias("id"), F.lit(True).alias("centre"))
+    rows = dealt.unionByName(copies).join(texts, "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.diff(arrays.utf8(batch.column(2))[1]) + np.diff(arrays.utf8(batch.column(3))[1])
-            for first, last in arrays.chunks(np.concatenate([[0], np.cumsum(size)])):
-                part = batch.slice(first, last - first)
-                sides = []
-                for k in (2, 3):
-                    row, key, number = shingles(Words(*arrays.utf8(part.column(k))), n)
-                    sides.append((key, number, np.searchsorted(row, np.arange(len(part) + 1))))
-                found = np.zeros(len(part))
-                for i in range(len(part)):
-                    (a, na, at), (b, nb, to) = sides
-                    found[i] = weighted_jaccard(a[at[i] : at[i + 1]], na[at[i] : at[i + 1]], b[to[i] : to[i + 1]], nb[to[i] : to[i + 1]])
-                keep = pa.array(found >= similarity)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(found).filter(keep)], names=["a", "b", "similarity"])
-
-    return both.select("a", "b", "left", "right").mapInArrow(arrays.lean(run), "a long, b long, similarity double")
+    def compare(table: pa.Table) -> pa.Table:
+        first, others = table.filter(table.column("centre")), table.filter(pc.invert(table.column("centre")))
+        if not len(first) or not len(others):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        _, own, own_count = shingles(Words(*arrays.utf8(first.column("text"))), n)
+        found = np.zeros(len(others))
+        for begin, end, words in arrays.words_in_chunks(others.column("text"), limit=CHUNK_BYTES):
+            row, key, number = shingles(words, n)
+            at = np.searchsorted(row, np.arange(end - begin + 1))
+            for i in range(end - begin):
+                found[begin + i] = weighted_jaccard(own, own_count, key[at[i] : at[i + 1]], number[at[i] : at[i + 1]])
+        keep = pa.array(found >= similarity)
+        return pa.table({"a": others.column("a").filter(keep), "b": others.column("id").filter(keep), "similarity": pa.array(found).filter(keep)})
+
+    return rows.groupBy("a", "part").applyInArrow(arrays.lean_group(compare), "a long, b long, similarity double")
 
 
 def _close(x: str, y: str) -> Column:
@@ -185,88 +207,43 @@ def _close(x: str, y: str) -> Column:
     return apart <= MOST_BITS_APART
 
 
-def similar(left: Words, right: Words, n: int = SHINGLE) -> np.ndarray:
-    """Weighted Jaccard similarity of every text of one block with every text of another."""
-    sides = [shingles(words, n) for words in (left, right)]
-    sizes = [len(words.row_at) - 1 for words in (left, right)]
-    mass = [np.bincount(row, number, size) for (row, _, number), size in zip(sides, sizes)]
-    both = np.intersect1d(sides[0][1], sides[1][1])
-    shared = np.zeros(sizes)
-    for first in range(0, len(both), 4096):
-        part = both[first : first + 4096]
-        dense = []
-        for (row, key, number), size in zip(sides, sizes):
-            at = np.minimum(np.searchsorted(part, key), len(part) - 1)
-            hit = part[at] == key
-            counts = np.zeros((size, len(part)), np.int32)
-            counts[row[hit], at[hit]] = number[hit]
-            dense.append(counts)
-        for level in range(1, int(min(dense[0].max(), dense[1].max())) + 1):
-            columns = (dense[0] >= level).any(axis=0) & (dense[1] >= level).any(axis=0)
-            shared += (dense[0][:, columns] >= level).astype(np.float32) @ (dense[1][:, columns] >= level).astype(np.float32).T
-    return shared / np.maximum(mass[0][:, None] + mass[1][None, :] - shared, 1)
-
-
-def joining(a: np.ndarray, b: np.ndarray, class_a: np.ndarray, class_b: np.ndarray) -> list[int]:
-    """Those of the links (a, b) that join classes not joined by earlier ones."""
-    parent: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while parent.get(c, c) != c:
-            parent[c] = parent.get(parent[c], parent[c])
-            c = parent[c]
-        return c
-
-    kept = []
-    for i, (c, d) in enumerate(zip(class_a.tolist(), class_b.tolist())):
-        c, d = root(c), root(d)
-        if c != d:
-            parent[max(c, d)] = min(c, d)
-            kept.append(i)
-    return kept
-
-
-def block_links(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) of at least ``similarity`` that join the classes of members of large buckets.
-
-    Buckets that share members are one group, so that a pair is compared once. In a
-    group, every member outside its largest class is held against every member, in
-    blocks of about BLOCK texts a side.
-    """
-    members = checkpointed(members.select("id", "component", "centre"))
-    groups = components(members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b")))
-    placed = members.select("id", F.col("component").alias("class")).distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
-    counted = placed.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("group").agg(F.max_by("class", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    largest = largest.select("group", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"))
-    placed = checkpointed(placed.join(largest, "group"))
-
-    def place(count: str) -> Column:
-        return F.pmod(F.xxhash64(F.lit(23), "id"), F.col(count)).cast("int")
-
-    def every(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    sides = [
-        placed.where(F.col("class") != F.col("main")).select("group", place("lefts").alias("left"), every("rights").alias("right"), F.lit(True).alias("side"), "id", "class"),
-        placed.where("lefts > 0").select("group", every("lefts").alias("left"), place("rights").alias("right"), F.lit(False).alias("side"), "id", "class"),
-    ]
-    ids = checkpointed(placed.select("id").distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+def rare_partners(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+    """Pairs (a, b, size of b) of ``members`` (id, class, size) of different classes that may have ``similarity``: all that do are among them.
 
-    def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        parts = [table.filter(pa.array(side)), table.filter(pa.array(~side))]
-        id_a, id_b = (p.column("id").to_numpy() for p in parts)
-        class_a, class_b = (p.column("class").to_numpy() for p in parts)
-        value = similar(*(Words(*arrays.utf8(p.column("text"))) for p in parts))
-        i, j = np.nonzero((value >= similarity) & (class_a[:, None] != class_b[None, :]))
-        kept = joining(id_a[i], id_b[j], class_a[i], class_b[j])
-        return pa.table({"a": pa.array(id_a[i[kept]]), "b": pa.array(id_b[j[kept]])})
+    A text of mass m shares at least ceil(similarity * m) of it with any such
+    partner, so among the shingles ordered by their number of texts, the first ones
+    of a mass above m - ceil(similarity * m) have one that is among the partner's
+    first ones too. For each such shingle, the texts outside the class that holds
+    most of its texts meet all others.
+    """
 
-    rows = sides[0].unionByName(sides[1]).join(texts, "id")
-    return checkpointed(rows.groupBy("group", "left", "right").applyInArrow(arrays.lean_group(compare), "a long, b long"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, words in arrays.words_in_chunks(batch.column(3), limit=CHUNK_BYTES):
+                row, key, number = shingles(words, n)
+                mass = np.bincount(row, number, last - first).astype(np.int64)
+                at = pa.array(first + row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(at) for i in range(3)), pa.array(mass[row]), pa.array(key.view(np.int64)), pa.array(number)], names=["id", "class", "size", "mass", "key", "number"]
+                )
+
+    members = checkpointed(members.select("id", "class", "size").distinct())
+    texts = members.join(texts_of(members.select("id"), docs, id_col, text_col), "id")
+    grams = checkpointed(texts.select("id", "class", "size", "text").mapInArrow(arrays.lean(split), "id long, class long, size long, mass long, key long, number long"))
+    counted = grams.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    order = Window.partitionBy("id").orderBy("texts", "key")
+    before = F.coalesce(F.sum("number").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A hair below, so that a share that is a whole number stays one.
+    spare = F.col("mass") - F.ceil(F.col("mass") * similarity - 1e-6)
+    rare = checkpointed(grams.join(counted.where("texts > 1"), "key", "left").withColumn("texts", F.coalesce("texts", F.lit(1))).withColumn("before", before).where((F.col("before") <= spare) & (F.col("texts") > 1)).select("key", "id", "class", "size", "mass"))
+    by_class = rare.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_class.groupBy("key").agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main")
+    sides = rare.join(mixed, "key")
+    x, y = sides.where(F.col("class") != F.col("main")).alias("x"), sides.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & ((F.col("y.class") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+    close = F.least("x.mass", "y.mass") >= F.greatest("x.mass", "y.mass") * similarity - 1e-6
+    ahead = F.col("x.id") < F.col("y.id")
+    return x.join(y, met & close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(ahead, F.col("y.size")).otherwise(F.col("x.size")).alias("size")).distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,29 +253,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     # One row for each distinct text; a group of copies is reduced before the shuffle.
     copies = checkpointed(
         worded.groupBy("copy1", "copy2").agg(
-            F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2"), F.first("bands").alias("bands")
         )
     )
-    members = copies.where(F.col("id").isNotNull()).select("id", "bits1", "bits2", F.posexplode("bands").alias("band", "bucket"))
+    members = copies.where(F.col("id").isNotNull()).select("id", "size", "bits1", "bits2", F.posexplode("bands").alias("band", "bucket"))
     centre = members.groupBy("band", "bucket").agg(F.min_by(F.struct("id", "bits1", "bits2"), "id").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = checkpointed(members.join(centre, ["band", "bucket"]))
-    first = crowded.alias("m").where((F.col("m.id") != F.col("m.c.id")) & _close("m", "m.c")).select(F.col("m.c.id").alias("a"), F.col("m.id").alias("b")).distinct()
-    first = checkpointed(first)
-    links = checkpointed(verified(first, docs, similarity, id_col, text_col).select("a", "b"))
-    # Members of one bucket that are not in one class yet are compared with each other.
-    labelled = crowded.drop("c", "n").join(components(links), crowded["id"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-    split = labelled.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.min("id").alias("centre"))
-    open_rows = checkpointed(labelled.join(split.where("low != high").drop("low", "high"), ["band", "bucket"]))
-    cool = open_rows.where(F.col("n") <= HOT)
-    x, y = cool.alias("x"), cool.alias("y")
-    more = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = checkpointed(verified(checkpointed(more), docs, similarity, id_col, text_col).select("a", "b"))
-    more = more.unionByName(block_links(open_rows.where(F.col("n") > HOT), docs, similarity, id_col, text_col))
+    first = crowded.alias("m").where((F.col("m.id") != F.col("m.c.id")) & _close("m", "m.c")).select(F.col("m.c.id").alias("a"), F.col("m.id").alias("b"), "size").distinct()
+    links = checkpointed(verified(checkpointed(first), docs, similarity, id_col, text_col).select("a", "b"))
+    # Members of buckets that still hold several classes are searched for partners in other classes.
+    labelled = crowded.select("band", "bucket", "id", "size").join(components(links), F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
+    split = labelled.groupBy("band", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band", "bucket")
+    more = checkpointed(rare_partners(labelled.join(split, ["band", "bucket"]), docs, similarity, id_col, text_col))
+    more = checkpointed(verified(more, docs, similarity, id_col, text_col).select("a", "b"))
     found = components(links.unionByName(more))
     named = copies.select("copy1", "copy2", "id", "n_copies").join(found, copies["id"] == found["node"], "left").select("copy1", "copy2", F.coalesce("component", "id").alias("class_id"), "n_copies")
     with_words = worded.select("doc_id", "copy1", "copy2").join(named, ["copy1", "copy2"]).select("doc_id", "class_id", "n_copies")

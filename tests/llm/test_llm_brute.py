@@ -53,8 +53,8 @@ def jaccard(a, b):
 
 
 def test_near_dup_classes(corpus, monkeypatch):
-    monkeypatch.setattr(near_dup, "HOT", 8)
-    monkeypatch.setattr(near_dup, "BLOCK", 10)
+    monkeypatch.setattr(near_dup, "GROUP_PARTNERS", 5)
+    monkeypatch.setattr(near_dup, "ELEMENTS", 100)
     df, docs = corpus
     bags, parent = [bag(x) for x in docs], list(range(len(docs)))
     for i in range(len(docs)):
@@ -66,6 +66,30 @@ def test_near_dup_classes(corpus, monkeypatch):
     assert got == {i: root(parent, i) for i in range(len(docs))}
 
 
+def test_rare_partners(spark):
+    """All pairs of different classes at 0.8 are candidates; pages of one template are not, however many."""
+    rng = random.Random(51)
+    template = text(rng, 150).split()
+    docs, classes = [], []
+    for i in range(600):
+        w = list(template)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = "w%d" % rng.randrange(10**6)
+        w += ["own%d" % rng.randrange(10**6) for _ in range(40 if i % 6 else rng.randint(0, 4))]
+        docs.append(" ".join(w))
+        classes.append(i if i % 6 else i % 4)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    members = spark.createDataFrame([(i, c, len(x)) for i, (c, x) in enumerate(zip(classes, docs))], "id long, class long, size long")
+    got = [tuple(sorted((r.a, r.b))) for r in near_dup.rare_partners(members, df).collect()]
+    bags = [bag(x) for x in docs]
+    want = {(i, j) for j in range(600) for i in range(j) if classes[i] != classes[j] and jaccard(bags[i], bags[j]) >= 0.8}
+    assert len(set(got)) == len(got) and want <= set(got)
+    own = [p for p in got if p[0] % 6 and p[1] % 6]
+    assert len(want) > 100 and len(own) < 600
+    found = {tuple(sorted((r.a, r.b))): r.similarity for r in near_dup.verified(near_dup.rare_partners(members, df), df).collect()}
+    assert set(found) == want and all(v == pytest.approx(jaccard(bags[i], bags[j])) for (i, j), v in found.items())
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(1)
     off = []
@@ -499,6 +523,18 @@ def test_languages_held_out(spark):
     assert made.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("x")).first().x > 0.97
 
 
+def test_words_of_long_texts_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(52)
+    data = [" ".join("x" * rng.choice((1, 3, 40)) for _ in range(rng.randint(0, 60))) + rng.choice(("", " ", "\n")) for _ in range(30)] + ["y" * 900, "", " ", "z" * 300 + " a"]
+    _, _, whole = next(arrays.words_in_chunks(pa.array(data)))
+    for size in (1, 7, 64, 500):
+        monkeypatch.setattr(arrays, "SLICE_BYTES", size)
+        _, _, cut = next(arrays.words_in_chunks(pa.array(data)))
+        assert all(np.array_equal(getattr(whole, k), getattr(cut, k)) for k in ("starts", "ends", "hashes", "row_at"))
+
+
 def test_word_hashes():
     import pyarrow as pa
 
