@@ -8,12 +8,20 @@ and partner length make one 64-bit key; rows that share a key meet in one sorted
 partition. A parity signature of the characters discards most chance meetings, and
 a banded bit-parallel edit distance verifies the rest on the whole lines.
 
+Hot keys (lines of one template share whole segments) are found on a sample of the
+lines and treated apart: what is left of a line without the shared segment is cut
+into segments once more, so that lines meet only if they share a second segment.
+The cuts of a key follow how much its lines vary from place to place, so that each
+new segment has a like share of what tells the lines apart. This goes on while a
+key would still make many pairs. It loses no pair: what is left of two lines within
+``edits`` edits is itself within ``edits`` edits.
+
 Lines linked directly or through others form a class, named by its first line (by
 doc_id, then line number). Deduplication keeps that line and drops the others.
 
 Defined cases: a line is what lies between two newlines; lines of white space only
-are not compared and always stay; lines shorter than MIN_CHARS match only if
-equal; null and empty texts have no lines to drop; rows of one doc_id are taken
+are not compared and always stay; lines shorter than ``min_chars`` match only if
+equal (MIN_CHARS by default, 1 compares all); null and empty texts have no lines to drop; rows of one doc_id are taken
 together, so repeated rows get one result; rows without doc_id cannot be the first
 line of a class and are left as they are; an empty table gives an empty result;
 lines are told apart by 64-bit hashes.
@@ -33,8 +41,15 @@ from barline.llm.components import components
 from barline.llm.lineage import checkpointed
 
 EDITS = 2
-#: Shorter lines are other lines after two edits, so they match only if equal.
+#: What the operator means by a repeated line: shorter lines are other lines after two edits, so they match only if equal.
 MIN_CHARS = 20
+#: A key is looked at as a hot one from so many rows of every SAMPLE-th line on, and split if its rows would make more pairs.
+SAMPLE, SAMPLED_ROWS = 64, 32
+MANY_PAIRS = 1 << 18
+#: Lines of a hot key that its cuts are chosen by, about.
+PROFILE_ROWS = 200
+#: Line hashes that a task remembers, so as to send a repeated line once.
+REMEMBERED = 1 << 20
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Pairs that are compared at a time.
@@ -47,31 +62,40 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return i * base + np.maximum(0, i - (parts - rest)), base + (i >= parts - rest)
 
 
-def segment_keys(lines: list[str], edits: int = EDITS) -> Iterator[tuple[bool, np.ndarray]]:
-    """(whether it is an index key, keys of all lines) for each segment and probe; 0 where a probe does not fit."""
+def code_points(lines: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def rolling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of code points and factors, by which ``(total[b] - total[a]) * inverse[a]`` is the hash of x[a:b]."""
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(mix(x.astype(np.uint64) + np.uint64(3)) * arrays.powers(arrays._BASE, len(x)), out=total[1:])
+    return total, arrays.powers(arrays._INVERSE, len(x) + 1)
+
+
+def segment_keys(lines: list[str], edits: int = EDITS) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each segment and probe: whether it is an index key, how many characters more the line has than its partner, the
+    keys of all lines (0 where a probe does not fit), and where the substring starts and how long it is."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    total, inverse = rolling(code_points(lines))
     at = np.cumsum(size) - size
-    total = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(mix(x + np.uint64(3)) * arrays.powers(arrays._BASE, len(x)), out=total[1:])
-    inverse = arrays.powers(arrays._INVERSE, len(x) + 1)
     for fewer in range(edits + 1):
         length = size - fewer
         for i in range(edits + 1):
             start, many = segment(length, i, edits + 1)
             for shift in range(max(-i, fewer - (edits - i)), min(i, fewer + edits - i) + 1):
                 a = start + shift
-                fits = (a >= 0) & (a + many <= size) & (many > 0)
-                a = np.where(fits, at + a, at)
-                b = np.where(fits, a + many, a)
-                key = mix((total[b] - total[a]) * inverse[a] + mix((length * 8 + i).astype(np.uint64)))
-                yield fewer == 0 and shift == 0, np.where(fits, key, 0)
+                fits = (a >= 0) & (a + many <= size) & (length > 0)
+                begin = np.where(fits, at + a, at)
+                end = np.where(fits, begin + many, begin)
+                key = mix((total[end] - total[begin]) * inverse[begin] + mix((length * 8 + i).astype(np.uint64)))
+                yield fewer == 0 and shift == 0, fewer, np.where(fits, key, 0), a, many
 
 
 def parity(lines: list[str]) -> np.ndarray:
     """A bit for each of 64 classes of characters: whether the line has an odd number of them. An edit turns two bits at most."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    x = code_points(lines)
     return np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (x % 64).astype(np.uint64)), np.cumsum(size) - size)
 
 
@@ -152,20 +176,35 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.where(F.col("line").rlike(r"\S")).withColumn("h", F.xxhash64("line"))
 
 
-def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines that may be within ``edits`` edits."""
+KEYED = "key long, index boolean, h long, sign long"
+
+
+def keyed(lines: DataFrame, edits: int, places: bool = False) -> DataFrame:
+    """Index and probe rows of lines (h, line); with ``places`` also the line's surplus and its substring."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.int64)
         for batch in batches:
-            _, once = np.unique(batch.column(0).to_numpy(), return_index=True)
-            batch = batch.take(pa.array(once))
+            h, once = np.unique(batch.column(0).to_numpy(), return_index=True)
+            new = ~np.isin(h, known, assume_unique=True)
+            known = np.union1d(known, h) if len(known) < REMEMBERED else h
+            batch = batch.take(pa.array(once[new]))
             for first, last in arrays.chunks(arrays.utf8(batch.column(1))[1]):
                 h = batch.column(0).slice(first, last - first).to_numpy()
                 text = batch.column(1).slice(first, last - first).to_pylist()
                 sign = parity(text).view(np.int64)
-                for index, key in segment_keys(text, edits):
+                for index, fewer, key, a, many in segment_keys(text, edits):
                     fits = np.flatnonzero(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[fits].view(np.int64)), pa.array(np.full(len(fits), index)), pa.array(h[fits]), pa.array(sign[fits])], names=["key", "index", "h", "sign"])
+                    made = [pa.array(key[fits].view(np.int64)), pa.array(np.full(len(fits), index)), pa.array(h[fits]), pa.array(sign[fits])]
+                    if places:
+                        made += [pa.array(np.full(len(fits), fewer)), pa.array(a[fits]), pa.array(many[fits])]
+                    yield pa.RecordBatch.from_arrays(made, names=["key", "index", "h", "sign", "fewer", "at", "many"][: len(made)])
+
+    return lines.select("h", "line").mapInArrow(arrays.lean(emit), KEYED + (", fewer long, at long, many long" if places else ""))
+
+
+def met(rows: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of lines whose rows (key, index, h, sign) share a key."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -187,8 +226,97 @@ def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         if held:
             yield from out([np.concatenate(c) for c in zip(*held)])
 
-    rows = lines.where(F.length("line") >= min_chars).select("h", "line").mapInArrow(arrays.lean(emit), "key long, index boolean, h long, sign long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(arrays.lean(meet), "a long, b long").distinct()
+    return rows.select("key", "index", "h", "sign").repartition("key").sortWithinPartitions("key").mapInArrow(arrays.lean(meet), "a long, b long")
+
+
+def cuts_by_variety(lines: list[str], parts: int) -> list[int]:
+    """Ends of ``parts`` segments of lines of one length, each with a like share of the entropy of the lines' places."""
+    n = len(lines[0])
+    x = code_points([y for y in lines if len(y) == n]).reshape(-1, n)
+    weight = np.full(n, 1e-3)  # so that places without variety are shared out too
+    for i in range(n):
+        share = np.unique(x[:, i], return_counts=True)[1] / len(x)
+        weight[i] += -(share * np.log(share)).sum()
+    total = np.cumsum(weight)
+    ends: list[int] = []
+    for k in range(1, parts):
+        end = int(np.searchsorted(total, total[-1] * k / parts)) + 1
+        ends.append(min(max(end, (ends[-1] if ends else 0) + 1), n - (parts - k)))
+    return [*ends, n]
+
+
+def split_again(rows: DataFrame, edits: int) -> DataFrame:
+    """Rows (key, index, h, sign, fewer, rest, ends) as rows of their second segments; ``rest`` loses the shared one."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in arrays.chunks(arrays.utf8(batch.column(5))[1]):
+                part = batch.slice(first, last - first)
+                key, index, h, sign, fewer = (part.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                rest = part.column(5).to_pylist()
+                ends = np.array(part.column(6).to_pylist(), np.int64).reshape(len(rest), edits + 1)
+                size = np.fromiter(map(len, rest), np.int64, len(rest))
+                total, inverse = rolling(code_points(rest))
+                at = np.cumsum(size) - size
+                for j in range(edits + 1):
+                    start = ends[:, j - 1] if j else np.zeros(len(rest), np.int64)
+                    many = ends[:, j] - start
+                    for shift in range(-edits, edits + 1):
+                        a = start + shift
+                        ok = np.flatnonzero((np.abs(shift) + np.abs(fewer - shift) <= edits) & (a >= 0) & (a + many <= size))
+                        begin, end = (at + a)[ok], (at + a + many)[ok]
+                        new = mix((total[end] - total[begin]) * inverse[begin] + mix(key[ok].view(np.uint64) + np.uint64(j + 1)))
+                        left = [rest[i][:p] + rest[i][q:] for i, p, q in zip(ok.tolist(), a[ok].tolist(), (a + many)[ok].tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(new.view(np.int64)), pa.array(index[ok] & (shift == 0)), pa.array(h[ok]), pa.array(sign[ok]), pa.array(fewer[ok]), pa.array(left, pa.string())],
+                            names=["key", "index", "h", "sign", "fewer", "rest"],
+                        )
+
+    return rows.mapInArrow(arrays.lean(emit), KEYED + ", fewer long, rest string")
+
+
+def hot_pairs(lines: DataFrame, hot: DataFrame, edits: int) -> list[DataFrame]:
+    """Tables of the pairs (a, b) that meet at hot keys, one for each level of cutting."""
+
+    def beside(table: DataFrame, few: DataFrame) -> DataFrame:
+        return table.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "key")
+
+    placed = checkpointed(beside(keyed(lines, edits, places=True), hot))
+    ids = checkpointed(placed.select("h").distinct())
+    texts = lines.select("h", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "h", "left_semi").dropDuplicates(["h"])
+    rest = F.concat(F.substr("line", F.lit(1), F.col("at").cast("int")), F.substr("line", (F.col("at") + F.col("many") + 1).cast("int")))
+    rows = checkpointed(placed.join(texts, "h").select("key", "index", "h", "sign", "fewer", rest.alias("rest")))
+    found = []
+    while True:
+        own = F.max(F.when(F.col("index"), F.length("rest"))).alias("chars")
+        sizes = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count_if("index").alias("indexed"), own).where("indexed > 0 and rows > 1"))
+        hot_now = (F.col("rows") * F.col("indexed") > MANY_PAIRS) & (F.col("chars") > edits)
+        few = sizes.where(hot_now)
+        found.append(met(beside(rows, sizes.where(~hot_now).select("key")), edits))
+        if few.isEmpty():
+            return found
+        # Places are judged by some index rows of each key, taken by their hash; any cuts are right, good ones make fewer pairs.
+        some = beside(rows.where("index"), few.select("key", "indexed")).where(F.pmod(F.xxhash64(F.lit(31), "h"), F.greatest(F.floor(F.col("indexed") / PROFILE_ROWS), F.lit(1))) == 0)
+
+        def profile(table: pa.Table) -> pa.Table:
+            return pa.table({"key": table.column("key").slice(0, 1), "ends": pa.array([cuts_by_variety(table.column("rest").to_pylist(), edits + 1)], pa.list_(pa.int32()))})
+
+        cuts = checkpointed(some.select("key", "rest").groupBy("key").applyInArrow(profile, "key long, ends array<int>"))
+        rows = checkpointed(split_again(beside(rows, cuts).select("key", "index", "h", "sign", "fewer", "rest", "ends"), edits))
+
+
+def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Pairs (a, b) of hashes of different lines that may be within ``edits`` edits."""
+    lines = lines.where(F.length("line") >= min_chars).select("h", "line")
+    sampled = keyed(lines.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h"]), edits).groupBy("key").count()
+    hot = checkpointed(sampled.where(F.col("count") >= SAMPLED_ROWS).select("key"))
+    rows, many = keyed(lines, edits), hot.count()
+    if not many:
+        return met(rows, edits).distinct()
+    pairs = met(rows.join(F.broadcast(hot) if many <= BROADCAST_IDS else hot, "key", "left_anti"), edits)
+    for more in hot_pairs(lines, hot, edits):
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
 
 
 def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -256,7 +384,8 @@ def kept_text(text: Column, dropped: Column) -> Column:
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated lines; documents of which no line is left go."""
     made = decisions(repeated_lines(docs, edits, min_chars, id_col, text_col)).where(F.size("dropped") > 0).select(F.col("doc_id").alias("__of"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(made, docs[id_col] == made["__of"], "left")
-    text = F.when(F.col("__of").isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col).cast("string"), F.col("__dropped")))
-    whole = joined.withColumn(text_col, text).where(F.col("__of").isNull() | F.col(text_col).isNotNull())
-    return whole.select(*docs.columns)
+    # The row travels as one column, so that no column of the documents clashes with a helper.
+    joined = docs.select(F.struct(*docs.columns).alias("row")).join(made, F.col(f"row.`{id_col}`") == F.col("__of"), "left")
+    text = F.when(F.col("__of").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept_text(F.col(f"row.`{text_col}`").cast("string"), F.col("__dropped")))
+    whole = joined.withColumn("__text", text).where(F.col("__of").isNull() | F.col("__text").isNotNull())
+    return whole.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -142,6 +142,52 @@ def test_edit_links(spark):
     assert got == {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
 
 
+def linked(lines, edits_allowed=2):
+    return {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= edits_allowed and edits(a, b) <= edits_allowed}
+
+
+def edit_pairs(spark, lines, **more):
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("h", F.xxhash64("line"))
+    name = {r.h: r.line for r in df.collect()}
+    return {tuple(sorted((name[r.a], name[r.b]))) for r in line_dedup.edit_links(df, **more).collect()}
+
+
+def test_edit_links_of_short_lines(spark):
+    rng = random.Random(61)
+    lines = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(150)})
+    assert edit_pairs(spark, lines, min_chars=1) == linked(lines)
+
+
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(line_dedup, "SAMPLED_ROWS", 6)
+    monkeypatch.setattr(line_dedup, "MANY_PAIRS", 30)
+    rng = random.Random(62)
+    lines = []
+    for _ in range(280):
+        x = list(f"Posted by {rng.choice(('ann', 'bob', 'eve'))} on page {rng.randrange(4)}, number {rng.randrange(10**rng.choice((2, 8)))}")
+        for _ in range(rng.choice((0, 0, 1, 2, 3))):
+            k = rng.randrange(len(x))
+            rng.choice([lambda: x.insert(k, "q"), lambda: x.pop(k), lambda: x.__setitem__(k, "z")])()
+        lines.append("".join(x))
+    lines = sorted({x for x in lines if len(x) >= 20})
+    want = linked(lines)
+    assert len(want) > 100 and edit_pairs(spark, lines) == want
+    assert edit_pairs(spark, lines, edits=1) == linked(lines, 1)
+
+
+def test_lines_of_one_template_make_few_pairs(spark):
+    rng = random.Random(63)
+    lines = [f"Posted by the editor of the daily paper under number {rng.randrange(10**12):012d} in the main section" for _ in range(20_000)]
+    lines += [lines[i][:52] + "x" + lines[i][53:] for i in range(0, 200)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("h", F.xxhash64("line"))
+    pairs = line_dedup.candidates(df)
+    found = {tuple(sorted((r.a, r.b))) for r in pairs.collect()}
+    h = {r.line: r.h for r in df.collect()}
+    assert {tuple(sorted((h[lines[i]], h[lines[20_000 + i]]))) for i in range(200)} <= found
+    assert len(found) < 20 * 20_000  # of 200 million pairs that share a whole segment
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -91,6 +91,9 @@ def test_line_dedup(spark, odd):
     docs = table(spark, [(1, "a line that is long enough\nshort\n\nshort"), (2, "a line that is long enougg\nonly here"), (3, "short"), (4, "shorx")])
     rows = {r.doc_id: r.text for r in line_dedup.deduplicate(docs).collect()}
     assert rows == {1: "a line that is long enough\nshort\n", 2: "only here", 4: "shorx"}
+    odd_names = docs.withColumns({"__of": F.lit(1), "__dropped": F.lit("x"), "__text": F.lit(None).cast("string"), "row": F.lit(2), "first": F.lit(3)})
+    made = line_dedup.deduplicate(odd_names)
+    assert made.columns == odd_names.columns and {r.doc_id: r.text for r in made.collect()} == rows
 
 
 def test_decontaminate(spark, odd):
