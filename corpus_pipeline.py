@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barline.llm import decontaminate, langid, line_dedup, near_dup, packing
+from barline.llm.components import components
 from barline.llm.lineage import checkpointed
 from barline.llm.op10_packing import TOKENIZER
 
@@ -45,19 +46,49 @@ def numbered(docs: DataFrame) -> DataFrame:
     return checkpointed(rows.withColumn("__row", F.monotonically_increasing_id()))
 
 
+def as_before_line_dedup(spark: SparkSession, rows: DataFrame, key: str, sf_dir: str) -> DataFrame:
+    """(key, text) with the text of ``documents`` for rows whose text is another by now.
+
+    Only ids that one row has on both sides are taken. Hashes are compared first, so
+    no text moves but those that are asked for.
+    """
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    own = rows.select("doc_id", F.col(key).alias("key"), F.xxhash64("text").alias("h"), F.lit(0).alias("side"))
+    first = documents.select("doc_id", F.lit(None).cast("long").alias("key"), F.xxhash64("text").alias("h"), F.lit(1).alias("side"))
+    both = own.unionByName(first).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("side") == 0).alias("here"), F.count_if(F.col("side") == 1).alias("there"), F.min("key").alias("key"), F.count_distinct("h").alias("texts"))
+    changed = checkpointed(both.where("here = 1 AND there = 1 AND texts = 2").select("doc_id", "key"))
+    few = changed.count() <= near_dup.BROADCAST_IDS
+    return documents.join(F.broadcast(changed) if few else changed, "doc_id").select(F.col("key").alias(key), "text")
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class of near-duplicates (one row of it, if its row is repeated).
 
-    Different texts of one doc_id are documents of their own. Documents without a
-    doc_id come after all others.
+    A document is compared by its text and, where line deduplication has shortened
+    it, by its text in ``documents`` too: of a near copy, only the lines that differ
+    are left by then, which resemble nothing. Different texts of one doc_id are
+    documents of their own. Documents without a doc_id come after all others.
     """
     counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    unclear = not checkpointed(counted.where("n > 1 OR doc_id IS NULL").select("doc_id")).isEmpty()
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    beyond = ends["high"] is not None and 2 * ends["high"] - ends["low"] + 1 >= 1 << 62
+    unclear = beyond or not checkpointed(counted.where("n > 1 OR doc_id IS NULL").select("doc_id")).isEmpty()
     key = "__row" if unclear else "doc_id"
     rows = numbered(docs) if unclear else docs
-    classes = near_dup.classes(rows, id_col=key)
-    kept = without(rows, classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(key)).distinct())
-    return kept.select(*docs.columns)
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    high = ends["high"] if ends["high"] is not None else 0
+    offset = high - (ends["low"] or 0) + 1  # keys above ``high`` are of texts before line deduplication
+    before = as_before_line_dedup(spark, rows, key, sf_dir).select((F.col(key) + offset).alias(key), "text")
+    classes = checkpointed(near_dup.classes(rows.select(key, "text").unionByName(before), id_col=key))
+    doc = F.when(F.col("doc_id") > high, F.col("doc_id") - offset).otherwise(F.col("doc_id"))
+    found = classes.select(doc.alias("key"), "class_id").distinct()
+    # The classes of the two texts of one document are one class.
+    joined = found.groupBy("key").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"))
+    merged = components(joined.where("a != b").select("a", "b"))
+    whole = joined.join(merged, F.col("a") == F.col("node"), "left").select("key", F.coalesce("component", "a").alias("class"))
+    least = whole.groupBy("class").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dropped = whole.join(least, "class").where("key != least").select(F.col("key").alias(key))
+    return without(rows, dropped).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
