@@ -59,12 +59,12 @@ def without_repeated_lines(docs):
     return kept
 
 
-def without_near_copies(docs):
-    bags = {k: bag(x.split()) for k, x in docs.items()}
+def without_near_copies(docs, originals):
+    bags = {k: [bag(y.split()) for y in {x, originals[k]}] for k, x in docs.items()}
     parent = {k: k for k in docs}
     for a in docs:
         for b in docs:
-            if a < b and bags[a] and jaccard(bags[a], bags[b]) >= 0.8:
+            if a < b and any(x and jaccard(x, y) >= 0.8 for x in bags[a] for y in bags[b]):
                 x, y = root(parent, a), root(parent, b)
                 parent[max(x, y)] = min(x, y)
     return {k: x for k, x in docs.items() if root(parent, k) == k}
@@ -89,7 +89,8 @@ def test_stages(spark, tmp_path):
 
     read = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, items = read.columns, [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    brute = {"line_dedup": without_repeated_lines, "near_dup": without_near_copies, "decontaminate": lambda d: without_leaks(d, items)}
+    originals = {r.doc_id: r.text for r in read.collect()}
+    brute = {"line_dedup": without_repeated_lines, "near_dup": lambda d: without_near_copies(d, originals), "decontaminate": lambda d: without_leaks(d, items)}
     docs = read
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.collect()}
@@ -107,6 +108,25 @@ def test_stages(spark, tmp_path):
         docs = made
 
 
+def test_near_copies_that_line_dedup_shortened(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(9)
+
+    def words(n):
+        return " ".join(str(rng.randrange(10**6)) for _ in range(n))
+
+    line, other = words(90), words(40)
+    copy = f"{line} and some further words\n{other}"
+    rows = [(1, f"{line}\n{other}"), (2, copy), (3, f"{words(30)}\n{other}"), (4, words(50))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.createDataFrame([(1, rows[0][1]), (2, copy.split("\n")[0]), (3, rows[2][1].split("\n")[0]), (4, rows[3][1])], "doc_id long, text string")
+    made = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in made.collect()) == [1, 3, 4]
+
+
 def test_null_and_shared_ids(spark, tmp_path):
     import random
 
@@ -120,6 +140,7 @@ def test_null_and_shared_ids(spark, tmp_path):
     item, x, y, z, last = (words(60) for _ in range(5))
     leak, near_y = f"before {item} after", f"{y} more"
     spark.createDataFrame([(1, item)], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
 
     def after(stage, rows):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
