@@ -26,4 +26,10 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op7_quality_rules": sql.quality_rules()}
+ORACLES: dict[str, str] = {
+    "op1_lm_score": sql.lm_score(),
+    "op2_secret_scan": sql.secret_scan(),
+    "op4_near_dup": sql.near_dup(),
+    "op6_decontaminate": sql.decontaminate(),
+    "op7_quality_rules": sql.quality_rules(),
+}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from barline.llm.lm_score import CELLS, CLASSES, ITERATIONS as EM_STEPS, START, STEP
+from barline.llm.near_dup import SHINGLE, SIMILARITY
 from barline.llm.quality_rules import ITERATIONS, LEAST_WORDS, MOST_REPEATED_PERCENT, SMOOTHING, LabelModel
+from barline.llm.secrets import ALLOWED, CLASSES as CLASSES_OF_SECRETS
 
 _VOTES = {
     "enough_words": ("n_words >= 100", f"n_words < {LEAST_WORDS}"),
@@ -47,3 +50,108 @@ def quality_rules() -> str:
  {', '.join(steps)},
  judged AS (SELECT *, {posterior} AS p_good, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM votes, m{ITERATIONS})
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, p_good FROM judged"""
+
+
+#: crc32 of doc_id as text, bit by bit (0 without an id).
+CRC32 = """coalesce(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+ lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), CAST(4294967295 AS BIGINT)), 0)"""
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def near_dup() -> str:
+    """Classes of texts whose five-word shingles have a multiset similarity of 0.8, all pairs compared."""
+    return f"""WITH RECURSIVE worded AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+ texts AS MATERIALIZED (SELECT ws, min(doc_id) AS id, count(*) AS n_copies FROM worded WHERE len(ws) > 0 GROUP BY ws),
+ places AS (SELECT id, ws, least({SHINGLE}, len(ws)) AS k, unnest(range(1, len(ws) - least({SHINGLE}, len(ws)) + 2)) AS i FROM texts),
+ grams AS MATERIALIZED (SELECT id, array_to_string(ws[i:i + k - 1], ' ') AS g, count(*) AS n FROM places GROUP BY ALL),
+ mass AS (SELECT id, sum(n) AS m FROM grams GROUP BY id),
+ shared AS (SELECT x.id AS a, y.id AS b, CAST(sum(least(x.n, y.n)) AS DOUBLE) AS s FROM grams x JOIN grams y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+ links AS MATERIALIZED (SELECT a, b FROM shared JOIN mass p ON p.id = a JOIN mass q ON q.id = b WHERE s / (p.m + q.m - s) >= {SIMILARITY}),
+ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ reached AS (SELECT id AS node, id AS least FROM texts UNION SELECT b, least FROM reached JOIN both_ways ON a = node WHERE least < b),
+ named AS (SELECT node, min(least) AS class_id FROM reached GROUP BY node)
+ SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(n_copies, 1) AS n_copies FROM worded w LEFT JOIN texts t ON t.ws = w.ws LEFT JOIN named ON node = t.id"""
+
+
+def decontaminate() -> str:
+    """The best item-sized window of every pair of a document and an item that share a shingle."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
+
+    def words(text: str) -> str:
+        return f"regexp_extract_all(translate({text}, '{upper}', '{upper.lower()}'), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+    grams = "array_to_string(ws[i:i + k - 1], ' ')"
+    return f"""WITH items AS MATERIALIZED (SELECT item_id, ws, least({SHINGLE}, len(ws)) AS k, len(ws) - least({SHINGLE}, len(ws)) + 1 AS m FROM (SELECT item_id, {words('text')} AS ws FROM benchmark) WHERE len(ws) > 0),
+ owned AS MATERIALIZED (SELECT item_id, k, m, {grams} AS g, count(*) AS n FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM items) GROUP BY ALL),
+ docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
+ placed AS (SELECT rid, len(ws) AS size, k, i, {grams} AS g FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM items))),
+ hits AS MATERIALIZED (SELECT rid, size, i, item_id, o.k, m, n, o.g FROM placed p JOIN owned o ON o.k = p.k AND o.g = p.g),
+ starts AS (SELECT DISTINCT rid, item_id, unnest(range(greatest(i - m + 1, 1), i + 1)) AS p FROM hits),
+ counted AS (SELECT h.rid, h.item_id, p, g, k, m, size, least(count(*), any_value(n)) AS c FROM starts s JOIN hits h ON h.rid = s.rid AND h.item_id = s.item_id AND h.i BETWEEN p AND p + m - 1 GROUP BY ALL),
+ valued AS (SELECT rid, item_id, p, CAST(sum(c) AS DOUBLE) / (m + least(m, size - k + 2 - p) - sum(c)) AS value FROM counted GROUP BY rid, item_id, p, m, k, size)
+ SELECT doc_id, item_id, max(value) AS similarity, arg_min(p, (-value, p)) - 1 AS first_word FROM valued JOIN docs USING (rid) WHERE value >= {SIMILARITY} GROUP BY rid, doc_id, item_id"""
+
+
+def lm_score() -> str:
+    """Counts, expectation-maximisation over a histogram of the fold, and the mixed score of every text."""
+    low, big = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kind = f"CAST(least(floor(log2({{}} + 1)), {CLASSES - 1}) AS INTEGER)"
+
+    def cell(p: str) -> str:
+        return f"CASE WHEN {p} > 0 THEN CAST(least(floor(-log10({p}) / {STEP}), {CELLS - 2}) AS INTEGER) END"
+
+    def middle(c: str) -> str:
+        return f"coalesce(pow(10.0, -({c} + 0.5) * {STEP}), 0.0)"
+
+    steps = [f"m0 AS MATERIALIZED (SELECT k, CAST({START[0]} AS DOUBLE) AS a, CAST({START[1]} AS DOUBLE) AS b, CAST({START[2]} AS DOUBLE) AS c FROM (SELECT unnest(range(0, {CLASSES})) AS k))"]
+    for i in range(EM_STEPS):
+        parts = f"SELECT kind, n * a * ep / t AS pa, n * b * ew / t AS pb, n * c * u / t AS pc FROM (SELECT *, a * ep + b * ew + c * u AS t FROM events JOIN m{i} ON k = kind)"
+        sums = f"SELECT k, coalesce(pa, 0) + {START[0]} AS a, coalesce(pb, 0) + {START[1]} AS b, coalesce(pc, 0) + {START[2]} AS c FROM m0 LEFT JOIN (SELECT kind, sum(pa) AS pa, sum(pb) AS pb, sum(pc) AS pc FROM ({parts}) GROUP BY kind) ON kind = k"
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT k, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c) AS c FROM ({sums}))")
+    fold_pair = "CASE WHEN wc.n - wc.f > 0 THEN (p.n - p.f) / CAST(wc.n - wc.f AS DOUBLE) ELSE 0 END"
+    return f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, crc % 7 = 2 AS held_out, crc % 7 = 6 AS fold, list_append(list_transform({_WORDS.format("translate(coalesce(text, ''), '" + big + "', '" + low + "')")}, lambda w: 'w' || w), 'e') AS ts FROM (SELECT *, {CRC32} AS crc FROM documents)),
+ tokens AS MATERIALIZED (SELECT rid, held_out, fold, i, ts[i] AS w, CASE WHEN i = 1 THEN 'e' ELSE ts[i - 1] END AS h FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM docs)),
+ words AS MATERIALIZED (SELECT w, count(*) FILTER (NOT held_out) AS n, count(*) FILTER (fold) AS f FROM tokens GROUP BY w),
+ pairs AS MATERIALIZED (SELECT h, w, count(*) FILTER (NOT held_out) AS n, count(*) FILTER (fold) AS f FROM tokens GROUP BY h, w),
+ sums AS MATERIALIZED (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > 0) AS types, CAST(sum(n) - sum(f) AS DOUBLE) AS rest FROM words),
+ events AS MATERIALIZED (SELECT kind, {middle('cp')} AS ep, {middle('cw')} AS ew, 1.0 / (types + 1) AS u, count(*) AS n FROM (
+ SELECT {kind.format('(wc.n - wc.f)')} AS kind, {cell(fold_pair)} AS cp, {cell('((ww.n - ww.f) / greatest(rest, 1))')} AS cw, types FROM tokens t JOIN words wc ON wc.w = t.h JOIN words ww ON ww.w = t.w JOIN pairs p ON p.h = t.h AND p.w = t.w, sums WHERE fold) GROUP BY kind, cp, cw, types),
+ {', '.join(steps)},
+ known AS (SELECT t.rid, ww.n AS c, log10(a * CASE WHEN wc.n > 0 THEN p.n / CAST(wc.n AS DOUBLE) ELSE 0 END + b * (ww.n / greatest(CAST(total AS DOUBLE), 1)) + m{EM_STEPS}.c / (types + 1)) AS s, total, types
+ FROM tokens t JOIN words wc ON wc.w = t.h JOIN words ww ON ww.w = t.w JOIN pairs p ON p.h = t.h AND p.w = t.w JOIN m{EM_STEPS} ON k = {kind.format('wc.n')}, sums),
+ scored AS (SELECT rid, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(total) AS train_tokens, sum(log10(c + 1)) - count(*) * log10(any_value(total + types + 1)) AS base_score, sum(s) AS score FROM known GROUP BY rid)
+ SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM docs JOIN scored USING (rid)"""
+
+
+def secret_scan() -> str:
+    """Spans of the patterns by what stands between matches, and joined high-entropy windows of candidate strings."""
+    patterns = {0: r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1: "AKIA[A-Z0-9]+", 2: "[0-9a-f]{16,}", 3: "[A-Za-z0-9+/_-]{20,}"}
+    least = {0: "length(g) >= 12", 1: "length(m) >= 18", 2: "true", 3: "true"}
+
+    def matches(kind: int) -> str:
+        p = patterns[kind]
+        groups = f"regexp_extract_all(text, '{p}', 2)" if kind == 0 else "ms"
+        begin = "list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)"
+        lists = f"SELECT rid, text, ms, regexp_split_to_array(text, '{p}') AS ps, {groups} AS gs FROM (SELECT rid, text, regexp_extract_all(text, '{p}') AS ms FROM docs)"
+        return f"SELECT rid, {kind} AS k, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b, m FROM (SELECT rid, ms[i] AS m, gs[i] AS g, {begin} AS a FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({lists}))) WHERE {least[kind]}"
+
+    windows = " UNION ALL ".join(
+        f"SELECT rid, a, m, {n} AS kind, p - 1 AS s, p - 1 + {c.window} AS e FROM (SELECT *, unnest(range(1, length(m) - {c.window} + 2)) AS p FROM candidates) WHERE regexp_full_match(substr(m, p, {c.window}), '[{'0-9a-fA-F' if n == 0 else '0-9a-zA-Z+/_-'}]+') AND list_aggregate(string_split(substr(m, p, {c.window}), ''), 'entropy') >= {c.bits - 1e-10!r}"
+        for n, c in enumerate(CLASSES_OF_SECRETS)
+    )
+    allowed = "|".join(f"(?:{p})" for p in ALLOWED)
+    name = "CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END"
+    shown = f"string_agg({name} || ':' || a || ':' || b, ',' ORDER BY a, k)"
+    return f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+ base AS MATERIALIZED (SELECT rid, k, a, b FROM ({" UNION ALL ".join(matches(k) for k in (0, 1, 2))})),
+ candidates AS MATERIALIZED (SELECT rid, a, m FROM ({matches(3)}) WHERE regexp_matches(m, '[0-9]') AND NOT regexp_full_match(m, '{allowed}')),
+ windows AS ({windows}),
+ starts AS (SELECT *, s > coalesce(max(e) OVER (PARTITION BY rid, a, kind ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM windows),
+ runs AS (SELECT rid, a, any_value(m) AS m, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rid, a, kind ORDER BY s) AS run FROM starts) GROUP BY rid, a, kind, run),
+ found AS (SELECT DISTINCT rid, a + s AS a, a + e AS b FROM runs WHERE regexp_matches(substr(m, s + 1, e - s), '[0-9]') AND regexp_matches(substr(m, s + 1, e - s), '[A-Za-z]')),
+ bare AS (SELECT DISTINCT rid, a, b FROM (SELECT *, unnest(range(a, b)) AS p FROM found) f WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = f.rid AND f.p >= base.a AND f.p < base.b)),
+ opened AS (SELECT *, a >= coalesce(max(b) OVER (PARTITION BY rid ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM bare),
+ extra AS (SELECT rid, 3 AS k, min(a) AS a, max(b) AS b FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rid ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM opened) GROUP BY rid, run),
+ every AS (SELECT rid, k, a, b FROM base UNION ALL SELECT rid, k, a, b FROM extra),
+ told AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy, {shown.replace("ORDER BY a, k)", "ORDER BY a, k) FILTER (k < 3)")} AS plain, {shown} AS spans FROM every GROUP BY rid)
+ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(plain, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (rid)"""
