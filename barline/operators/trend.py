@@ -88,13 +88,13 @@ def adx(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS,
 
 
 def aroon(df: DataFrame, n: int = 25, fillna: bool = False, series: Series = BARS) -> DataFrame:
-    """aroon_up, aroon_down and aroon_oscillator over n + 1 rows; of equal extremes the latest counts."""
+    """aroon_up, aroon_down and aroon_oscillator over n + 1 rows without missing ones; of equal extremes the latest counts."""
     columns(df, "high", "low")
     frame, order = series.last(window(n) + 1), F.row_number().over(series.ordered())
     made = df.withColumn("__rn", order)
     high = F.max(F.struct(F.col("high"), F.col("__rn"))).over(frame)["__rn"]
     low = -F.min(F.struct(F.col("low"), (-F.col("__rn")).alias("r"))).over(frame)["r"]
-    full = series.full(n + 1)
+    full = series.full(n + 1, F.col("high")) & series.full(n + 1, F.col("low"))
     up = F.when(full, 100.0 * (n - (F.col("__rn") - high)) / n)
     down = F.when(full, 100.0 * (n - (F.col("__rn") - low)) / n)
     made = made.withColumns({"aroon_up": up, "aroon_down": down}).drop("__rn")

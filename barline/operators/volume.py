@@ -49,7 +49,7 @@ def mfi(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS)
     change = price - series.lag(price)
     made = df.withColumns({"__up": F.when(change > 0, price * F.col("volume")).otherwise(0.0), "__down": F.when(change < 0, price * F.col("volume")).otherwise(0.0)})
     frame = series.last(window(n))
-    up, down = F.sum("__up").over(frame), F.sum("__down").over(frame)
+    up, down = (F.coalesce(F.sum(c).over(frame), F.lit(0.0)) for c in ("__up", "__down"))
     value = F.when((F.abs(up) < EPSILON) & (F.abs(down) < EPSILON), 50.0).when(F.abs(down) < EPSILON, 100.0).when(F.abs(up) < EPSILON, 0.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))
     value = F.least(F.greatest(value, F.lit(0.0)), F.lit(100.0))
     made = made.withColumn(f"mfi_{n}", F.when(series.full(n + 1), value)).drop("__up", "__down")
