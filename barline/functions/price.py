@@ -53,6 +53,14 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+def any_missing(*names: str) -> Column:
+    """Whether one of these columns is NULL or NaN, as of an indicator with several outputs."""
+    found = F.lit(False)
+    for n in names:
+        found = found | F.isnull(n) | F.isnan(n)
+    return found
+
+
 def is_valid() -> Column:
     """All values finite, open and close between low and high, volume not negative."""
     o, h, l, c, v = _cols()

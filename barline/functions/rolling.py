@@ -38,6 +38,11 @@ def rolling_min(x: Column, n: int, series: Series = BARS) -> Column:
     return series.guarded(F.min(x).over(series.last(window(n))), n, x)
 
 
+def oldest(x: Column, n: int, series: Series = BARS) -> Column:
+    """The first value of the window of n rows, once it is full."""
+    return shift(x, window(n) - 1, series=series)
+
+
 def diff(x: Column, n: int = 1, series: Series = BARS) -> Column:
     """x less its value n rows ago; n = 0 gives x itself."""
     return x if n == 0 else x - series.lag(x, n)

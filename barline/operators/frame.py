@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.errors import DuplicateColumn, columns
@@ -60,6 +62,25 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumnRenamed(old, new)
 
 
+def map_column(df: DataFrame, name: str, of: Callable[[Column], Column]) -> DataFrame:
+    """``name`` with every value x as ``of(x)``."""
+    columns(df, name)
+    return df.withColumn(name, of(F.col(name)))
+
+
+def map_indexed(df: DataFrame, name: str, of: Callable[[Column, Column], Column], series: Series = BARS) -> DataFrame:
+    """``name`` with every value x as ``of(position, x)``; positions count from 0 in each series."""
+    columns(df, name)
+    return df.withColumn(name, of(F.row_number().over(series.ordered()) - 1, F.col(name)))
+
+
+def at(df: DataFrame, position: int, series: Series = BARS) -> DataFrame:
+    """The row at a position of each series, from 0, or from the end for negative ones; series that are too short have none."""
+    order = [F.col(c).desc() if position < 0 else F.col(c).asc() for c in series.order]
+    place = -position if position < 0 else position + 1
+    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*series.by).orderBy(*order))).where(F.col("__rank") == place).drop("__rank")
+
+
 def concat(left: DataFrame, right: DataFrame, series: Series = BARS) -> DataFrame:
     """Columns side by side, rows matched by series and order; a name on both sides is an error."""
     keys = [*series.by, *series.order]

@@ -294,3 +294,36 @@ def test_saved_regression_cases(spark):
     df = bars(spark, close, [c * 1.05 for c in close], [c * 0.95 for c in close], [0.0] * 3 + [1000.0 + i for i in range(17)])
     assert all(x is None or -1 <= x <= 1 for x in values(volume.cmf(df, 5), "cmf_5"))
     assert all(x is None or 0 <= x <= 100 for x in values(volume.mfi(df, 5), "mfi_5"))
+
+
+def test_min_periods(spark):
+    from barline.functions.periods import min_periods
+    from barline.sources.bars import synthetic_bars
+
+    df = synthetic_bars(spark, 80)
+    for name, add, columns, parameters in (
+        ("sma", trend.sma, ["sma_14"], {}),
+        ("ema", lambda x: trend.ema(x, 9), ["ema_9"], {"n": 9}),
+        ("macd", trend.macd, ["macd", "macd_signal", "macd_histogram"], {}),
+        ("adx", trend.adx, ["adx", "plus_di", "minus_di"], {}),
+        ("aroon", trend.aroon, ["aroon_up", "aroon_down"], {}),
+        ("rsi", momentum.rsi, ["rsi_14"], {}),
+        ("stoch_rsi", momentum.stoch_rsi, ["stoch_rsi", "stoch_rsi_k", "stoch_rsi_d"], {}),
+        ("stochastic", momentum.stochastic, ["stoch_k", "stoch_d"], {}),
+        ("roc", momentum.roc, ["roc_12"], {}),
+        ("keltner", volatility.keltner, ["kc_upper", "kc_lower"], {}),
+        ("mfi", volume.mfi, ["mfi_14"], {}),
+        ("obv", volume.obv, ["obv"], {}),
+    ):
+        missing = values(add(df).withColumn("missing", price.any_missing(*columns)), "missing")
+        assert missing.index(False) + 1 == min_periods(name, **parameters), name
+    with pytest.raises(InvalidParameter):
+        min_periods("nothing")
+
+
+def test_positions(spark):
+    df = bars(spark, [5, 6, 7])
+    same(values(frame.map_indexed(df, "close", lambda i, x: 10 * i + x), "close"), [5, 16, 27])
+    same(values(frame.map_column(df, "close", lambda x: x * 2), "close"), [10, 12, 14])
+    assert values(frame.at(df, 0), "close") == [5] and values(frame.at(df, -1), "close") == [7] and values(frame.at(df, 3), "close") == []
+    same(values(df.withColumn("x", rolling.oldest(F.col("close"), 2)), "x"), [None, 5, 6])
