@@ -11,14 +11,17 @@ are filled, so a long text costs little more than a short one.
 
 Signatures are banded. Links within a bucket are verified exactly on the multisets.
 Buckets are not expanded to all pairs: every member is first linked with one
-centre, and classes are formed. Members of buckets that then still hold several
-classes are searched by an exact filter instead: two texts of the similarity asked
-for must share one of their rarest shingles (the rarest by count among these texts,
-as many as may be missing, and one more), so only texts of different classes that
-share such a shingle are compared. Template pages, which share most shingles but
-not the rare ones, thus meet nobody. No candidate is capped. A comparison is done
-for a group of one text and some partners; a text with many partners is dealt to
-many groups.
+centre, and classes are formed; where a bucket then still holds several, this is
+done again with the member that shares most buckets with others, and with the one
+that does so outside its class. What is then still open is searched by an exact
+filter: two texts of the similarity asked for must share one of their rarest
+shingles (the rarest by count among these texts, as many as may be missing, and one
+more), so only texts that share such a shingle with another class go on. Template
+pages, which share most shingles but not the rare ones, thus meet nobody. Of those
+that meet, all outside the largest class are held against all others, in blocks of
+texts of which only the links that join classes come back. No candidate is capped.
+A centre and its members are compared in groups of one text and some partners, so
+the partners of one text spread over many tasks.
 
 Defined cases: texts with the same words are copies whatever the white space; a
 text of one to four words has one shingle of all its words; null, empty and
@@ -52,6 +55,9 @@ BROADCAST_IDS = 1_000_000
 #: Partners of a text, and bytes of theirs, in one group of comparisons, about.
 GROUP_PARTNERS = 64
 GROUP_BYTES = 8 << 20
+#: Texts, and bytes of theirs, on each side of a block of texts that are held against each other, about.
+BLOCK = 200
+BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 #: Elements of a multiset that are hashed at a time.
 ELEMENTS = 1 << 20
@@ -207,43 +213,120 @@ def _close(x: str, y: str) -> Column:
     return apart <= MOST_BITS_APART
 
 
-def rare_partners(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """Pairs (a, b, size of b) of ``members`` (id, class, size) of different classes that may have ``similarity``: all that do are among them.
+def similar(left: Words, right: Words, n: int = SHINGLE) -> np.ndarray:
+    """Weighted Jaccard similarity of every text of one block with every text of another."""
+    sides = [shingles(words, n) for words in (left, right)]
+    sizes = [len(words.row_at) - 1 for words in (left, right)]
+    mass = [np.bincount(row, number, size) for (row, _, number), size in zip(sides, sizes)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    shared = np.zeros(sizes)
+    for first in range(0, len(both), 4096):
+        part = both[first : first + 4096]
+        dense = []
+        for (row, key, number), size in zip(sides, sizes):
+            at = np.minimum(np.searchsorted(part, key), len(part) - 1)
+            hit = part[at] == key
+            counts = np.zeros((size, len(part)), np.int32)
+            counts[row[hit], at[hit]] = number[hit]
+            dense.append(counts)
+        for level in range(1, int(min(dense[0].max(), dense[1].max())) + 1):
+            columns = (dense[0] >= level).any(axis=0) & (dense[1] >= level).any(axis=0)
+            shared += (dense[0][:, columns] >= level).astype(np.float32) @ (dense[1][:, columns] >= level).astype(np.float32).T
+    return shared / np.maximum(mass[0][:, None] + mass[1][None, :] - shared, 1)
+
+
+def joining(a: np.ndarray, b: np.ndarray, class_a: np.ndarray, class_b: np.ndarray) -> list[int]:
+    """Those of the links (a, b) that join classes not joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    kept = []
+    for i, (c, d) in enumerate(zip(class_a.tolist(), class_b.tolist())):
+        c, d = root(c), root(d)
+        if c != d:
+            parent[max(c, d)] = min(c, d)
+            kept.append(i)
+    return kept
+
+
+def rare_meetings(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+    """(key, id, class, size) of those ``members`` (id, class, size) that may have ``similarity`` with one of another class.
 
     A text of mass m shares at least ceil(similarity * m) of it with any such
     partner, so among the shingles ordered by their number of texts, the first ones
     of a mass above m - ceil(similarity * m) have one that is among the partner's
-    first ones too. For each such shingle, the texts outside the class that holds
-    most of its texts meet all others.
+    first ones too: the key at which the two meet.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, words in arrays.words_in_chunks(batch.column(3), limit=CHUNK_BYTES):
+            for first, last, words in arrays.words_in_chunks(batch.column(1), limit=CHUNK_BYTES):
                 row, key, number = shingles(words, n)
                 mass = np.bincount(row, number, last - first).astype(np.int64)
-                at = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(at) for i in range(3)), pa.array(mass[row]), pa.array(key.view(np.int64)), pa.array(number)], names=["id", "class", "size", "mass", "key", "number"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(mass[row]), pa.array(key.view(np.int64)), pa.array(number)], names=["id", "mass", "key", "number"])
 
     members = checkpointed(members.select("id", "class", "size").distinct())
-    texts = members.join(texts_of(members.select("id"), docs, id_col, text_col), "id")
-    grams = checkpointed(texts.select("id", "class", "size", "text").mapInArrow(arrays.lean(split), "id long, class long, size long, mass long, key long, number long"))
+    texts = texts_of(members.select("id"), docs, id_col, text_col)
+    grams = checkpointed(texts.select("id", "text").mapInArrow(arrays.lean(split), "id long, mass long, key long, number long"))
     counted = grams.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    order = Window.partitionBy("id").orderBy("texts", "key")
-    before = F.coalesce(F.sum("number").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("number").over(Window.partitionBy("id").orderBy("texts", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # A hair below, so that a share that is a whole number stays one.
     spare = F.col("mass") - F.ceil(F.col("mass") * similarity - 1e-6)
-    rare = checkpointed(grams.join(counted.where("texts > 1"), "key", "left").withColumn("texts", F.coalesce("texts", F.lit(1))).withColumn("before", before).where((F.col("before") <= spare) & (F.col("texts") > 1)).select("key", "id", "class", "size", "mass"))
-    by_class = rare.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_class.groupBy("key").agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main")
-    sides = rare.join(mixed, "key")
-    x, y = sides.where(F.col("class") != F.col("main")).alias("x"), sides.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & ((F.col("y.class") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    close = F.least("x.mass", "y.mass") >= F.greatest("x.mass", "y.mass") * similarity - 1e-6
-    ahead = F.col("x.id") < F.col("y.id")
-    return x.join(y, met & close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(ahead, F.col("y.size")).otherwise(F.col("x.size")).alias("size")).distinct()
+    rare = grams.join(counted, "key").withColumn("before", before).where((F.col("before") <= spare) & (F.col("texts") > 1)).select("key", "id")
+    few = members.count() <= BROADCAST_IDS
+    rare = checkpointed(rare.join(F.broadcast(members) if few else members, "id"))
+    mixed = rare.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
+    return checkpointed(rare.join(mixed, "key"))
+
+
+def block_links(meetings: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) of at least ``similarity`` that join the classes of texts that meet at rare shingles.
+
+    Texts that meet, directly or through others, are a group. In a group, every text
+    outside its largest class is held against every text, in blocks of about BLOCK
+    texts a side.
+    """
+    centres = meetings.groupBy("key").agg(F.min("id").alias("least"))
+    groups = components(meetings.join(centres, "key").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    placed = meetings.select("id", "class", "size").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
+    counted = placed.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    largest = counted.groupBy("group").agg(F.max_by("class", "n").alias("main"), F.max_by(F.struct("n", "bytes"), "n").alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    largest = largest.select("group", "main", blocks(F.col("all") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("lefts"), blocks(F.col("all"), F.col("bytes")).alias("rights"))
+    placed = checkpointed(placed.join(largest, "group"))
+
+    def place(count: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(23), "id"), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    sides = [
+        placed.where(F.col("class") != F.col("main")).select("group", place("lefts").alias("left"), every("rights").alias("right"), F.lit(True).alias("side"), "id", "class"),
+        placed.where("lefts > 0").select("group", every("lefts").alias("left"), place("rights").alias("right"), F.lit(False).alias("side"), "id", "class"),
+    ]
+    texts = texts_of(placed.select("id"), docs, id_col, text_col)
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        parts = [table.filter(pa.array(side)), table.filter(pa.array(~side))]
+        id_a, id_b = (p.column("id").to_numpy() for p in parts)
+        class_a, class_b = (p.column("class").to_numpy() for p in parts)
+        value = similar(*(Words(*arrays.utf8(p.column("text"))) for p in parts))
+        i, j = np.nonzero((value >= similarity) & (class_a[:, None] != class_b[None, :]))
+        kept = joining(id_a[i], id_b[j], class_a[i], class_b[j])
+        return pa.table({"a": pa.array(id_a[i[kept]]), "b": pa.array(id_b[j[kept]])})
+
+    rows = sides[0].unionByName(sides[1]).join(texts, "id")
+    return checkpointed(rows.groupBy("group", "left", "right").applyInArrow(arrays.lean_group(compare), "a long, b long"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,12 +344,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     crowded = checkpointed(members.join(centre, ["band", "bucket"]))
     first = crowded.alias("m").where((F.col("m.id") != F.col("m.c.id")) & _close("m", "m.c")).select(F.col("m.c.id").alias("a"), F.col("m.id").alias("b"), "size").distinct()
     links = checkpointed(verified(checkpointed(first), docs, similarity, id_col, text_col).select("a", "b"))
-    # Members of buckets that still hold several classes are searched for partners in other classes.
-    labelled = crowded.select("band", "bucket", "id", "size").join(components(links), F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
-    split = labelled.groupBy("band", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("band", "bucket")
-    more = checkpointed(rare_partners(labelled.join(split, ["band", "bucket"]), docs, similarity, id_col, text_col))
-    more = checkpointed(verified(more, docs, similarity, id_col, text_col).select("a", "b"))
-    found = components(links.unionByName(more))
+    typical = crowded.groupBy("id").agg(F.sum("n").alias("typical"))  # how many texts share a bucket with this one
+    rows = checkpointed(crowded.select("band", "bucket", "id", "size", F.col("c.id").alias("centre")).join(typical, "id"))
+
+    def open_rows(links: DataFrame) -> DataFrame:
+        """Members of buckets that still hold several classes, with their class."""
+        labelled = rows.join(components(links), F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
+        split = labelled.groupBy("band", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max_by("class", F.struct("typical", "id")).alias("main")).where("low != high")
+        return checkpointed(labelled.join(split.drop("low", "high"), ["band", "bucket"]))
+
+    # Once more with better centres: the most typical member of a bucket, then the most typical one outside its class.
+    for outside in (False, True):
+        left = open_rows(links)
+        chosen = (left.where(F.col("class") != F.col("main")) if outside else left).groupBy("band", "bucket").agg(F.max_by(F.struct("id", "class"), F.struct("typical", "id")).alias("t"))
+        met = left.join(chosen, ["band", "bucket"]).where((F.col("class") != F.col("t.class")) & (F.col("t.id") != F.col("centre")))
+        more = checkpointed(met.select(F.col("t.id").alias("a"), F.col("id").alias("b"), "size").distinct())
+        links = checkpointed(links.unionByName(verified(more, docs, similarity, id_col, text_col).select("a", "b")))
+    rest = block_links(rare_meetings(open_rows(links).select("id", "class", "size"), docs, similarity, id_col, text_col), docs, similarity, id_col, text_col)
+    found = components(links.unionByName(rest))
     named = copies.select("copy1", "copy2", "id", "n_copies").join(found, copies["id"] == found["node"], "left").select("copy1", "copy2", F.coalesce("component", "id").alias("class_id"), "n_copies")
     with_words = worded.select("doc_id", "copy1", "copy2").join(named, ["copy1", "copy2"]).select("doc_id", "class_id", "n_copies")
     return with_words.unionByName(seen.where(F.col("copy1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies")))
