@@ -53,3 +53,17 @@ def test_missing_prices_make_no_bar_values(spark):
     ticks = spark.sql("select * from values ('a', timestamp'2024-01-01 10:00:00', double('nan')), ('a', timestamp'2024-01-01 10:10:00', 2d), ('a', timestamp'2024-01-01 10:20:00', 1d) as t(symbol, ts, price)")
     row = sources.bars(ticks).first()
     assert (row.high, row.low, row.close, row.volume) == (2.0, 1.0, 1.0, 3.0)
+
+
+def test_database_rows_come_in_rising_time(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    made = spark.sql("select if(id % 2 = 0, 'a', 'b') as symbol, timestamp_seconds(id * 3600) as open_time, cast(id as double) as close from range(20)")
+    try:
+        made.write.format("jdbc").options(url=url, dbtable="ohlcv", createTableColumnTypes="symbol VARCHAR(10)", **options).save()
+    except Exception as e:  # this Spark comes without that database
+        if "ClassNotFound" in str(e) or "No suitable driver" in str(e):
+            pytest.skip("no database")
+        raise
+    rows = sources.read_jdbc_bars(spark, url, "ohlcv", "a", 3, **options).collect()
+    assert [r.close for r in rows] == [14.0, 16.0, 18.0] and [r.ts for r in rows] == sorted(r.ts for r in rows)
