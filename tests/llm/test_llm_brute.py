@@ -72,7 +72,7 @@ def test_rare_meetings(spark, monkeypatch):
     rng = random.Random(51)
     template = text(rng, 150).split()
     docs, classes = [], []
-    for i in range(600):
+    for i in range(320):
         w = list(template)
         for _ in range(rng.randint(0, 12)):
             w[rng.randrange(len(w))] = "w%d" % rng.randrange(10**6)
@@ -86,9 +86,9 @@ def test_rare_meetings(spark, monkeypatch):
     for r in meetings.collect():
         keys.setdefault(r.id, set()).add(r.key)
     bags = [bag(x) for x in docs]
-    want = [(i, j) for j in range(600) for i in range(j) if classes[i] != classes[j] and jaccard(bags[i], bags[j]) >= 0.8]
+    want = [(i, j) for j in range(320) for i in range(j) if classes[i] != classes[j] and jaccard(bags[i], bags[j]) >= 0.8]
     assert len(want) > 100 and all(keys.get(i, set()) & keys.get(j, set()) for i, j in want)
-    assert sum(1 for i in keys if i % 6) < 60
+    assert sum(1 for i in keys if i % 6) < 40
     for block in (200, 7):
         monkeypatch.setattr(near_dup, "BLOCK", block)
         parent = {c: c for c in classes}
