@@ -10,11 +10,11 @@ their weighted Jaccard similarity. Processes stop at the time by which all slots
 are filled, so a long text costs little more than a short one.
 
 Signatures are banded. Links within a bucket are verified exactly on the multisets.
-Buckets are not expanded to all pairs: every member is first linked with one
-centre, and classes are formed; where a bucket then still holds several, this is
-done again with the member that shares most buckets with others, and with the one
-that does so outside its class. What is then still open is searched by an exact
-filter: two texts of the similarity asked for must share one of their rarest
+Buckets are not expanded to all pairs: every member is compared with one centre, of
+the first members of its buckets the one that it shares most buckets with, and
+classes are formed; where a bucket then still holds several, this is done again with
+the members that share most buckets with others, and with those that do so outside
+their classes. What is then still open is searched by an exact filter: two texts of the similarity asked for must share one of their rarest
 shingles (the rarest by count among these texts, as many as may be missing, and one
 more), so only texts that share such a shingle with another class go on. Template
 pages, which share most shingles but not the rare ones, thus meet nobody. Of those
@@ -340,26 +340,32 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
         )
     )
     members = copies.where(F.col("id").isNotNull()).select("id", "size", "bits1", "bits2", F.posexplode("bands").alias("band", "bucket"))
-    centre = members.groupBy("band", "bucket").agg(F.min_by(F.struct("id", "bits1", "bits2"), "id").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = checkpointed(members.join(centre, ["band", "bucket"]))
-    first = crowded.alias("m").where((F.col("m.id") != F.col("m.c.id")) & _close("m", "m.c")).select(F.col("m.c.id").alias("a"), F.col("m.id").alias("b"), "size").distinct()
-    links = checkpointed(verified(checkpointed(first), docs, similarity, id_col, text_col).select("a", "b"))
+    sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = checkpointed(members.join(sizes, ["band", "bucket"]))
     typical = crowded.groupBy("id").agg(F.sum("n").alias("typical"))  # how many texts share a bucket with this one
-    rows = checkpointed(crowded.select("band", "bucket", "id", "size", F.col("c.id").alias("centre")).join(typical, "id"))
+    rows = checkpointed(crowded.join(typical, "id"))
+    own = F.struct("id", "class", "bits1", "bits2")
 
-    def open_rows(links: DataFrame) -> DataFrame:
-        """Members of buckets that still hold several classes, with their class."""
+    def open_rows(links: DataFrame | None) -> DataFrame:
+        """Members of buckets that hold several classes, with their class, and the class of the bucket's most typical member."""
+        if links is None:
+            return rows.withColumn("class", F.col("id"))
         labelled = rows.join(components(links), F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
         split = labelled.groupBy("band", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max_by("class", F.struct("typical", "id")).alias("main")).where("low != high")
         return checkpointed(labelled.join(split.drop("low", "high"), ["band", "bucket"]))
 
-    # Once more with better centres: the most typical member of a bucket, then the most typical one outside its class.
-    for outside in (False, True):
+    # Centres: the first member of a bucket, then the most typical one, then the most typical one outside its class.
+    links = None
+    for turn in ("first", "typical", "outside"):
         left = open_rows(links)
-        chosen = (left.where(F.col("class") != F.col("main")) if outside else left).groupBy("band", "bucket").agg(F.max_by(F.struct("id", "class"), F.struct("typical", "id")).alias("t"))
-        met = left.join(chosen, ["band", "bucket"]).where((F.col("class") != F.col("t.class")) & (F.col("t.id") != F.col("centre")))
-        more = checkpointed(met.select(F.col("t.id").alias("a"), F.col("id").alias("b"), "size").distinct())
-        links = checkpointed(links.unionByName(verified(more, docs, similarity, id_col, text_col).select("a", "b")))
+        among = left.where(F.col("class") != F.col("main")) if turn == "outside" else left
+        centres = among.groupBy("band", "bucket").agg((F.min_by(own, "id") if turn == "first" else F.max_by(own, F.struct("typical", "id"))).alias("c"))
+        met = left.alias("m").join(centres, ["band", "bucket"]).where((F.col("m.class") != F.col("c.class")) & _close("m", "c"))
+        # Of its centres, a member takes the one that it shares most buckets with, which is likely the most similar.
+        shared = met.groupBy(F.col("c.id").alias("a"), F.col("m.id").alias("b"), F.col("m.size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+        chosen = checkpointed(shared.groupBy("b", "size").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b", "size"))
+        found = verified(chosen, docs, similarity, id_col, text_col).select("a", "b")
+        links = checkpointed(found if links is None else links.unionByName(found))
     rest = block_links(rare_meetings(open_rows(links).select("id", "class", "size"), docs, similarity, id_col, text_col), docs, similarity, id_col, text_col)
     found = components(links.unionByName(rest))
     named = copies.select("copy1", "copy2", "id", "n_copies").join(found, copies["id"] == found["node"], "left").select("copy1", "copy2", F.coalesce("component", "id").alias("class_id"), "n_copies")
