@@ -10,18 +10,13 @@ their weighted Jaccard similarity. Processes stop at the time by which all slots
 are filled, so a long text costs little more than a short one.
 
 Signatures are banded. Links within a bucket are verified exactly on the multisets.
-Buckets are not expanded to all pairs: every member is compared with one centre, of
-the first members of its buckets the one that it shares most buckets with, and
-classes are formed; where a bucket then still holds several, this is done again with
-the members that share most buckets with others, and with those that do so outside
-their classes. What is then still open is searched by an exact filter: two texts of the similarity asked for must share one of their rarest
-shingles (the rarest by count among these texts, as many as may be missing, and one
-more), so only texts that share such a shingle with another class go on. Template
-pages, which share most shingles but not the rare ones, thus meet nobody. Of those
-that meet, all outside the largest class are held against all others, in blocks of
-texts of which only the links that join classes come back. No candidate is capped.
-A centre and its members are compared in groups of one text and some partners, so
-the partners of one text spread over many tasks.
+Buckets are not expanded to all pairs: every member is first linked with one
+centre, then classes are formed, and only members of different classes are compared
+further: by pairs of rows in small buckets; in large ones, all members outside the
+largest class are held against all members, in blocks of texts of which only the
+links that join classes come back. No bucket keeps an unchecked pair of different
+classes, and no candidate is capped. A centre and its members are compared in groups
+of one text and some partners, so the partners of one text spread over many tasks.
 
 Defined cases: texts with the same words are copies whatever the white space; a
 text of one to four words has one shingle of all its words; null, empty and
@@ -39,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barline.llm import arrays
 from barline.llm.arrays import Words, mix, ragged
@@ -55,14 +50,14 @@ BROADCAST_IDS = 1_000_000
 #: Partners of a text, and bytes of theirs, in one group of comparisons, about.
 GROUP_PARTNERS = 64
 GROUP_BYTES = 8 << 20
-#: Texts, and bytes of theirs, on each side of a block of texts that are held against each other, about.
+#: Buckets with more members of several classes are compared in blocks of texts instead of by pairs of rows.
+HOT = 48
 BLOCK = 200
-BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 #: Elements of a multiset that are hashed at a time.
 ELEMENTS = 1 << 20
-#: Of 128 one-bit slots, more than this differ between texts of similarity 0.8 with a chance below 10 ** -10.
-MOST_BITS_APART = 40
+#: Of 128 one-bit slots, more than this differ between texts of similarity 0.8 with a chance of about one in ten million.
+MOST_BITS_APART = 33
 
 
 def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,53 +249,19 @@ def joining(a: np.ndarray, b: np.ndarray, class_a: np.ndarray, class_b: np.ndarr
     return kept
 
 
-def rare_meetings(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """(key, id, class, size) of those ``members`` (id, class, size) that may have ``similarity`` with one of another class.
+def block_links(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) of at least ``similarity`` that join the classes of members of large buckets.
 
-    A text of mass m shares at least ceil(similarity * m) of it with any such
-    partner, so among the shingles ordered by their number of texts, the first ones
-    of a mass above m - ceil(similarity * m) have one that is among the partner's
-    first ones too: the key at which the two meet.
+    Buckets that share members are one group, so that a pair is compared once. In a
+    group, every member outside its largest class is held against every member, in
+    blocks of about BLOCK texts a side.
     """
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, words in arrays.words_in_chunks(batch.column(1), limit=CHUNK_BYTES):
-                row, key, number = shingles(words, n)
-                mass = np.bincount(row, number, last - first).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(mass[row]), pa.array(key.view(np.int64)), pa.array(number)], names=["id", "mass", "key", "number"])
-
-    members = checkpointed(members.select("id", "class", "size").distinct())
-    texts = texts_of(members.select("id"), docs, id_col, text_col)
-    grams = checkpointed(texts.select("id", "text").mapInArrow(arrays.lean(split), "id long, mass long, key long, number long"))
-    counted = grams.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    before = F.coalesce(F.sum("number").over(Window.partitionBy("id").orderBy("texts", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A hair below, so that a share that is a whole number stays one.
-    spare = F.col("mass") - F.ceil(F.col("mass") * similarity - 1e-6)
-    rare = grams.join(counted, "key").withColumn("before", before).where((F.col("before") <= spare) & (F.col("texts") > 1)).select("key", "id")
-    few = members.count() <= BROADCAST_IDS
-    rare = checkpointed(rare.join(F.broadcast(members) if few else members, "id"))
-    mixed = rare.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
-    return checkpointed(rare.join(mixed, "key"))
-
-
-def block_links(meetings: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) of at least ``similarity`` that join the classes of texts that meet at rare shingles.
-
-    Texts that meet, directly or through others, are a group. In a group, every text
-    outside its largest class is held against every text, in blocks of about BLOCK
-    texts a side.
-    """
-    centres = meetings.groupBy("key").agg(F.min("id").alias("least"))
-    groups = components(meetings.join(centres, "key").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    placed = meetings.select("id", "class", "size").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
-    counted = placed.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    largest = counted.groupBy("group").agg(F.max_by("class", "n").alias("main"), F.max_by(F.struct("n", "bytes"), "n").alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"))
-
-    def blocks(n: Column, size: Column) -> Column:
-        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
-
-    largest = largest.select("group", "main", blocks(F.col("all") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("lefts"), blocks(F.col("all"), F.col("bytes")).alias("rights"))
+    members = checkpointed(members.select("id", "component", "centre"))
+    groups = components(members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    placed = members.select("id", F.col("component").alias("class")).distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
+    counted = placed.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("group").agg(F.max_by("class", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    largest = largest.select("group", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"))
     placed = checkpointed(placed.join(largest, "group"))
 
     def place(count: str) -> Column:
@@ -340,34 +301,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
         )
     )
     members = copies.where(F.col("id").isNotNull()).select("id", "size", "bits1", "bits2", F.posexplode("bands").alias("band", "bucket"))
-    sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = checkpointed(members.join(sizes, ["band", "bucket"]))
-    typical = crowded.groupBy("id").agg(F.sum("n").alias("typical"))  # how many texts share a bucket with this one
-    rows = checkpointed(crowded.join(typical, "id"))
-    own = F.struct("id", "class", "bits1", "bits2")
-
-    def open_rows(links: DataFrame | None) -> DataFrame:
-        """Members of buckets that hold several classes, with their class, and the class of the bucket's most typical member."""
-        if links is None:
-            return rows.withColumn("class", F.col("id"))
-        labelled = rows.join(components(links), F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
-        split = labelled.groupBy("band", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max_by("class", F.struct("typical", "id")).alias("main")).where("low != high")
-        return checkpointed(labelled.join(split.drop("low", "high"), ["band", "bucket"]))
-
-    # Centres: the first member of a bucket, then the most typical one, then the most typical one outside its class.
-    links = None
-    for turn in ("first", "typical", "outside"):
-        left = open_rows(links)
-        among = left.where(F.col("class") != F.col("main")) if turn == "outside" else left
-        centres = among.groupBy("band", "bucket").agg((F.min_by(own, "id") if turn == "first" else F.max_by(own, F.struct("typical", "id"))).alias("c"))
-        met = left.alias("m").join(centres, ["band", "bucket"]).where((F.col("m.class") != F.col("c.class")) & _close("m", "c"))
-        # Of its centres, a member takes the one that it shares most buckets with, which is likely the most similar.
-        shared = met.groupBy(F.col("c.id").alias("a"), F.col("m.id").alias("b"), F.col("m.size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-        chosen = checkpointed(shared.groupBy("b", "size").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b", "size"))
-        found = verified(chosen, docs, similarity, id_col, text_col).select("a", "b")
-        links = checkpointed(found if links is None else links.unionByName(found))
-    rest = block_links(rare_meetings(open_rows(links).select("id", "class", "size"), docs, similarity, id_col, text_col), docs, similarity, id_col, text_col)
-    found = components(links.unionByName(rest))
+    centre = members.groupBy("band", "bucket").agg(F.min_by(F.struct("id", "bits1", "bits2"), "id").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = checkpointed(members.join(centre, ["band", "bucket"]))
+    first = crowded.alias("m").where((F.col("m.id") != F.col("m.c.id")) & _close("m", "m.c")).select(F.col("m.c.id").alias("a"), F.col("m.id").alias("b"), "size").distinct()
+    first = checkpointed(first)
+    links = checkpointed(verified(first, docs, similarity, id_col, text_col).select("a", "b"))
+    # Members of one bucket that are not in one class yet are compared with each other.
+    labelled = crowded.drop("c", "n").join(components(links), crowded["id"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    split = labelled.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.min("id").alias("centre"))
+    open_rows = checkpointed(labelled.join(split.where("low != high").drop("low", "high"), ["band", "bucket"]))
+    cool = open_rows.where(F.col("n") <= HOT)
+    x, y = cool.alias("x"), cool.alias("y")
+    more = (
+        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y"))
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("y.size").alias("size"))
+        .distinct()
+        .join(first, ["a", "b"], "left_anti")
+    )
+    more = checkpointed(verified(checkpointed(more), docs, similarity, id_col, text_col).select("a", "b"))
+    more = more.unionByName(block_links(open_rows.where(F.col("n") > HOT), docs, similarity, id_col, text_col))
+    found = components(links.unionByName(more))
     named = copies.select("copy1", "copy2", "id", "n_copies").join(found, copies["id"] == found["node"], "left").select("copy1", "copy2", F.coalesce("component", "id").alias("class_id"), "n_copies")
     with_words = worded.select("doc_id", "copy1", "copy2").join(named, ["copy1", "copy2"]).select("doc_id", "class_id", "n_copies")
     return with_words.unionByName(seen.where(F.col("copy1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies")))
