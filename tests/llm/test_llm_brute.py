@@ -53,8 +53,6 @@ def jaccard(a, b):
 
 
 def test_near_dup_classes(corpus, monkeypatch):
-    monkeypatch.setattr(near_dup, "GROUP_PARTNERS", 5)
-    monkeypatch.setattr(near_dup, "ELEMENTS", 100)
     monkeypatch.setattr(near_dup, "HOT", 8)
     monkeypatch.setattr(near_dup, "BLOCK", 10)
     df, docs = corpus
@@ -68,8 +66,7 @@ def test_near_dup_classes(corpus, monkeypatch):
     assert got == {i: root(parent, i) for i in range(len(docs))}
 
 
-def test_verified_pairs_of_one_text_in_many_groups(corpus, monkeypatch):
-    monkeypatch.setattr(near_dup, "GROUP_PARTNERS", 3)
+def test_verified_pairs(corpus):
     df, docs = corpus
     bags = [bag(x) for x in docs]
     pairs = df.sparkSession.createDataFrame([(i, j, len(docs[j])) for i in range(0, 160, 4) for j in range(i + 4, 160, 4)], "a long, b long, size long")
