@@ -10,6 +10,7 @@ is never cut.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -22,6 +23,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 #: Bytes of a single long text whose words are found at a time.
 SLICE_BYTES = 4 << 20
+#: Longer words are hashed by blake2b: modulo a power of two, sums of powers clash for long words of some patterns.
+LONG_WORD = 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -185,7 +188,12 @@ class Words:
         ends = np.flatnonzero(solid & (after | first[1:])) + 1
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values[data] * powers(_BASE, n), out=total[1:])
-        return starts, ends, mix((total[ends] - total[starts]) * powers(_INVERSE, n + 1)[starts])
+        hashes = mix((total[ends] - total[starts]) * powers(_INVERSE, n + 1)[starts])
+        folds = np.array_equal(values[65:91], values[97:123])
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            word = LOWER[data[starts[i] : ends[i]]] if folds else data[starts[i] : ends[i]]
+            hashes[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
+        return starts, ends, hashes
 
     @property
     def per_row(self) -> np.ndarray:

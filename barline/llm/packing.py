@@ -140,8 +140,9 @@ class WordEncoder:
         """Remembers words by hash and by where they are."""
         raw = words.data.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[place].tolist(), words.ends[place].tolist())]
-        # One final stop or comma doesn't change the ids of what stands before it.
-        tails = [t[-1] if t[-1] in ".," and t[-2:-1].isalpha() else "" for t in texts]
+        # After an ASCII letter, a final stop or comma doesn't change the ids of what stands before it. Other letters may
+        # become several characters in small letters, the last of them a mark that joins the stop.
+        tails = [t[-1] if t[-1] in ".," and t[-2:-1].isalpha() and t.isascii() else "" for t in texts]
         stems = [t[:-1] if tail else t for t, tail in zip(texts, tails)]
         stem_hash, where = np.unique(hashes_of([*stems, ".", ","]), return_inverse=True)
         example = np.zeros(len(stem_hash), np.int64)
