@@ -13,6 +13,7 @@ from barline.llm.op7_quality_rules import op7_quality_rules
 from barline.llm.op8_toxicity import op8_toxicity
 from barline.llm.op9_quality_classifier import op9_quality_classifier
 from barline.llm.op10_packing import op10_packing
+from barline.llm.op11_spelling import op11_spelling_variants
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op1_lm_score": sql.lm_score(),
@@ -32,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op4_near_dup": sql.near_dup(),
     "op6_decontaminate": sql.decontaminate(),
     "op7_quality_rules": sql.quality_rules(),
+    "op11_spelling_variants": sql.spelling_variants(),
 }

@@ -155,3 +155,28 @@ def secret_scan() -> str:
  every AS (SELECT rid, k, a, b FROM base UNION ALL SELECT rid, k, a, b FROM extra),
  told AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy, {shown.replace("ORDER BY a, k)", "ORDER BY a, k) FILTER (k < 3)")} AS plain, {shown} AS spans FROM every GROUP BY rid)
  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(plain, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (rid)"""
+
+
+def spelling_variants() -> str:
+    """Letter runs with one letter left out of every 97th, and the edit distances of all pairs of words.
+
+    Edit distances are of bytes there, so the 64 letters beyond ASCII stand as ASCII characters that no word has.
+    """
+    beyond = "".join(map(chr, range(0xC0, 0x100)))
+    free = [c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'\\"]
+    plain = f"translate({{}}, '{beyond}', '{''.join(free[:60])}' || '{''.join(map(chr, (1, 2, 3, 4)))}')"
+    checksum = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, CAST(length(bytes) / 2 AS BIGINT) + 1),
+ lambda i: [CAST('0x' || bytes[2 * i - 1:2 * i] AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), CAST(4294967295 AS BIGINT))"""
+    return f"""WITH RECURSIVE found AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+ runs AS MATERIALIZED (SELECT run, hex(encode(id || ':' || run)) AS bytes, count(*) AS n FROM found WHERE length(run) >= 5 GROUP BY id, run),
+ summed AS MATERIALIZED (SELECT run, n, {checksum} AS h FROM runs),
+ words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n, {plain.format('word')} AS plain, length(word) AS size
+ FROM (SELECT n, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM summed) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+ pairs AS MATERIALIZED (SELECT a.word AS a, b.word AS b, a.n AS an, b.n AS bn FROM words a JOIN words b ON b.size = a.size AND a.plain < b.plain WHERE levenshtein(a.plain, b.plain) = 1
+ UNION ALL SELECT a.word, b.word, a.n, b.n FROM words a JOIN words b ON b.size = a.size + 1 WHERE levenshtein(a.plain, b.plain) = 1),
+ near AS (SELECT a AS word, b AS form, bn AS n FROM pairs UNION ALL SELECT b, a, an FROM pairs),
+ best AS MATERIALIZED (SELECT word, first(form ORDER BY n DESC, form) AS form, max(n) AS form_n, count(*) AS n_near FROM near GROUP BY word),
+ seen AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * words.n THEN form END AS form, CASE WHEN form_n >= 2 * words.n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+ walk AS (SELECT word, word AS root FROM seen UNION ALL SELECT walk.word, seen.form FROM walk JOIN seen ON seen.word = walk.root WHERE seen.form IS NOT NULL),
+ last AS (SELECT walk.word, walk.root FROM walk JOIN seen ON seen.word = walk.root WHERE seen.form IS NULL)
+ SELECT word, form, root, n, n_near, form_n FROM seen JOIN last USING (word)"""

@@ -13,7 +13,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
 def rows(df):
     names = sorted(df.columns)
-    return sorted((tuple(r) for r in df[names].astype(object).itertuples(index=False)), key=lambda r: [str(round(x, 3) if isinstance(x, float) else x) for x in r]), names
+    plain = df[names].astype(object)
+    plain = plain.where(plain.notna(), None)
+    return sorted((tuple(r) for r in plain.itertuples(index=False)), key=lambda r: [str(round(x, 3) if isinstance(x, float) else x) for x in r]), names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
