@@ -14,6 +14,7 @@ from barline.llm.op8_toxicity import op8_toxicity
 from barline.llm.op9_quality_classifier import op9_quality_classifier
 from barline.llm.op10_packing import op10_packing
 from barline.llm.op11_spelling import op11_spelling_variants
+from barline.llm.op12_mixing import op12_source_mix
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_source_mix": op12_source_mix,
 }
 ORACLES: dict[str, str] = {
     "op1_lm_score": sql.lm_score(),
