@@ -15,6 +15,7 @@ from barline.llm.op9_quality_classifier import op9_quality_classifier
 from barline.llm.op10_packing import op10_packing
 from barline.llm.op11_spelling import op11_spelling_variants
 from barline.llm.op12_mixing import op12_source_mix
+from barline.llm.op13_whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_source_mix": op12_source_mix,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_lm_score": sql.lm_score(),
