@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barline.llm.lineage import checkpointed
+from barline.llm.lineage import checkpointed, release
 
 
 #: Edges (two numbers each) up to which the least neighbours of all nodes are broadcast.
@@ -27,22 +27,28 @@ def _toward_least(edges: DataFrame, larger_only: bool, few: bool) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is a centre, or a leaf of one centre alone; edges lead from leaf (a) to centre (b)."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    return ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 OR leaf + centre > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b); component is the least node.
 
     Null ends and links of a node with itself are left out. No links: an empty table.
+    Stars whose centre is the least node are what the steps end with, so links that
+    are such stars already need none.
     """
-    edges = checkpointed(links.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct())
-    state = (edges.count(), None)
-    while True:
-        few = state[0] <= BROADCAST_EDGES
+    known = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    edges = checkpointed(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    few = edges.count() <= BROADCAST_EDGES
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _toward_least(both, True, few).where(F.col("a") != F.col("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         edges = checkpointed(_toward_least(down, False, few).where(F.col("a") != F.col("b")).distinct())
-        seen = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == state:
-            break
-        state = seen
+        few = edges.count() <= BROADCAST_EDGES
+        release(links.sparkSession)
     centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)

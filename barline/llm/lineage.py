@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -19,3 +21,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps, and their checkpoints where it is set to.
+
+    Spark does so when the driver collects its garbage, which a small driver does
+    rarely; an operator of many steps asks for it in between, once it has dropped its
+    own references.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -12,8 +12,9 @@ are filled, so a long text costs little more than a short one.
 Signatures are banded. Links within a bucket are verified exactly on the multisets.
 Buckets are not expanded to all pairs: every member is first linked with one
 centre, then classes are formed, and only members of different classes are compared
-further: by pairs of rows in small buckets; in large ones, all members outside the
-largest class are held against all members, in blocks of texts of which only the
+further: by pairs of rows in small buckets; in large ones, members that share too few
+shingles with other classes to be linked with one are left out, and all others outside
+the largest class are held against all others, in blocks of texts of which only the
 links that join classes come back. No bucket keeps an unchecked pair of different
 classes, and no candidate is capped.
 
@@ -28,7 +29,9 @@ text: where different texts share an id, give a key of the rows as ``id_col``.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barline.llm import arrays
 from barline.llm.arrays import Words, mix, ragged
 from barline.llm.components import components
-from barline.llm.lineage import checkpointed
+from barline.llm.lineage import checkpointed, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,6 +52,10 @@ BROADCAST_IDS = 1_000_000
 HOT = 48
 BLOCK = 200
 CHUNK_BYTES = 1 << 20
+#: Texts of a group of large buckets whose shingles are counted in one place, about.
+GROUP_PART = 512
+#: Pairs of one text that meet it in one place.
+MEMBERS = 64
 #: Of 128 one-bit slots, so many differ at most between texts of similarity 0.8 (four standard deviations).
 MOST_BITS_APART = 27
 
@@ -149,17 +156,28 @@ def weighted_jaccard(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarra
     return shared / max(int(na.sum() + nb.sum()) - shared, 1)
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows with these ids, one for each; ids are broadcast to the scan up to BROADCAST_IDS of them and joined by a shuffle beyond."""
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """Those pairs (a, b) of ids whose whole texts have at least ``similarity``, with it as column ``similarity``.
 
-    Texts of candidate documents alone are moved: their ids are broadcast to the
-    scan up to BROADCAST_IDS of them and joined by a shuffle beyond.
+    Texts of candidate documents alone are moved. A text ``a`` of many pairs is sent
+    once for each MEMBERS of them, so no key of the join holds more.
     """
     ids = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    texts = texts_of(ids, docs, id_col, text_col)
+    crowded = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")).where("parts > 1"))
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.select("a").distinct().join(crowded, "a", "left").select("a", parts.alias("parts"))
+    left = texts.join(left, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("left"))
+    placed = pairs.join(crowded, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    both = placed.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").join(left, ["a", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,9 +198,12 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
     return both.select("a", "b", "left", "right").mapInArrow(arrays.lean(run), "a long, b long, similarity double")
 
 
-def _close(x: str, y: str) -> Column:
-    apart = F.bit_count(F.col(f"{x}.bits1").bitwiseXOR(F.col(f"{y}.bits1"))) + F.bit_count(F.col(f"{x}.bits2").bitwiseXOR(F.col(f"{y}.bits2")))
-    return apart <= MOST_BITS_APART
+def close(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose one-bit slots differ in MOST_BITS_APART places at most."""
+    for side in ("a", "b"):
+        pairs = pairs.join(copies.select(F.col("id").alias(side), F.array("bits1", "bits2").alias(f"{side}_bits")), side)
+    apart = reduce(Column.__add__, [F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(2)])
+    return pairs.where(apart <= MOST_BITS_APART).select("a", "b")
 
 
 def similar(left: Words, right: Words, n: int = SHINGLE) -> np.ndarray:
@@ -226,16 +247,86 @@ def joining(a: np.ndarray, b: np.ndarray, class_a: np.ndarray, class_b: np.ndarr
     return kept
 
 
+def shared_across(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether the key of each place belongs to two or more values of ``of``."""
+    found, name = np.unique(keys, return_inverse=True)
+    low, high = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
+    np.minimum.at(low, name, of)
+    np.maximum.at(high, name, of)
+    return (low < high)[name]
+
+
+def with_partners(placed: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str, n: int = SHINGLE) -> DataFrame:
+    """Those rows (id, class, group) that can have a partner of at least ``similarity`` in another class of their group.
+
+    A text of m shingles, r of them also in another class, shares r with a partner at
+    most, and at least s / (1 + s) of the shingles of both. So the partner has at most
+    r (1 + s) / s - m of them, and s m at least; where the group has no text of such a
+    length (to a hundredth), the row goes. Texts made from one template that differ in
+    words of their own go so by one count of shingles, without comparisons. What goes
+    takes shingles along, so the count is repeated while it takes a fifth or more.
+    """
+    many = placed.count()
+    while many:
+        sizes = placed.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_PART).cast("int").alias("parts"))
+        sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+        texts = texts_of(placed.select("id").distinct(), docs, id_col, text_col)
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, last, words in arrays.words_in_chunks(batch.column(4), limit=CHUNK_BYTES):
+                    row, key, number = shingles(words, n)
+                    part = ((key >> np.uint64(8)) % batch.column(3).slice(first, last - first).to_numpy()[row].astype(np.uint64)).astype(np.int64)
+                    by = np.lexsort((part, row))
+                    row, key, number, part = row[by], key[by], number[by], part[by]
+                    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1]))) if len(row) else row
+                    ends = np.append(new, len(row)).astype(np.int32)
+                    own = [batch.column(i).take(pa.array(first + row[new])) for i in range(3)]
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (key.view(np.int64), number.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(part[new]), *lists], names=["group", "class", "id", "part", "keys", "numbers"])
+
+        def count(table: pa.Table) -> pa.Table:
+            lists = table.column("keys").combine_chunks()
+            size = lists.value_lengths().to_numpy()
+            numbers = table.column("numbers").combine_chunks().flatten().to_numpy()
+            both = shared_across(lists.flatten().to_numpy(), np.repeat(table.column("class").to_numpy(), size))
+            row = np.repeat(np.arange(len(size)), size)
+            return pa.table({"group": table.column("group"), "id": table.column("id"), "shared": pa.array(np.bincount(row, numbers * both, len(size))), "mass": pa.array(np.bincount(row, numbers, len(size)))})
+
+        rows = placed.join(sizes, "group").join(texts, "id").select("group", "class", "id", "parts", "text")
+        rows = rows.mapInArrow(arrays.lean(emit), "group long, class long, id long, part long, keys array<long>, numbers array<int>")
+        counted = rows.groupBy("group", "part").applyInArrow(arrays.lean_group(count), "group long, id long, shared double, mass double")
+        counted = checkpointed(counted.groupBy("group", "id").agg(F.sum("shared").alias("shared"), F.sum("mass").alias("mass")))
+        longest = F.col("shared") * ((1 + similarity) / similarity) - F.col("mass") + 1e-6
+
+        def step(mass: Column) -> Column:
+            return F.floor(F.log(mass) / math.log(1.01))
+
+        alike = counted.where(longest >= F.col("mass")).select("id")
+        shorter = counted.where((longest < F.col("mass")) & (longest >= similarity * F.col("mass"))).select("group", "id", F.explode(F.sequence(step(similarity * F.col("mass")), step(longest))).alias("step"))
+        able = alike.unionByName(shorter.join(counted.select("group", step(F.col("mass")).alias("step")).distinct(), ["group", "step"]).select("id").distinct())
+        placed = checkpointed(placed.join(able, "id"))
+        left = placed.count()
+        release(docs.sparkSession)
+        if left > 0.8 * many:
+            break
+        many = left
+    return placed
+
+
 def block_links(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) of at least ``similarity`` that join the classes of members of large buckets.
 
-    Buckets that share members are one group, so that a pair is compared once. In a
-    group, every member outside its largest class is held against every member, in
-    blocks of about BLOCK texts a side.
+    Buckets that share members are one group, so that a pair is compared once. Of a
+    group, members that can have a partner in another class are left (``with_partners``),
+    and every one of them outside its largest class is held against every one, in blocks
+    of about BLOCK texts a side.
     """
     members = checkpointed(members.select("id", "component", "centre"))
     groups = components(members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b")))
-    placed = members.select("id", F.col("component").alias("class")).distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
+    placed = members.select("id", F.col("component").alias("class")).distinct()
+    placed = checkpointed(placed.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id"))
+    placed = with_partners(placed, docs, similarity, id_col, text_col)
     counted = placed.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"))
     largest = counted.groupBy("group").agg(F.max_by("class", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
     largest = largest.select("group", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"))
@@ -251,9 +342,7 @@ def block_links(members: DataFrame, docs: DataFrame, similarity: float = SIMILAR
         placed.where(F.col("class") != F.col("main")).select("group", place("lefts").alias("left"), every("rights").alias("right"), F.lit(True).alias("side"), "id", "class"),
         placed.where("lefts > 0").select("group", every("lefts").alias("left"), place("rights").alias("right"), F.lit(False).alias("side"), "id", "class"),
     ]
-    ids = checkpointed(placed.select("id").distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = texts_of(checkpointed(placed.select("id").distinct()), docs, id_col, text_col)
 
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -279,26 +368,28 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
             F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2"), F.first("bands").alias("bands")
         )
     )
-    members = copies.where(F.col("id").isNotNull()).select("id", "bits1", "bits2", F.posexplode("bands").alias("band", "bucket"))
-    centre = members.groupBy("band", "bucket").agg(F.min_by(F.struct("id", "bits1", "bits2"), "id").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = checkpointed(members.join(centre, ["band", "bucket"]))
-    first = crowded.alias("m").where((F.col("m.id") != F.col("m.c.id")) & _close("m", "m.c")).select(F.col("m.c.id").alias("a"), F.col("m.id").alias("b")).distinct()
-    first = checkpointed(first)
+    members = copies.where(F.col("id").isNotNull()).select("id", F.explode("bands").alias("bucket"))  # the hash of a band holds its number
+    centre = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = checkpointed(members.join(centre, "bucket"))
+    release(docs.sparkSession)
+    first = checkpointed(close(crowded.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), copies))
     links = checkpointed(verified(first, docs, similarity, id_col, text_col).select("a", "b"))
+    release(docs.sparkSession)
     # Members of one bucket that are not in one class yet are compared with each other.
-    labelled = crowded.drop("c", "n").join(components(links), crowded["id"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-    split = labelled.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.min("id").alias("centre"))
-    open_rows = checkpointed(labelled.join(split.where("low != high").drop("low", "high"), ["band", "bucket"]))
+    labelled = crowded.join(components(links), crowded["id"] == F.col("node"), "left").select("bucket", "id", "centre", "n", F.coalesce("component", "id").alias("component"))
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_rows = checkpointed(labelled.join(split.select("bucket"), "bucket", "left_semi"))
+    del crowded, labelled, split
+    release(docs.sparkSession)
     cool = open_rows.where(F.col("n") <= HOT)
     x, y = cool.alias("x"), cool.alias("y")
-    more = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")))
+    more = close(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), copies)
     more = checkpointed(verified(checkpointed(more), docs, similarity, id_col, text_col).select("a", "b"))
+    del first, cool, x, y
+    release(docs.sparkSession)
     more = more.unionByName(block_links(open_rows.where(F.col("n") > HOT), docs, similarity, id_col, text_col))
+    del open_rows
     found = components(links.unionByName(more))
     named = copies.select("copy1", "copy2", "id", "n_copies").join(found, copies["id"] == found["node"], "left").select("copy1", "copy2", F.coalesce("component", "id").alias("class_id"), "n_copies")
     with_words = worded.select("doc_id", "copy1", "copy2").join(named, ["copy1", "copy2"]).select("doc_id", "class_id", "n_copies")

@@ -15,8 +15,6 @@ from barline.llm.components import components
 from barline.llm.lineage import checkpointed
 from barline.llm.op10_packing import TOKENIZER
 
-#: Documents of which line deduplication leaves less than this share are near copies by their text before it, too.
-LEAST_LEFT = 0.9
 #: SQL does not express models, edit joins and signatures; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -49,7 +47,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def as_before_line_dedup(spark: SparkSession, rows: DataFrame, key: str, sf_dir: str) -> DataFrame:
-    """(key, text) with the text of ``documents`` for rows of which less than LEAST_LEFT is left.
+    """(key, text) with the text of ``documents`` for all rows that have lost lines since.
 
     Only ids that one row has on both sides are taken. Lengths are compared first, so
     no text moves but those that are asked for.
@@ -58,7 +56,7 @@ def as_before_line_dedup(spark: SparkSession, rows: DataFrame, key: str, sf_dir:
     own = rows.select("doc_id", F.col(key).alias("key"), F.length("text").alias("left"), F.lit(None).cast("int").alias("whole"))
     first = documents.select("doc_id", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("left"), F.length("text").alias("whole"))
     both = own.unionByName(first).where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("n", F.count), ("of", F.max)) for c in ("left", "whole")], F.min(F.when(F.col("left").isNotNull(), F.col("key"))).alias("key"))
-    shortened = checkpointed(both.where((F.col("n_left") == 1) & (F.col("n_whole") == 1) & (F.col("of_left") < LEAST_LEFT * F.col("of_whole"))).select("doc_id", "key"))
+    shortened = checkpointed(both.where((F.col("n_left") == 1) & (F.col("n_whole") == 1) & (F.col("of_left") < F.col("of_whole"))).select("doc_id", "key"))
     few = shortened.count() <= near_dup.BROADCAST_IDS
     return documents.join(F.broadcast(shortened) if few else shortened, "doc_id").select(F.col("key").alias(key), "text")
 
@@ -66,9 +64,9 @@ def as_before_line_dedup(spark: SparkSession, rows: DataFrame, key: str, sf_dir:
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class of near-duplicates (one row of it, if its row is repeated).
 
-    A document is compared by its text and, where line deduplication has taken more
-    than a tenth of it (LEAST_LEFT), by its text in ``documents`` too: of a near
-    copy, only the lines that differ are left by then, which resemble nothing. Different texts of one doc_id are
+    A document is compared by its text and, where line deduplication has taken lines
+    from it, by its text in ``documents`` too: of a near copy, only the lines that
+    differ are left by then, which resemble nothing. Different texts of one doc_id are
     documents of their own. Documents without a doc_id come after all others.
     """
     counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -574,3 +574,31 @@ def test_word_hashes():
     assert words.per_row.tolist() == [3, 0, 0, 1, 2]
     h = words.hashes.tolist()
     assert h[1] == h[3] and h[0] == h[5] and len({*h}) == 4
+
+
+def test_near_dup_texts_of_one_template(spark, monkeypatch):
+    """Texts that differ in words of their own resemble each other below the limit: none is linked, and few reach the comparison in blocks."""
+    monkeypatch.setattr(near_dup, "HOT", 8)
+    monkeypatch.setattr(near_dup, "GROUP_PART", 50)
+    rng = random.Random(11)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for k in rng.sample(range(0, 200, 5), 7):
+            words[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, rows[i][1] + " more words") for i in range(30)]
+    rows += [(400 + i, " ".join(rows[40 + i][1].split()[:182])) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
+    assert all(made[i] == i for i in range(240)) and all(made[300 + i] == i for i in range(30)) and all(made[400 + i] == 40 + i for i in range(10))
+    placed = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("class"), F.lit(1).cast("long").alias("group"))
+    left = {r.id for r in near_dup.with_partners(placed, docs, 0.8, "doc_id", "text").collect()}
+    assert {*range(30), *range(40, 50), *range(300, 330), *range(400, 410)} <= left and len(left) < 100, len(left)
+
+
+def test_components_of_stars_and_chains(spark):
+    links = [(1, 2), (1, 3), (3, 1), (10, 11), (11, 12), (13, 12), (None, 4), (5, 5), (20, 40), (30, 40)]
+    made = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert made == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10, 13: 10, 20: 20, 30: 20, 40: 20}

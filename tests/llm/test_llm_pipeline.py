@@ -60,7 +60,7 @@ def without_repeated_lines(docs):
 
 
 def without_near_copies(docs, originals):
-    bags = {k: [bag(y.split()) for y in ([x, originals[k]] if len(x) < 0.9 * len(originals[k]) else [x])] for k, x in docs.items()}
+    bags = {k: [bag(y.split()) for y in ([x, originals[k]] if len(x) < len(originals[k]) else [x])] for k, x in docs.items()}
     parent = {k: k for k in docs}
     for a in docs:
         for b in docs:
