@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barline.llm import arrays
-from barline.llm.lineage import checkpointed
+from barline.llm.lineage import checkpointed, release
 
 #: Of a run whose checksum this divides, one letter is left out.
 DROP = 97
@@ -44,6 +44,8 @@ GROUPS = 6
 #: Words of a cell and of its visitors in one block.
 LEFT = 1024
 RIGHT = 16_384
+#: Cells cut into blocks whose numbers are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 1_000_000
 #: Rows of blocks in one call of the comparison, about.
 TASK_ROWS = 20_000
 #: Distinct words that a counting task holds before it sends their numbers on.
@@ -176,10 +178,13 @@ def partners(words: DataFrame) -> DataFrame:
                 part = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.view(np.int64)), pa.array(np.full(len(row), own))], names=["word", "n", "cell", "own"])
 
-    sent = checkpointed(words.select("word", "n").mapInArrow(arrays.lean(visit), "word string, n long, cell long, own boolean"))
-    cells = sent.groupBy("cell").agg(F.count_if("own").alias("lefts"), F.count(F.lit(1)).alias("rights")).where("lefts > 0")
-    cells = cells.select("cell", F.ceil(F.col("lefts") / LEFT).cast("int").alias("lefts"), F.ceil(F.col("rights") / RIGHT).cast("int").alias("rights"))
-    placed = sent.join(cells, "cell")
+    sent = words.select("word", "n").mapInArrow(arrays.lean(visit), "word string, n long, cell long, own boolean")
+    # Only cells that have words of their own are visited.
+    cells = sent.where("own").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / LEFT).cast("int").alias("lefts"))
+    placed = checkpointed(sent.join(cells, "cell"))
+    crowded = checkpointed(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / RIGHT).cast("int").alias("rights")).where("rights > 1"))
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded
+    placed = placed.join(crowded, "cell", "left").withColumn("rights", F.coalesce("rights", F.lit(1)))
 
     def place(of: str):
         return F.pmod(F.xxhash64("word"), F.col(of)).cast("int")
@@ -189,7 +194,8 @@ def partners(words: DataFrame) -> DataFrame:
 
     lefts = placed.where("own").select("cell", place("lefts").alias("l"), every("rights").alias("r"), "word", "n", "own", F.lit(True).alias("left"))
     rights = placed.select("cell", every("lefts").alias("l"), place("rights").alias("r"), "word", "n", "own", F.lit(False).alias("left"))
-    blocks = checkpointed(lefts.unionByName(rights).withColumn("block", F.xxhash64("cell", "l", "r")).drop("cell", "l", "r"))
+    blocks = lefts.unionByName(rights).withColumn("block", F.xxhash64("cell", "l", "r")).drop("cell", "l", "r")
+    release(words.sparkSession)
     tasks = max(1, -(-blocks.count() // TASK_ROWS))
 
     def compare(table: pa.Table) -> pa.Table:
