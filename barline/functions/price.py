@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from barline.functions.windows import BARS, Series
+from barline.functions.windows import BARS, Series, finite, value
+
 
 def _cols() -> tuple[Column, ...]:
-    return tuple(F.col(n) for n in ("open", "high", "low", "close", "volume"))
+    return tuple(value(n) for n in ("open", "high", "low", "close", "volume"))
 
 
 def typical_price() -> Column:
@@ -26,27 +27,27 @@ def weighted_close() -> Column:
 
 
 def bar_range() -> Column:
-    return F.col("high") - F.col("low")
+    return value("high") - value("low")
 
 
 def body() -> Column:
-    return F.abs(F.col("close") - F.col("open"))
+    return F.abs(value("close") - value("open"))
 
 
 def upper_shadow() -> Column:
-    return F.col("high") - F.greatest("open", "close")
+    return value("high") - F.greatest(value("open"), value("close"))
 
 
 def lower_shadow() -> Column:
-    return F.least("open", "close") - F.col("low")
+    return F.least(value("open"), value("close")) - value("low")
 
 
 def is_bullish() -> Column:
-    return F.col("close") > F.col("open")
+    return value("close") > value("open")
 
 
 def is_bearish() -> Column:
-    return F.col("close") < F.col("open")
+    return value("close") < value("open")
 
 
 def is_finite(x: Column) -> Column:
@@ -54,18 +55,17 @@ def is_finite(x: Column) -> Column:
 
 
 def any_missing(*names: str) -> Column:
-    """Whether one of these columns is NULL or NaN, as of an indicator with several outputs."""
+    """Whether one of these columns is missing, as of an indicator with several outputs."""
     found = F.lit(False)
     for n in names:
-        found = found | F.isnull(n) | F.isnan(n)
+        found = found | value(n).isNull()
     return found
 
 
 def is_valid() -> Column:
     """All values finite, open and close between low and high, volume not negative."""
     o, h, l, c, v = _cols()
-    finite = is_finite(o) & is_finite(h) & is_finite(l) & is_finite(c) & is_finite(v)
-    return F.coalesce(finite & (l <= o) & (o <= h) & (l <= c) & (c <= h) & (v >= 0), F.lit(False))
+    return F.coalesce((l <= o) & (o <= h) & (l <= c) & (c <= h) & (v >= 0), F.lit(False))
 
 
 def close_location() -> Column:
@@ -86,14 +86,17 @@ def abs_diff(a: Column, b: Column) -> Column:
 
 def crossover(a: Column, b: Column, series: Series = BARS) -> Column:
     """``a`` was at or below ``b`` a row ago and is above it now; false where unknown."""
+    a, b = finite(a), finite(b)
     return F.coalesce((series.lag(a) <= series.lag(b)) & (a > b), F.lit(False))
 
 
 def crossunder(a: Column, b: Column, series: Series = BARS) -> Column:
+    a, b = finite(a), finite(b)
     return F.coalesce((series.lag(a) >= series.lag(b)) & (a < b), F.lit(False))
 
 
 def true_range(series: Series = BARS) -> Column:
     """The largest of h - l, abs(h - previous close), abs(l - previous close); h - l in the first row."""
-    before = series.lag(F.col("close"))
-    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    _, high, low, close, _ = _cols()
+    before = series.lag(close)
+    return F.greatest(high - low, F.abs(high - before), F.abs(low - before))

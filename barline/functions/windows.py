@@ -46,6 +46,16 @@ class Series:
 BARS = Series()
 
 
+def finite(x: Column) -> Column:
+    """``x``, and NULL where it is missing: NULL, NaN (above all numbers in comparisons) or infinite."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
+def value(name: str) -> Column:
+    """A column of a table, whose missing values may be NULL, NaN or infinite, as ``finite`` gives it."""
+    return finite(F.col(name))
+
+
 def is_zero(column: Column) -> Column:
     return F.abs(column) < EPSILON
 
@@ -61,5 +71,5 @@ def with_columns(df: DataFrame, made: dict[str, Column], fillna: bool = False) -
 
 
 def without_nan(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` with NaN as NULL in these columns, so that aggregates pass over it."""
-    return df.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+    """``df`` with NaN and infinite values as NULL in these columns, so that aggregates pass over them."""
+    return df.withColumns({n: value(n) for n in names})

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barline.errors import DuplicateColumn, columns
-from barline.functions.windows import BARS, Series
+from barline.functions.windows import BARS, Series, value
 from barline.operators.quantiles import exact_quantiles
 
 
 def series_stats(df: DataFrame, column: str, series: Series = BARS) -> DataFrame:
     """n, n_missing, total, mean, least, most, first and last of a column for each series; missing values are passed over."""
     columns(df, column)
-    x = F.when(~F.isnan(column), F.col(column))
+    x = value(column)
     order = F.struct(*series.order)
     return df.groupBy(*series.by).agg(
         F.count(F.lit(1)).alias("n"),

@@ -2,60 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barline.errors import columns, window
 from barline.functions import rolling
-from barline.functions.windows import BARS, EPSILON, Series, is_zero, ratio, with_columns
-from barline.plans.scan import Scan, linear_scans
+from barline.functions.windows import BARS, Series, is_zero, ratio, value, with_columns
+from barline.operators import programs
+from barline.operators.programs import kernels, study
 
+Pieces = str | int | None
 
-def _strength(gain: Column, loss: Column) -> Column:
-    """0 to 100 from mean gain and loss; 50 without either."""
-    return F.when((gain < EPSILON) & (loss < EPSILON), 50.0).when(loss < EPSILON, 100.0).when(gain < EPSILON, 0.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
 
-
-def rsi(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
+def rsi(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """Relative strength; gains and losses are averaged from the first row's 0 on, shown from row n on."""
-    columns(df, column)
-    name = out or f"rsi_{window(n)}"
-    change = F.col(column) - series.lag(F.col(column))
-    made = df.withColumns({"__gain": F.when(change > 0, change).otherwise(0.0), "__loss": F.when(change < 0, -change).otherwise(0.0)})
-    made = linear_scans(made, [Scan("__gain", "__g", n, "first"), Scan("__loss", "__l", n, "first")], series, pieces)
-    made = made.withColumn(name, series.guarded(_strength(F.col("__g"), F.col("__l")), n)).drop("__gain", "__loss", "__g", "__l")
-    return with_columns(made, {name: F.col(name)}, fillna)
+    return study(df, [programs.rsi(n, column, out)], series, pieces, fillna)
 
 
-def stoch_rsi(df: DataFrame, n: int = 14, k: int = 3, d: int = 3, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
+def stoch_rsi(df: DataFrame, n: int = 14, k: int = 3, d: int = 3, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """stoch_rsi, stoch_rsi_k and stoch_rsi_d, from 0 to 1."""
-    made = rsi(df, n, out="__rsi", series=series, pieces=pieces)
-    x = F.col("__rsi")
-    low, high = rolling.rolling_min(x, n, series), rolling.rolling_max(x, n, series)
-    made = made.withColumn("stoch_rsi", F.when(high - low < EPSILON, 0.5).otherwise(F.try_divide(x - low, high - low)))
-    made = made.withColumn("stoch_rsi_k", rolling.sma(F.col("stoch_rsi"), k, series))
-    made = made.withColumn("stoch_rsi_d", rolling.sma(F.col("stoch_rsi_k"), d, series)).drop("__rsi")
-    return with_columns(made, {c: F.col(c) for c in ("stoch_rsi", "stoch_rsi_k", "stoch_rsi_d")}, fillna)
+    return study(df, [programs.stoch_rsi(n, k, d)], series, pieces, fillna)
+
+
+def _extremes(df: DataFrame, n: int, series: Series) -> DataFrame:
+    return df.withColumns({"__low": rolling.rolling_min(F.col("low"), n, series), "__high": rolling.rolling_max(F.col("high"), n, series)})
 
 
-def stochastic(df: DataFrame, k_period: int = 14, k_smooth: int = 3, d_period: int = 3, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def stochastic(df: DataFrame, k_period: int = 14, k_smooth: int = 3, d_period: int = 3, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """stoch_k (smoothed) and stoch_d; 50 in a window without range."""
     columns(df, "high", "low", "close")
-    low, high = rolling.rolling_min(F.col("low"), k_period, series), rolling.rolling_max(F.col("high"), k_period, series)
-    made = df.withColumn("__raw", 100 * ratio(F.col("close") - low, high - low, 0.5))
+    if kernels(max(window(k_period), window(k_smooth), window(d_period)), pieces):
+        return study(df, [programs.stochastic(k_period, k_smooth, d_period)], series, pieces, fillna)
+    made = _extremes(df, k_period, series)
+    made = made.withColumn("__raw", 100 * ratio(value("close") - F.col("__low"), F.col("__high") - F.col("__low"), 0.5))
     made = made.withColumn("stoch_k", rolling.sma(F.col("__raw"), k_smooth, series))
-    made = made.withColumn("stoch_d", rolling.sma(F.col("stoch_k"), d_period, series)).drop("__raw")
+    made = made.withColumn("stoch_d", rolling.sma(F.col("stoch_k"), d_period, series)).drop("__raw", "__low", "__high")
     return with_columns(made, {c: F.col(c) for c in ("stoch_k", "stoch_d")}, fillna)
 
 
-def williams_r(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS) -> DataFrame:
+def williams_r(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """-100 to 0; -50 in a window without range."""
     columns(df, "high", "low", "close")
-    low, high = rolling.rolling_min(F.col("low"), n, series), rolling.rolling_max(F.col("high"), n, series)
-    return with_columns(df, {f"williams_r_{n}": -100 * ratio(high - F.col("close"), high - low, 0.5)}, fillna)
+    if kernels(n, pieces):
+        return study(df, [programs.williams_r(n)], series, pieces, fillna)
+    made = _extremes(df, n, series)
+    return with_columns(made, {f"williams_r_{n}": -100 * ratio(F.col("__high") - value("close"), F.col("__high") - F.col("__low"), 0.5)}, fillna).drop("__low", "__high")
 
 
-def roc(df: DataFrame, n: int = 12, column: str = "close", fillna: bool = False, series: Series = BARS) -> DataFrame:
+def roc(df: DataFrame, n: int = 12, column: str = "close", fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """Change over n rows in percent; undefined from 0."""
     columns(df, column)
-    before = series.lag(F.col(column), window(n))
-    return with_columns(df, {f"roc_{n}": F.when(~is_zero(before), 100 * (F.col(column) - before) / before)}, fillna)
+    if window(n) and pieces is not None:
+        return study(df, [programs.roc(n, column)], series, pieces, fillna)
+    before = series.lag(value(column), n)
+    return with_columns(df, {f"roc_{n}": F.when(~is_zero(before), 100 * (value(column) - before) / before)}, fillna)

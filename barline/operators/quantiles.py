@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barline.functions.windows import finite
+
 #: Rank error of the approximate quantiles: a group's rows over this.
 ACCURACY = 20_000
 #: Groups of fewer rows are listed whole.
@@ -33,11 +35,11 @@ def _at_rank(inside: Column, below: Column, rank: Column) -> Column:
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, q: tuple[float, ...]) -> DataFrame:
     """``keys`` and q0, q1, ..: quantiles with linear interpolation of ``value`` for each group of the keys.
 
-    NULL and NaN values are passed over; a group without values has NULL quantiles.
+    Missing values (NULL, NaN, infinite) are passed over; a group without values has NULL quantiles.
     Null keys are a group; an empty table gives an empty result.
     """
     x = F.col(value).cast("double")
-    rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.when(~F.isnan(x), x).alias("x"))
+    rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], finite(x).alias("x"))
     names = [f"k{i}" for i in range(len(keys))]
     margin = 2 / ACCURACY
     ends = [p for level in q for p in (max(level - margin, 0.0), min(level + margin, 1.0))]

@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barline.errors import InverseNotSupported, InvalidParameter, NotFitted, StateVersionError, columns
-from barline.functions.windows import BARS, Series
+from barline.functions.windows import BARS, Series, finite
 from barline.operators.quantiles import exact_quantiles
 
 VERSION = 1
@@ -60,7 +60,8 @@ class LogReturn:
         return self
 
     def _of(self, name: str) -> Column:
-        x, before = F.col(name), self.series.lag(F.col(name))
+        x = finite(F.col(name))
+        before = self.series.lag(x)
         if self.log1p and is_volume(name):
             # What is not positive counts as 0; the first row has no value before it.
             def level(v: Column) -> Column:
@@ -155,7 +156,7 @@ class Normalization(_Scaler):
     def _figures(self, df: DataFrame, names: list[str]) -> list[tuple[float | None, float | None]]:
         made = []
         for i, n in enumerate(names):
-            x = F.when(~F.isnan(n), F.col(n))
+            x = finite(F.col(n))
             made += [F.avg(x).alias(f"c{i}"), F.stddev_samp(x).alias(f"s{i}")]
         row = df.agg(*made).first()
         return [(row[f"c{i}"], row[f"s{i}"]) for i in range(len(names))]

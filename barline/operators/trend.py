@@ -1,101 +1,71 @@
 """Trend indicators. Each function adds columns to a table of bars; undefined values are NULL.
 
-Indicators that rest on recurrences take ``pieces``: the unit of time by which series
-that are too long for one task are cut (see ``barline.plans.scan``).
+With ``pieces`` (a unit of time, or a number for numeric orders), series that are too
+long for one task are cut; see ``barline.plans.scan``. Wide windows and recurrences run
+as steps of ``barline.operators.programs``, narrow windows as Spark's own.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from barline.errors import InvalidParameter, columns, window
 from barline.functions import rolling
-from barline.functions.price import true_range
-from barline.functions.windows import BARS, EPSILON, Series, with_columns
-from barline.plans.scan import Derived, Scan, linear_scans
+from barline.functions.windows import BARS, Series, value, with_columns
+from barline.operators import programs
+from barline.operators.programs import kernels, study
 
+Pieces = str | int | None
 
-def sma(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS) -> DataFrame:
+
+def sma(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     columns(df, column)
-    return with_columns(df, {out or f"sma_{n}": rolling.sma(F.col(column), n, series)}, fillna)
+    name = out or f"sma_{n}"
+    if kernels(n, pieces):
+        return study(df, [programs.rolling("mean", n, column, name)], series, pieces, fillna)
+    return with_columns(df, {name: rolling.sma(F.col(column), n, series)}, fillna)
 
 
-def ema(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
+def ema(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """Exponential average, alpha 2 / (n + 1), begun at the mean of the first n values."""
-    columns(df, column)
-    name = out or f"ema_{n}"
-    made = linear_scans(df, [Scan(column, name, window(n), "ema")], series, pieces)
-    return with_columns(made, {name: F.col(name)}, fillna)
+    return study(df, [programs.average("ema", n, column, out)], series, pieces, fillna)
 
 
-def wilder(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
+def wilder(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """Wilder's average, alpha 1 / n, begun at the mean of the first n values."""
-    columns(df, column)
-    name = out or f"wilder_{n}"
-    made = linear_scans(df, [Scan(column, name, window(n), "wilder")], series, pieces)
-    return with_columns(made, {name: F.col(name)}, fillna)
+    return study(df, [programs.average("wilder", n, column, out)], series, pieces, fillna)
 
 
-def wma(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS) -> DataFrame:
-    columns(df, column)
-    return with_columns(df, {out or f"wma_{n}": rolling.wma(F.col(column), n, series)}, fillna)
+def wma(df: DataFrame, n: int = 14, column: str = "close", out: str | None = None, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
+    """Mean with weights 1 for the oldest up to n for the newest value."""
+    return study(df, [programs.rolling("wma", n, column, out or f"wma_{n}")], series, pieces, fillna)
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """macd, macd_signal and macd_histogram; the signal begins at the first macd value."""
     for n in (fast, slow, signal):
         window(n)
     if fast >= slow:
         raise InvalidParameter("fast must be below slow")
-    columns(df, "close")
-    steps = [Scan("close", "__fast", fast, "ema"), Scan("close", "__slow", slow, "ema"), Derived(("__fast", "__slow"), "macd", np.subtract), Scan("macd", "macd_signal", signal, "ema")]
-    made = linear_scans(df, steps, series, pieces).drop("__fast", "__slow")
-    return with_columns(made, {"macd": F.col("macd"), "macd_signal": F.col("macd_signal"), "macd_histogram": F.col("macd") - F.col("macd_signal")}, fillna)
-
+    return study(df, [programs.macd(fast, slow, signal)], series, pieces, fillna)
 
-def _directional(move: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """The share of a movement in the range, in percent; 0 without a range."""
-    wide = np.abs(reach) >= EPSILON
-    return np.where(np.isnan(reach), np.nan, np.where(wide, 100 * move / np.where(wide, reach, 1.0), 0.0))
 
-
-def _difference(plus: np.ndarray, minus: np.ndarray) -> np.ndarray:
-    both = plus + minus
-    return np.where(both > EPSILON, 100 * np.abs(plus - minus) / np.where(both > EPSILON, both, 1.0), both * 0.0)
-
-
-def adx(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS, pieces: str | int | None = None) -> DataFrame:
+def adx(df: DataFrame, n: int = 14, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """adx, plus_di and minus_di; directional values from the row after the first n on, adx n rows later."""
     if window(n) < 2:
         raise InvalidParameter("adx needs a window of 2 or more")
-    columns(df, "high", "low", "close")
-    up = F.col("high") - series.lag(F.col("high"))
-    down = series.lag(F.col("low")) - F.col("low")
-    made = df.withColumns(
-        {
-            "__tr": true_range(series),
-            "__plus": F.when((up > down) & (up > 0), up).otherwise(0.0),
-            "__minus": F.when((down > up) & (down > 0), down).otherwise(0.0),
-        }
-    )
-    steps = [Scan(f"__{x}", f"__s_{x}", n, "sum_skip") for x in ("tr", "plus", "minus")]
-    steps += [Derived((f"__s_{x}", "__s_tr"), f"{x}_di", _directional) for x in ("plus", "minus")]
-    steps += [Derived(("plus_di", "minus_di"), "__dx", _difference), Scan("__dx", "adx", n, "wilder")]
-    made = linear_scans(made, steps, series, pieces)
-    made = made.drop("__tr", "__plus", "__minus", "__s_tr", "__s_plus", "__s_minus", "__dx")
-    return with_columns(made, {c: F.col(c) for c in ("adx", "plus_di", "minus_di")}, fillna)
-
-
-def aroon(df: DataFrame, n: int = 25, fillna: bool = False, series: Series = BARS) -> DataFrame:
+    return study(df, [programs.adx(n)], series, pieces, fillna)
+
+
+def aroon(df: DataFrame, n: int = 25, fillna: bool = False, series: Series = BARS, pieces: Pieces = None) -> DataFrame:
     """aroon_up, aroon_down and aroon_oscillator over n + 1 rows without missing ones; of equal extremes the latest counts."""
     columns(df, "high", "low")
+    if kernels(n, pieces):
+        return study(df, [programs.aroon(n)], series, pieces, fillna)
     frame, order = series.last(window(n) + 1), F.row_number().over(series.ordered())
-    made = df.withColumn("__rn", order)
-    high = F.max(F.struct(F.col("high"), F.col("__rn"))).over(frame)["__rn"]
-    low = -F.min(F.struct(F.col("low"), (-F.col("__rn")).alias("r"))).over(frame)["r"]
-    full = series.full(n + 1, F.col("high")) & series.full(n + 1, F.col("low"))
-    up = F.when(full, 100.0 * (n - (F.col("__rn") - high)) / n)
-    down = F.when(full, 100.0 * (n - (F.col("__rn") - low)) / n)
-    made = made.withColumns({"aroon_up": up, "aroon_down": down}).drop("__rn")
+    made = df.withColumns({"__rn": order, "__h": value("high"), "__l": value("low")})
+    full = series.full(n + 1, F.col("__h")) & series.full(n + 1, F.col("__l"))
+    made = made.withColumns({"__full": full, "__high": F.max(F.struct("__h", "__rn")).over(frame)["__rn"], "__low": -F.min(F.struct("__l", (-F.col("__rn")).alias("r"))).over(frame)["r"]})
+    up, down = (F.when(F.col("__full"), 100.0 * (n - (F.col("__rn") - F.col(c))) / n) for c in ("__high", "__low"))
+    made = made.withColumns({"aroon_up": up, "aroon_down": down}).drop("__rn", "__h", "__l", "__full", "__high", "__low")
     return with_columns(made, {"aroon_up": F.col("aroon_up"), "aroon_down": F.col("aroon_down"), "aroon_oscillator": F.col("aroon_up") - F.col("aroon_down")}, fillna)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barline.functions import price, rolling
 from barline.functions.windows import BARS
-from barline.operators import frame, momentum, transforms, trend, volatility, volume
+from barline.operators import frame, momentum, programs, rolling as rolled, transforms, trend, volatility, volume
 from barline.sources.bars import event_bars, order_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,54 @@ def _by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(df, "adx", "atr_14", "kc_upper")
 
 
+#: Rows of each series in which a column is missing, as NaN or infinite.
+_GONE = {"close": {20: "NaN", 41: "Infinity"}, "high": {50: "Infinity"}, "low": {60: "NaN"}, "volume": {70: "NaN", 71: "-Infinity"}}
+_NAN_NAMES = ("sma_20", "wma_14", "bb_upper", "bb_pct_b", "dc_upper", "dc_lower", "dc_width", "aroon_up", "aroon_down", "williams_r_14", "stoch_d", "rsi_14", "roc_12", "obv", "vwap", "vwap_10", "mfi_14", "cmf_20", "tr", "valid")
+
+
+def _nan_bars(pieces: str | None) -> Query:
+    """Indicators of bars some of whose values are NaN or infinite, as tables that others have written may be."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rn = F.row_number().over(BARS.ordered())
+        df = event_bars(spark, sf_dir).withColumn("rn", rn)
+        for name, gone in _GONE.items():
+            for row, missing in gone.items():
+                df = df.withColumn(name, F.when(F.col("rn") == row, F.lit(float(missing))).otherwise(F.col(name)))
+        df = df.drop("rn").withColumns({"tr": price.true_range(), "valid": price.is_valid()})
+        if pieces:
+            own = [programs.rolling("mean", 20, out="sma_20"), programs.rolling("wma", 14), programs.bollinger(), programs.donchian(), programs.aroon(), programs.williams_r(), programs.stochastic(), programs.rsi(), programs.roc(), programs.obv(), programs.vwap(), programs.vwap("rolling", 10, "vwap_10"), programs.mfi(), programs.cmf()]
+            return shown(programs.study(df, own, pieces=pieces), *_NAN_NAMES)
+        df = volume.vwap(trend.sma(df, 20), "rolling", 10, out="vwap_10")
+        for add in (trend.wma, volatility.bollinger, volatility.donchian, trend.aroon, momentum.williams_r, momentum.stochastic, momentum.rsi, momentum.roc, volume.obv, volume.vwap, volume.mfi, volume.cmf):
+            df = add(df)
+        return shown(df, *_NAN_NAMES)
+
+    return query
+
+
+def _windows_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over series that are cut by month, in one study."""
+    own = [programs.rolling("mean", 14, out="sma_14"), programs.rolling("wma", 14), programs.bollinger(), programs.donchian(), programs.aroon(), programs.stochastic(), programs.williams_r(), programs.cmf(), programs.mfi(), programs.roc(), programs.rolling("sum", 10, "volume", "total")]
+    return shown(programs.study(event_bars(spark, sf_dir), own, pieces="month"), "sma_14", "wma_14", "bb_upper", "bb_pct_b", "dc_width", "aroon_up", "aroon_down", "stoch_d", "williams_r_14", "cmf_20", "mfi_14", "roc_12", "total")
+
+
+def _running_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running functions carried over series that are cut by month."""
+    df = event_bars(spark, sf_dir).withColumn("seldom", F.when(F.col("volume") > 3, F.col("close")))
+    df = volume.vwap(volume.vwap(volume.obv(df, pieces="month"), pieces="month"), "session", out="vwap_day", pieces="month")
+    df = rolled.running_sum(rolled.ffill(df, "seldom", "carried", pieces="month"), "seldom", "total", pieces="month")
+    df = rolled.pct_change(rolled.diff(df, 3, pieces="month"), 2, pieces="month")
+    return shown(df, "obv", "vwap", "vwap_day", "carried", "total", "diff_3", "pct_change_2")
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 200 rows, in kernels whose work does not grow with the width."""
+    df = volatility.donchian(volatility.bollinger(trend.wma(trend.sma(event_bars(spark, sf_dir), 200), 200), 200), 200)
+    df = volume.cmf(momentum.williams_r(trend.aroon(df, 200), 200), 200)
+    return shown(df, "sma_200", "wma_200", "bb_upper", "dc_width", "aroon_up", "aroon_down", "williams_r_200", "cmf_200")
+
+
 _PRICES = ("open", "high", "low", "close", "volume")
 
 
@@ -218,6 +266,98 @@ _GAP_VALUES = {
 _BY_MONTH = f"{_ADX.replace(_lists(ts_='t', ps='p', ms='m').format('d'), _lists(ts_='t', ps='p', ms='m', xs='close').format('d'))}, z AS (SELECT *, {_ema('xs', 20)} AS mid, 2 * {_wilder('ts_', 10)} AS band FROM f)"
 _BY_MONTH_VALUES = {"adx": f"CASE WHEN rn >= 28 THEN round({_wilder('ds', 14)}, 6) END", "atr_14": _full(14, _wilder("ts_", 14)), "kc_upper": _full(20, "mid + band")}
 
+
+
+def _where_all(n: int, count: str, x: str) -> str:
+    return f"CASE WHEN count({count}) OVER {_r(n)} = {n} THEN round({x}, 6) + 0.0 END"
+
+
+def _gone(name: str) -> str:
+    return f"CASE WHEN r NOT IN ({', '.join(map(str, _GONE[name]))}) THEN {name} END AS {name}"
+
+
+_AROON = "a0 AS (SELECT *, max(struct_pack(v := high, r := rn)) OVER {f} AS hi, min(struct_pack(v := low, r := -rn)) OVER {f} AS lo FROM {{}}), a1 AS (SELECT *, 100.0 * ({n} - (rn - hi.r)) / {n} AS a_up, 100.0 * ({n} - (rn + lo.r)) / {n} AS a_down FROM a0)"
+_NAN_BARS = _BARS.replace(
+    "b AS (SELECT *, row_number()", f"gaps AS (SELECT symbol, ts, open, {', '.join(map(_gone, ('high', 'low', 'close', 'volume')))} FROM (SELECT *, row_number() OVER ({_O}) AS r FROM bars)),\n b AS (SELECT *, row_number()"
+).replace("FROM bars WINDOW o", "FROM gaps WINDOW o")
+_EXTREMES = f"min(low) OVER {_r(14)} AS ll, max(high) OVER {_r(14)} AS hh, count(low) OVER {_r(14)} AS nl, count(high) OVER {_r(14)} AS nh"
+_NAN_SQL = (
+    f"{_NAN_BARS}, {_RSI_LISTS}, {_RSI}, u AS (SELECT *, lag(tp) OVER ({_O}) AS ptp, lag(close, 12) OVER ({_O}) AS c12, list(close) OVER {_r(14)} AS last14, {_EXTREMES} FROM r), "
+    f"w AS (SELECT *, coalesce(sum(CASE WHEN tp > ptp THEN tp * volume ELSE 0 END) OVER {_r(14)}, 0) AS pos, coalesce(sum(CASE WHEN tp < ptp THEN tp * volume ELSE 0 END) OVER {_r(14)}, 0) AS neg, CASE WHEN nl = 14 AND nh = 14 THEN CASE WHEN abs(hh - ll) < 1e-10 THEN 0.5 ELSE (close - ll) / (hh - ll) END END AS raw FROM u), "
+    f"k AS (SELECT *, CASE WHEN count(raw) OVER {_r(3)} = 3 THEN avg(raw) OVER {_r(3)} END AS k FROM w), "
+    + _AROON.format(f=_r(26), n=25).format("k")
+    + f", y AS (SELECT *, CASE WHEN count(close) OVER {_r(20)} = 20 THEN avg(close) OVER {_r(20)} END AS mid, 2 * stddev_samp(close) OVER {_r(20)} AS sp, CASE WHEN abs(high - low) < 1e-10 THEN 0 ELSE (2 * close - high - low) / (high - low) END AS clv, sum(tp * volume) OVER ({_O}) / sum(volume) OVER ({_O}) AS va, "
+    f"CASE WHEN rn >= 10 THEN sum(tp * volume) OVER {_r(10)} / sum(volume) OVER {_r(10)} END AS vr FROM a1) SELECT {_KEY}, "
+    + ", ".join(
+        f"{v} AS {k}"
+        for k, v in {
+            "sma_20": _round("mid"),
+            "wma_14": "CASE WHEN rn >= 14 AND len(list_filter(last14, lambda x: x IS NOT NULL)) = 14 THEN round(list_sum(list_transform(last14, lambda x, i: x * i)) / 105, 6) + 0.0 END",
+            "bb_upper": _round("mid + sp"),
+            "bb_pct_b": _round("CASE WHEN sp > 5e-11 THEN (close - (mid - sp)) / (2 * sp) WHEN mid IS NOT NULL THEN 0.5 END"),
+            "dc_upper": _where_all(20, "high", f"max(high) OVER {_r(20)}"),
+            "dc_lower": _where_all(20, "low", f"min(low) OVER {_r(20)}"),
+            "dc_width": f"CASE WHEN count(high) OVER {_r(20)} = 20 AND count(low) OVER {_r(20)} = 20 THEN round(max(high) OVER {_r(20)} - min(low) OVER {_r(20)}, 6) + 0.0 END",
+            "aroon_up": f"CASE WHEN count(high) OVER {_r(26)} = 26 AND count(low) OVER {_r(26)} = 26 THEN round(a_up, 6) + 0.0 END",
+            "aroon_down": f"CASE WHEN count(high) OVER {_r(26)} = 26 AND count(low) OVER {_r(26)} = 26 THEN round(a_down, 6) + 0.0 END",
+            "williams_r_14": "CASE WHEN nl = 14 AND nh = 14 THEN round(CASE WHEN abs(hh - ll) < 1e-10 THEN -50 ELSE -100 * (hh - close) / (hh - ll) END, 6) + 0.0 END",
+            "stoch_d": f"CASE WHEN count(k) OVER {_r(3)} = 3 THEN round(100 * avg(k) OVER {_r(3)}, 6) + 0.0 END",
+            "rsi_14": _round("rsi"),
+            "roc_12": _round("CASE WHEN abs(c12) >= 1e-10 THEN 100 * (close - c12) / c12 END"),
+            "obv": _round(_OBV),
+            "vwap": _round(f"last_value(va IGNORE NULLS) OVER ({_O})"),
+            "vwap_10": _round(f"last_value(vr IGNORE NULLS) OVER ({_O})"),
+            "mfi_14": _full(15, _MFI_VALUE),
+            "cmf_20": _full(20, f"sum(clv * volume) OVER {_r(20)} / sum(volume) OVER {_r(20)}"),
+            "tr": _round("greatest(high - low, abs(high - pc), abs(low - pc))"),
+            "valid": "coalesce(low <= open AND open <= high AND low <= close AND close <= high AND volume >= 0, false)",
+        }.items()
+    )
+    + " FROM y"
+)
+_WINDOWS_SQL = _sql(
+    f"{_STOCH}, {_MFI.replace('FROM b)', 'FROM k3)')}, {_BB.replace('FROM b)', 'FROM w)')}, y AS (SELECT *, list(close) OVER {_r(14)} AS last14, lag(close, 12) OVER ({_O}) AS c12, CASE WHEN abs(high - low) < 1e-10 THEN 0 ELSE (2 * close - high - low) / (high - low) END AS clv FROM e), "
+    + _AROON.format(f=_r(26), n=25).format("y"),
+    "a1",
+    sma_14=_full(14, f"avg(close) OVER {_r(14)}"),
+    wma_14=_full(14, "list_sum(list_transform(last14, lambda x, i: x * i)) / 105"),
+    bb_upper=_full(20, "mid + sp"),
+    bb_pct_b=_full(20, "CASE WHEN mid + sp - (mid - sp) > 1e-10 THEN (close - (mid - sp)) / (mid + sp - (mid - sp)) ELSE 0.5 END"),
+    dc_width=_full(20, f"max(high) OVER {_r(20)} - min(low) OVER {_r(20)}"),
+    aroon_up=_full(26, "a_up"),
+    aroon_down=_full(26, "a_down"),
+    stoch_d=_round("d"),
+    williams_r_14=_full(14, "CASE WHEN abs(hh - ll) < 1e-10 THEN -50 ELSE -100 * (hh - close) / (hh - ll) END"),
+    cmf_20=_full(20, f"sum(clv * volume) OVER {_r(20)} / sum(volume) OVER {_r(20)}"),
+    mfi_14=_full(15, _MFI_VALUE),
+    roc_12=_round("CASE WHEN abs(c12) >= 1e-10 THEN 100 * (close - c12) / c12 END"),
+    total=_full(10, f"sum(volume) OVER {_r(10)}"),
+)
+_DAY = "PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts"
+_RUNNING_SQL = _sql(
+    f"e AS (SELECT *, CASE WHEN volume > 3 THEN close END AS x, lag(close, 3) OVER ({_O}) AS c3, lag(close, 2) OVER ({_O}) AS c2 FROM b)",
+    "e",
+    obv=_round(_OBV),
+    vwap=_round(f"sum(tp * volume) OVER ({_O}) / sum(volume) OVER ({_O})"),
+    vwap_day=_round(f"sum(tp * volume) OVER ({_DAY}) / sum(volume) OVER ({_DAY})"),
+    carried=_round(f"last_value(x IGNORE NULLS) OVER ({_O})"),
+    total=_round(f"sum(x) OVER ({_O})"),
+    diff_3=_round("close - c3"),
+    pct_change_2=_round("CASE WHEN c2 <> 0 THEN (close - c2) / c2 END"),
+)
+_WIDE_SQL = _sql(
+    f"y AS (SELECT *, list(close) OVER {_r(200)} AS last, avg(close) OVER {_r(200)} AS mid, 2 * stddev_samp(close) OVER {_r(200)} AS sp, min(low) OVER {_r(200)} AS ll, max(high) OVER {_r(200)} AS hh, CASE WHEN abs(high - low) < 1e-10 THEN 0 ELSE (2 * close - high - low) / (high - low) END AS clv FROM b), " + _AROON.format(f=_r(201), n=200).format("y"),
+    "a1",
+    sma_200=_full(200, "mid"),
+    wma_200=_full(200, "list_sum(list_transform(last, lambda x, i: x * i)) / 20100"),
+    bb_upper=_full(200, "mid + sp"),
+    dc_width=_full(200, "hh - ll"),
+    aroon_up=_full(201, "a_up"),
+    aroon_down=_full(201, "a_down"),
+    williams_r_200=_full(200, "CASE WHEN abs(hh - ll) < 1e-10 THEN -50 ELSE -100 * (hh - close) / (hh - ll) END"),
+    cmf_200=_full(200, f"sum(clv * volume) OVER {_r(200)} / sum(volume) OVER {_r(200)}"),
+)
+
 #: name -> (query, SQL)
 REGISTRY: dict[str, tuple[Query, str]] = {
     "bars_1h": (lambda s, d: shown(event_bars(s, d), *_PRICES), _sql(**{c: _round(c) for c in _PRICES})),
@@ -254,6 +394,11 @@ REGISTRY: dict[str, tuple[Query, str]] = {
     "wilder": (_indicator(trend.wilder, "wilder_14"), _sql(_CLOSES, "l", wilder_14=_full(14, _wilder("xs", 14)))),
     "ema_gaps": (_gaps(None), _sql(_GAPS, "q", **_GAP_VALUES)),
     "ema_gaps_by_month": (_gaps("month"), _sql(_GAPS, "q", **_GAP_VALUES)),
+    "nan_bars": (_nan_bars(None), _NAN_SQL),
+    "nan_bars_by_month": (_nan_bars("month"), _NAN_SQL),
+    "windows_by_month": (_windows_by_month, _WINDOWS_SQL),
+    "running_by_month": (_running_by_month, _RUNNING_SQL),
+    "wide_windows": (_wide, _WIDE_SQL),
     "indicators_by_month": (_by_month, _sql(_BY_MONTH, "z", **_BY_MONTH_VALUES)),
     "wma": (_indicator(trend.wma, "wma_14"), _sql(f"e AS (SELECT *, {' + '.join(f'{14 - k} * lag(close, {k}) OVER ({_O})' for k in range(14))} AS x FROM b)", "e", wma_14=_round("x / 105"))),
     "macd": (_indicator(trend.macd, "macd", "macd_signal", "macd_histogram"), _sql(_MACD, "q", macd=_round("macd"), macd_signal=_round("sig"), macd_histogram=_round("macd - sig"))),
