@@ -120,13 +120,18 @@ class Scanner:
                     part = word[a:b]
                     if any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
                         found.add((m.start() + a, 3, m.start() + b))
+        together: list[tuple[int, int]] = []  # base spans that touch or overlap, as one
+        for x, _, y in covered:
+            if together and x <= together[-1][1]:
+                together[-1] = (together[-1][0], max(y, together[-1][1]))
+            else:
+                together.append((x, y))
         spans: list[tuple[int, int, int]] = []
-        for a, k, b in sorted(found):
-            reach = a
-            for x, _, y in covered:
-                if x <= reach < y:
-                    reach = y
-            if reach >= b:
+        at = 0
+        for a, k, b in sorted(found):  # both lists rise, so one sweep meets them
+            while at < len(together) and together[at][1] <= a:
+                at += 1
+            if at < len(together) and together[at][0] <= a and together[at][1] >= b:
                 continue
             if spans and a < spans[-1][2]:
                 spans[-1] = (spans[-1][0], k, max(b, spans[-1][2]))
