@@ -3,20 +3,29 @@
 ``fit`` runs one aggregation for all columns of a step; ``transform`` and
 ``inverse`` stay lazy expressions. Fitted steps are plain data (``state``), so they
 can be kept as JSON and restored.
+
+Scalers have one centre and scale for a whole table, or with ``per_series`` those of
+each series: a fitted table by series, joined by a broadcast up to FEW_SERIES of them
+and by a shuffle beyond. Rows of a series that was not in the fit have no result.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from barline.errors import InverseNotSupported, InvalidParameter, NotFitted, StateVersionError, columns
 from barline.functions.windows import BARS, Series, finite
 from barline.operators.quantiles import exact_quantiles
+from barline.plans.lineage import checkpointed
 
 VERSION = 1
+#: Series whose figures are broadcast and can be kept as JSON; those of more are a table (``fitted_table``).
+FEW_SERIES = 100_000
 _NUMERIC = ("double", "float")
 
 
@@ -99,22 +108,50 @@ class LogReturn:
 class _Scaler:
     kind = ""
 
-    def __init__(self, names: list[str] | None = None, series: Series = BARS):
-        self.names, self.series = names, series
+    def __init__(self, names: list[str] | None = None, series: Series = BARS, per_series: bool = False):
+        self.names, self.series, self.per_series = names, series, per_series
         self.centers: dict[str, float | None] | None = None
         self.scales: dict[str, float] = {}
+        #: With ``per_series``: the columns of the series, and __c0, __s0, __c1, .. (centre and scale of each column).
+        self.fitted_table: DataFrame | None = None
+        self._few = True
 
     def _figures(self, df: DataFrame, names: list[str]) -> list[tuple[float | None, float | None]]:
         """Centre and scale of each column, missing values passed over."""
         raise NotImplementedError
 
+    def _figures_by_series(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """A row for each series with c0, s0, c1, ..; missing values passed over."""
+        raise NotImplementedError
+
     def fit(self, df: DataFrame) -> "_Scaler":
         names = numeric(df, self.names, self.series)
+        if self.per_series:
+            figures = self._figures_by_series(df, names) if names else df.select(*self.series.by).distinct()
+            whole = [F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0).alias(f"__s{i}") for i in range(len(names))]
+            return self._keep(figures.select(*self.series.by, *[F.col(f"c{i}").alias(f"__c{i}") for i in range(len(names))], *whole), names)
         figures = self._figures(df, names) if names else []
         self.centers = {n: center for n, (center, _) in zip(names, figures)}
         self.scales = {n: scale if scale and scale > 0 else 1.0 for n, (_, scale) in zip(names, figures)}
         return self
 
+    def _keep(self, table: DataFrame, names: list[str]) -> "_Scaler":
+        self.fitted_table = checkpointed(table)
+        self._few = self.fitted_table.count() <= FEW_SERIES
+        self.centers, self.scales = dict.fromkeys(names), {}
+        return self
+
+    def _scaled(self, df: DataFrame, of: Callable[[Column, Column, Column], Column]) -> DataFrame:
+        """``df`` with fitted columns x as ``of(x, centre, scale)``."""
+        names = self._fitted(df)
+        if not self.per_series:
+            return df.withColumns({n: of(F.col(n), F.lit(self.centers[n]), F.lit(self.scales[n])) for n in names})
+        by = self.series.by
+        own = self.fitted_table.select(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(by)], *[c for c in self.fitted_table.columns if c not in by])
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__of{i}")) for i, c in enumerate(by)])
+        joined = df.join(F.broadcast(own) if self._few else own, same, "left")
+        return joined.withColumns({n: of(F.col(n), F.col(f"__c{i}"), F.col(f"__s{i}")) for i, n in enumerate(names)}).select(*df.columns)
+
     def output_columns(self, columns_in: list[str]) -> list[str]:
         return list(columns_in)
 
@@ -125,10 +162,10 @@ class _Scaler:
         return list(self.centers)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({n: (F.col(n) - F.lit(self.centers[n])) / F.lit(self.scales[n]) for n in self._fitted(df)})
+        return self._scaled(df, lambda x, center, scale: (x - center) / scale)
 
     def inverse(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({n: F.col(n) * F.lit(self.scales[n]) + F.lit(self.centers[n]) for n in self._fitted(df)})
+        return self._scaled(df, lambda x, center, scale: x * scale + center)
 
     def center(self, name: str) -> float | None:
         return (self.centers or {}).get(name)
@@ -137,13 +174,23 @@ class _Scaler:
         return self.scales.get(name)
 
     def reset(self) -> None:
-        self.centers, self.scales = None, {}
+        self.centers, self.scales, self.fitted_table = None, {}, None
 
     def state(self) -> str:
+        if self.per_series and self.fitted_table is not None:
+            if not self._few:
+                raise InvalidParameter(f"figures of more than {FEW_SERIES} series are a table (fitted_table), not JSON")
+            rows = [list(r) for r in self.fitted_table.collect()]  # bounded by FEW_SERIES
+            return json.dumps({"version": VERSION, "kind": self.kind, "names": list(self.centers), "schema": self.fitted_table.schema.json(), "rows": rows})
         return json.dumps({"version": VERSION, "kind": self.kind, "centers": self.centers, "scales": self.scales})
 
     def restore(self, saved: str) -> "_Scaler":
         found = checked(saved, self.kind)
+        if self.per_series != ("rows" in found) and (self.per_series or "rows" in found):
+            raise InvalidParameter("a state with and one without figures for each series")
+        if self.per_series:
+            schema = T.StructType.fromJson(json.loads(found["schema"]))
+            return self._keep(SparkSession.active().createDataFrame([tuple(r) for r in found["rows"]], schema), found["names"])
         self.centers, self.scales = found["centers"], found["scales"]
         return self
 
@@ -161,6 +208,10 @@ class Normalization(_Scaler):
         row = df.agg(*made).first()
         return [(row[f"c{i}"], row[f"s{i}"]) for i in range(len(names))]
 
+    def _figures_by_series(self, df: DataFrame, names: list[str]) -> DataFrame:
+        figures = [f(finite(F.col(n))).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("c", F.avg), ("s", F.stddev_samp))]
+        return df.groupBy(*self.series.by).agg(*figures)
+
     mean = _Scaler.center
 
 
@@ -169,17 +220,27 @@ class RobustNormalization(_Scaler):
 
     kind = "robust"
 
-    def __init__(self, names: list[str] | None = None, quantile_range: tuple[float, float] = (0.25, 0.75), series: Series = BARS):
-        super().__init__(names, series)
+    def __init__(self, names: list[str] | None = None, quantile_range: tuple[float, float] = (0.25, 0.75), series: Series = BARS, per_series: bool = False):
+        super().__init__(names, series, per_series)
         low, high = quantile_range
         if not 0 <= low < high <= 1:
             raise InvalidParameter("quantile_range must rise within 0 and 1")
         self.range = quantile_range
 
+    @staticmethod
+    def _pairs(names: list[str]) -> Column:
+        """Columns as rows of (number, value), so that one pair of aggregations serves them all."""
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.col(n).cast("double").alias("__x")) for i, n in enumerate(names)])).alias("__p")
+
+    def _figures_by_series(self, df: DataFrame, names: list[str]) -> DataFrame:
+        by = self.series.by
+        found = exact_quantiles(df.select(*by, self._pairs(names)).select(*by, "__p.__i", "__p.__x"), [*by, "__i"], "__x", (0.5, *self.range))
+        figures = [F.max(F.when(F.col("__i") == i, v)).alias(f"{k}{i}") for i in range(len(names)) for k, v in (("c", F.col("q0")), ("s", F.col("q2") - F.col("q1")))]
+        return found.groupBy(*by).agg(*figures)
+
     def _figures(self, df: DataFrame, names: list[str]) -> list[tuple[float | None, float | None]]:
-        # Columns become rows of (number, value), so that one pair of aggregations serves them all.
-        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(n).cast("double").alias("x")) for i, n in enumerate(names)])).alias("p")
-        found = {r["i"]: r for r in exact_quantiles(df.select(pairs).select("p.i", "p.x"), ["i"], "x", (0.5, *self.range)).collect()}
+        pairs = df.select(self._pairs(names)).select(F.col("__p.__i").alias("i"), F.col("__p.__x").alias("x"))
+        found = {r["i"]: r for r in exact_quantiles(pairs, ["i"], "x", (0.5, *self.range)).collect()}
         return [(found[i]["q0"], None if found[i]["q1"] is None else found[i]["q2"] - found[i]["q1"]) if i in found else (None, None) for i in range(len(names))]
 
 

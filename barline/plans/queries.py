@@ -220,6 +220,13 @@ def _zscores(robust: bool, back: bool = False) -> str:
     return _sql(stats, "b, s", **{c: _round(c if back else f"({c} - c_{c}) / s_{c}") for c in _PRICES})
 
 
+def _zscores_by_symbol(robust: bool) -> str:
+    center = "median({0})" if robust else "avg({0})"
+    scale = "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)" if robust else "stddev_samp({0})"
+    stats = "s AS (SELECT symbol AS of, " + ", ".join(f"{center.format(c)} AS c_{c}, CASE WHEN ({scale.format(c)}) > 0 THEN {scale.format(c)} ELSE 1 END AS s_{c}" for c in _PRICES) + " FROM b GROUP BY symbol)"
+    return _sql(stats, "b JOIN s ON b.symbol = s.of", **{c: _round(f"({c} - c_{c}) / s_{c}") for c in _PRICES})
+
+
 _LOGV = "CASE WHEN rn > 1 THEN (CASE WHEN volume > 0 THEN ln(1 + volume) ELSE 0 END) - (CASE WHEN pv > 0 THEN ln(1 + pv) ELSE 0 END) END"
 _RSI_LISTS = "g AS (SELECT *, CASE WHEN close > pc THEN close - pc ELSE 0 END AS gain, CASE WHEN close < pc THEN pc - close ELSE 0 END AS loss FROM b), " + _lists(gs="gain", ls="loss").format("g")
 
@@ -437,6 +444,9 @@ REGISTRY: dict[str, tuple[Query, str]] = {
         _sql(f"e AS (SELECT *, lag(volume) OVER ({_O}) AS pv FROM b)", "e WINDOW w AS (PARTITION BY symbol ORDER BY ts)", **{c: _round(_events(c)) for c in _PRICES[:4]}, volume=_round(_LOGV)),
     ),
     "zscore": (_scaled(transforms.Normalization), _zscores(False)),
+    "zscore_by_symbol": (_scaled(lambda: transforms.Normalization(per_series=True)), _zscores_by_symbol(False)),
+    "robust_by_symbol": (_scaled(lambda: transforms.RobustNormalization(per_series=True)), _zscores_by_symbol(True)),
+    "scale_by_symbol_inverse": (_scaled(lambda: transforms.Normalization(per_series=True), True), _zscores(False, True)),
     "zscore_inverse": (_scaled(transforms.Normalization, True), _zscores(False, True)),
     "robust_scale": (_scaled(transforms.RobustNormalization), _zscores(True)),
     "robust_inverse": (_scaled(transforms.RobustNormalization, True), _zscores(True, True)),

@@ -327,3 +327,30 @@ def test_positions(spark):
     same(values(frame.map_column(df, "close", lambda x: x * 2), "close"), [10, 12, 14])
     assert values(frame.at(df, 0), "close") == [5] and values(frame.at(df, -1), "close") == [7] and values(frame.at(df, 3), "close") == []
     same(values(df.withColumn("x", rolling.oldest(F.col("close"), 2)), "x"), [None, 5, 6])
+
+
+def test_fits_by_series(spark):
+    import json
+
+    rows = [("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, float("nan")), ("b", 1, 10.0), ("b", 2, 10.0), (None, 1, 5.0), (None, 2, 9.0), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, close double")
+    root = math.sqrt(2)
+    for step, want in ((transforms.Normalization(["close"], per_series=True), {("a", 1): -1 / root, ("a", 2): 1 / root, ("b", 1): 0, (None, 2): 1 / root}), (transforms.RobustNormalization(["close"], per_series=True), {("a", 1): -1, ("a", 2): 1, ("b", 2): 0, (None, 1): -1})):
+        made = {(r.symbol, r.ts): r.close for r in step.fit(df).transform(df).collect()}
+        assert len(made) == 8 and made["c", 1] is None
+        assert all(made[k] == pytest.approx(v) for k, v in want.items())
+        again = type(step)(["close"], per_series=True).restore(step.state())
+        assert {(r.symbol, r.ts): r.close for r in again.transform(df).collect() if r.ts != 3} == {k: v for k, v in made.items() if k[1] != 3}
+        back = {(r.symbol, r.ts): r.close for r in step.inverse(step.transform(df)).collect()}
+        assert back["a", 2] == pytest.approx(3) and back[None, 1] == pytest.approx(5)
+        new = spark.createDataFrame([("new", 1, 4.0)], df.schema)
+        assert step.transform(new).first().close is None
+        with pytest.raises(InvalidParameter):
+            type(step)(["close"]).restore(step.state())
+        assert json.loads(step.state())["names"] == ["close"]
+    both = transforms.Pipeline(transforms.Normalization(["close"], per_series=True), transforms.RobustNormalization(["close"], per_series=True))
+    got = {(r.symbol, r.ts): r.close for r in both.inverse(both.fit_transform(df)).collect()}
+    assert got["a", 1] == pytest.approx(1) and got["b", 2] == pytest.approx(10)
+    step.reset()
+    with pytest.raises(NotFitted):
+        step.transform(df)
