@@ -20,6 +20,7 @@ rows each get the same result; only the named columns are read.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,9 @@ SAMPLE_CHARS = 1_500_000
 ALL_CHARS = 60_000_000
 LEAST_DOCUMENTS = 30
 #: Bytes of text that are scored at a time.
+#: Characters of a long text that are scored at a time.
+SLICE = 1 << 20
+_SPACE = re.compile(r"\s")
 CHUNK_BYTES = 1 << 19
 #: Cells (n-grams by languages) up to which all languages' log probabilities are kept in one table; beyond, each language
 #: looks its own n-grams up, with the same results.
@@ -78,6 +82,19 @@ def codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return x[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
+def slices(text: str, order: int) -> Iterator[np.ndarray]:
+    """The codes of a text in parts, each after the order - 1 codes before it; parts end at spaces where there are some."""
+    last, begin = np.full(order - 1, _START, np.uint32), 0
+    while begin < len(text):
+        space = _SPACE.search(text, begin + SLICE, begin + 2 * SLICE)
+        end = space.start() if space else min(begin + 2 * SLICE, len(text))
+        x = codes([text[begin:end]], order)[0][order - 1 :]
+        x = x[1:] if len(x) and x[0] == 32 and last[-1] == 32 else x
+        x = np.concatenate([last, x])
+        yield x
+        last, begin = x[len(x) - order + 1 :], end
+
+
 def keys(grams: np.ndarray) -> np.ndarray:
     """64-bit hashes of the rows of an array of code points."""
     total = np.zeros(len(grams), np.uint64)
@@ -205,6 +222,8 @@ class Identifier:
         nothing = (UNDETERMINED, 0.0, None, False)
         if not self.languages or not texts:
             return [nothing] * len(texts)
+        if any(len(t) > SLICE for t in texts):
+            return [r for t in texts for r in (self.judged(*self.measured(t)) if len(t) > SLICE else self.identify([t]))]
         x, at = codes(texts, self.order)
         grams = windows(x, self.order)
         n = self.order - 1
@@ -220,14 +239,29 @@ class Identifier:
                 bits[n:-1] = self.bits_of(i, grams, row, hit)
                 bits[:-1][~scored] = 0
                 entropy[:, i] = np.add.reduceat(bits, at[:-1], dtype=np.float64) / np.maximum(sizes, 1)
+        return self.judged(entropy, sizes, has)
+
+    def measured(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropies, characters and whether there is a letter, of one long text read in slices."""
+        total, size, letter = np.zeros(len(self.languages)), 0, False
+        for x in slices(text, self.order):
+            grams = windows(x, self.order)
+            if len(grams):
+                row, hit = found(self.known, keys(grams))
+                total += [self.bits_of(i, grams, row, hit).sum(dtype=np.float64) for i in range(len(self.languages))]
+                size, letter = size + len(grams), letter or bool((x[self.order - 1 :] != 32).any())
+        return total[None, :] / max(size, 1), np.array([size]), np.array([letter])
+
+    def judged(self, entropy: np.ndarray, sizes: np.ndarray, has: np.ndarray) -> list[tuple[str, float, float | None, bool]]:
+        """Language, confidence, cross-entropy and acceptance from the figures of each text."""
         best = entropy.argmin(axis=1)
-        low = entropy[np.arange(len(texts)), best]
+        low = entropy[np.arange(len(sizes)), best]
         ahead = (entropy - low[:, None]) * np.minimum(sizes, 60)[:, None]
         sure = 1.0 / np.exp2(-ahead).sum(axis=1)
         rows = []
-        for i in range(len(texts)):
+        for i in range(len(sizes)):
             if not has[i]:
-                rows.append(nothing)
+                rows.append((UNDETERMINED, 0.0, None, False))
                 continue
             limit = self.limits[best[i]]
             rows.append((self.languages[best[i]], float(sure[i]), float(low[i]), bool(low[i] <= limit.level + limit.spread / np.sqrt(sizes[i]))))

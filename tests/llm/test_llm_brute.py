@@ -618,3 +618,18 @@ def test_secret_spans_of_many_lines_take_one_sweep():
     # A span goes if base spans that touch cover it, and stays if a part of it is left.
     kept = scanner.extra("token=" + "a1B2c3D4e5F6g7H8i9J0kLmN", scanner.base("token=" + "a1B2c3D4e5F6g7H8i9J0kLmN"))
     assert kept == []
+
+
+def test_language_of_long_texts_in_slices(monkeypatch):
+    """A text in slices has the figures of the whole text."""
+    rng = random.Random(8)
+    words = ["the", "house", "Straße", "été", "12", "--", "İstanbul", "ΟΔΟΣ", "and", "\n\n", "Haus"]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(30)]
+    models = {"x": langid.fit_language(texts[:15], langid.ORDER), "y": langid.fit_language([t[::-1] for t in texts[15:]], langid.ORDER)}
+    own = langid.Identifier(models)
+    odd = [texts[0] * 3, "a" * 2000, "  " * 900 + "word", "", " \n " * 500, "…".join(texts[3:6])]
+    whole = own.identify(odd)
+    for size in (50, 64, 333):
+        monkeypatch.setattr(langid, "SLICE", size)
+        for a, b in zip(own.identify(odd), whole):
+            assert a[0] == b[0] and a[3] == b[3] and a[1] == pytest.approx(b[1]) and (a[2] is None and b[2] is None or a[2] == pytest.approx(b[2], abs=1e-4))
