@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from barline.errors import DuplicateColumn, columns
 from barline.functions.windows import BARS, Series, value
 from barline.operators.quantiles import exact_quantiles
+from barline.plans.scan import numbers
 
 
 def series_stats(df: DataFrame, column: str, series: Series = BARS) -> DataFrame:
@@ -74,6 +77,37 @@ def map_indexed(df: DataFrame, name: str, of: Callable[[Column, Column], Column]
     return df.withColumn(name, of(F.row_number().over(series.ordered()) - 1, F.col(name)))
 
 
+def map_values(df: DataFrame, name: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``name`` with ``of`` applied to its values as arrays of doubles, batch by batch, for functions that no Column expresses.
+
+    Missing values (NULL, NaN, infinite) are NaN in the arrays, and such results are NULL.
+    ``of`` must work value by value: what lies in one batch is Spark's choice.
+    """
+    columns(df, name)
+    return _mapped(df, name, lambda table: of(numbers(table, name)))
+
+
+def map_values_indexed(df: DataFrame, name: str, of: Callable[[np.ndarray, np.ndarray], np.ndarray], series: Series = BARS) -> DataFrame:
+    """As ``map_values``, with ``of(positions, values)``; positions count from 0 in each series."""
+    columns(df, name)
+    placed = df.withColumn("__place", F.row_number().over(series.ordered()) - 1)
+    return _mapped(placed, name, lambda table: of(table.column("__place").to_numpy(), numbers(table, name))).drop("__place")
+
+
+def _mapped(df: DataFrame, name: str, of: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    at = df.columns.index(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.table(batch.columns, names=batch.schema.names)
+            made = np.asarray(of(table), np.float64)
+            column = pa.array(made, pa.float64(), mask=~np.isfinite(made))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == name else f.dataType) for f in df.schema.fields])
+    return df.mapInArrow(run, schema)
+
+
 def at(df: DataFrame, position: int, series: Series = BARS) -> DataFrame:
     """The row at a position of each series, from 0, or from the end for negative ones; series that are too short have none."""
     order = [F.col(c).desc() if position < 0 else F.col(c).asc() for c in series.order]

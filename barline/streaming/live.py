@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barline.errors import InvalidParameter, StateVersionError, window
-from barline.functions.windows import EPSILON
+from barline.errors import InvalidParameter, StateVersionError, columns, window
+from barline.functions.windows import EPSILON, value
 from barline.plans.scan import Scan
 
 VERSION = 1
@@ -40,14 +40,20 @@ class Indicator(Protocol):
     def update(self, state: dict, bar: Bar) -> float | tuple | None: ...
 
 
-def live_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours", symbol: str = "symbol", ts: str = "ts", price: str = "price") -> DataFrame:
-    """Bars of a stream of ticks; a bar comes out once the watermark has passed it."""
-    order = F.col(ts)
+def live_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours", symbol: str = "symbol", ts: str = "ts", price: str = "price", volume: str | None = None, tie: str | None = None) -> DataFrame:
+    """Bars of a stream of ticks; a bar comes out once the watermark has passed it.
+
+    As in ``sources.bars.bars``: without a volume column ticks are counted, ``tie`` orders
+    ticks of one time, and NaN and infinite prices and volumes count as missing.
+    """
+    columns(ticks, symbol, ts, price, *([volume] if volume else []), *([tie] if tie else []))
+    order = F.struct(ts, tie) if tie else F.col(ts)
+    amount = F.sum(value(volume)) if volume else F.count(F.lit(1))
     return (
         ticks.withColumn(ts, F.col(ts).cast("timestamp"))
         .withWatermark(ts, late)
         .groupBy(F.col(symbol).alias("symbol"), F.window(ts, width).alias("w"))
-        .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
+        .agg(F.min_by(value(price), order).alias("open"), F.max(value(price)).alias("high"), F.min(value(price)).alias("low"), F.max_by(value(price), order).alias("close"), amount.cast("double").alias("volume"))
         .select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
     )
 
