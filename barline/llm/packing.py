@@ -32,10 +32,10 @@ from barline.llm.lineage import checkpointed
 CAPACITY = 2048
 #: Appended to every document.
 END_ID = 1
-#: Words whose ids a worker remembers before it starts afresh (about 50 MB).
-REMEMBERED = 1_200_000
+#: Words whose ids a worker remembers before it starts afresh (about 20 MB, and as much while they grow).
+REMEMBERED = 400_000
 #: New words are kept apart until there are so many.
-RECENT = 100_000
+RECENT = 50_000
 #: Pieces in a group, about.
 GROUP_PIECES = 16_384
 
@@ -161,8 +161,8 @@ class WordEncoder:
         """Remembers words by the tokenizer's own ids, told apart by where each id begins."""
         flat, long = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         self.tokenizer.encode_special_tokens = True  # in small letters, a word may read like a special token
-        for k in range(0, len(words), 8192):
-            part = words[k : k + 8192]
+        for k in range(0, len(words), 2048):
+            part = words[k : k + 2048]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
