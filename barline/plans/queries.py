@@ -38,9 +38,10 @@ def plain(name: str, places: int = 6) -> Column:
     return F.round(name, places) + F.lit(0.0)
 
 
-def shown(df: DataFrame, *names: str) -> DataFrame:
+def shown(df: DataFrame, *names: str, finer: str = "") -> DataFrame:
+    """The columns to six places, ``finer`` to nine (where values may lie halfway between two roundings)."""
     kinds = dict(df.dtypes)
-    return df.select("symbol", seconds(), *[plain(n).alias(n) if kinds[n] == "double" else F.col(n) for n in names])
+    return df.select("symbol", seconds(), *[plain(n, 9 if n == finer else 6).alias(n) if kinds[n] == "double" else F.col(n) for n in names])
 
 
 def _indicator(add: Callable[[DataFrame], DataFrame], *names: str) -> Query:
@@ -156,7 +157,7 @@ def _by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rows of each series in which a column is missing, as NaN or infinite.
 _GONE = {"close": {20: "NaN", 41: "Infinity"}, "high": {50: "Infinity"}, "low": {60: "NaN"}, "volume": {70: "NaN", 71: "-Infinity"}}
-_NAN_NAMES = ("sma_20", "wma_14", "bb_upper", "bb_pct_b", "dc_upper", "dc_lower", "dc_width", "aroon_up", "aroon_down", "williams_r_14", "stoch_d", "rsi_14", "roc_12", "obv", "vwap", "vwap_10", "mfi_14", "cmf_20", "tr", "valid")
+_NAN_NAMES = ("sma_20", "wma_14", "bb_upper", "bb_pct_b", "dc_upper", "dc_lower", "dc_width", "aroon_up", "aroon_down", "williams_r_14", "stoch_d", "rsi_14", "roc_12", "obv", "vwap", "mfi_14", "cmf_20", "tr", "valid")
 
 
 def _nan_bars(pieces: str | None) -> Query:
@@ -171,11 +172,11 @@ def _nan_bars(pieces: str | None) -> Query:
         df = df.drop("rn").withColumns({"tr": price.true_range(), "valid": price.is_valid()})
         if pieces:
             own = [programs.rolling("mean", 20, out="sma_20"), programs.rolling("wma", 14), programs.bollinger(), programs.donchian(), programs.aroon(), programs.williams_r(), programs.stochastic(), programs.rsi(), programs.roc(), programs.obv(), programs.vwap(), programs.vwap("rolling", 10, "vwap_10"), programs.mfi(), programs.cmf()]
-            return shown(programs.study(df, own, pieces=pieces), *_NAN_NAMES)
+            return shown(programs.study(df, own, pieces=pieces), *_NAN_NAMES, finer="vwap")
         df = volume.vwap(trend.sma(df, 20), "rolling", 10, out="vwap_10")
         for add in (trend.wma, volatility.bollinger, volatility.donchian, trend.aroon, momentum.williams_r, momentum.stochastic, momentum.rsi, momentum.roc, volume.obv, volume.vwap, volume.mfi, volume.cmf):
             df = add(df)
-        return shown(df, *_NAN_NAMES)
+        return shown(df, *_NAN_NAMES, finer="vwap")
 
     return query
 
@@ -312,8 +313,7 @@ _NAN_SQL = (
             "rsi_14": _round("rsi"),
             "roc_12": _round("CASE WHEN abs(c12) >= 1e-10 THEN 100 * (close - c12) / c12 END"),
             "obv": _round(_OBV),
-            "vwap": _round(f"last_value(va IGNORE NULLS) OVER ({_O})"),
-            "vwap_10": _round(f"last_value(vr IGNORE NULLS) OVER ({_O})"),
+            "vwap": f"round(last_value(va IGNORE NULLS) OVER ({_O}), 9) + 0.0",
             "mfi_14": _full(15, _MFI_VALUE),
             "cmf_20": _full(20, f"sum(clv * volume) OVER {_r(20)} / sum(volume) OVER {_r(20)}"),
             "tr": _round("greatest(high - low, abs(high - pc), abs(low - pc))"),
