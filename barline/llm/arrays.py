@@ -101,7 +101,7 @@ def powers(base: int, n: int) -> np.ndarray:
     kept = once_per_process("powers", dict)
     have = kept.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + 1024), base, np.uint64)
+        have = np.full(-(-max(n, 1) // 65536) * 65536, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
         if n <= 16 * CHUNK_BYTES:  # those for a very long text are not held

@@ -36,7 +36,7 @@ from barline.llm.near_dup import SHINGLE, shingles
 SIMILARITY = 0.8
 #: Bytes of item texts that are sent to all executors at once; more items are taken in blocks of that size.
 BLOCK_BYTES = 16 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _SPLIT = arrays.space_table(bytes(c for c in range(128) if not chr(c).isalnum()))
 

@@ -26,16 +26,23 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from barline.llm import arrays
 from barline.llm.arrays import Words
-from barline.llm.lineage import checkpointed
+from barline.llm.lineage import batches_of, checkpointed
 
 #: Ids in a sequence.
 CAPACITY = 2048
 #: Appended to every document.
 END_ID = 1
-#: Words whose ids a worker remembers before it starts afresh (about 50 MB).
-REMEMBERED = 1_200_000
+#: Words whose ids a worker remembers before it forgets those not met again (about 15 MB), and ids of them all.
+REMEMBERED = 400_000
+REMEMBERED_IDS = 4_000_000
 #: New words are kept apart until there are so many.
-RECENT = 100_000
+RECENT = 20_000
+#: Bytes of text that are encoded at a time, unless a single text is longer.
+CHUNK_BYTES = 1 << 18
+#: New words that go to the tokenizer in one call.
+ENCODED = 1024
+#: Rows that a worker is sent at a time.
+BATCH_ROWS = 1000
 #: Pieces in a group, about.
 GROUP_PIECES = 16_384
 
@@ -48,6 +55,26 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
+class Grown:
+    """An array that grows at its end, in place."""
+
+    def __init__(self, values: np.ndarray):
+        self.room, self.n = values.copy(), len(values)
+
+    def append(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.room):
+            self.room.resize(n + n // 4, refcheck=False)  # nothing else holds it: reads are copies
+        self.room[self.n : n] = more
+        self.n = n
+
+
+def merged(keys: np.ndarray, values: np.ndarray, more: np.ndarray, of_more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted tables as one."""
+    at = np.searchsorted(keys, more)
+    return np.insert(keys, at, more), np.insert(values, at, of_more)
+
+
 #: Mixed case, accents, figures, marks and all white space, for telling how a tokenizer treats words.
 PROBE = "Probe WORDS, \u00c9t\u00e9 it's 12.5-3 (x)\n\tand\u00e9  a\u0301b ...Q\r\x0b\x0cz_z #9\u20ac"
 
@@ -96,8 +123,33 @@ class WordEncoder:
 
     def reset(self) -> None:
         """Nothing but the end id, at index 0."""
-        self.flat, self.at, self.long = np.array([self.end_id], np.uint32), np.array([0]), np.array([1])
-        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2  # all older words, and recent ones
+        self.flat, self.at = Grown(np.array([self.end_id], np.uint32)), Grown(np.array([0, 1]))  # the ids of word i are at[i] up to at[i + 1]
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2  # all older words, and recent ones
+        self.again = Grown(np.array([True]))  # whether a word was met after it was learnt
+
+    def forget(self) -> None:
+        """Drops words not met again since they were learnt or last kept; all words, if more than half were."""
+        stay = self.again.room[: self.again.n].copy()
+        if 2 * np.count_nonzero(stay) > REMEMBERED:
+            return self.reset()
+        long = np.diff(self.at.room[: self.at.n])
+        flat, at = self.flat.room[: self.flat.n][np.repeat(stay, long)], np.concatenate([[0], np.cumsum(long[stay])])
+        if 2 * len(flat) > REMEMBERED_IDS:
+            return self.reset()
+        levels, renamed = merged(*self.levels[0], *self.levels[1]), np.cumsum(stay, dtype=np.int32) - 1
+        kept = stay[levels[1]]
+        self.reset()
+        self.flat, self.at, self.again = Grown(flat), Grown(at), Grown(np.arange(len(at) - 1) == 0)
+        self.levels[0] = levels[0][kept], renamed[levels[1][kept]]
+
+    @property
+    def words(self) -> int:
+        return self.at.n - 1
+
+    def places(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of words begin, and how many there are."""
+        begin = self.at.room[index]
+        return begin, self.at.room[index + 1] - begin
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Indices of words by hash, -1 where unknown."""
@@ -111,27 +163,27 @@ class WordEncoder:
         return out
 
     def keep(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        index = len(self.long) + np.arange(len(hashes))
-        self.flat, self.long = np.concatenate([self.flat, ids]), np.concatenate([self.long, lengths])
-        self.at = np.cumsum(self.long) - self.long
-        level = int(len(self.levels[1][0]) + len(hashes) <= RECENT)
-        parts = [self.levels[1], (hashes, index)] if level else [*self.levels, (hashes, index)]
-        keys, index = (np.concatenate(x) for x in zip(*parts))
-        by = np.argsort(keys)
-        self.levels[level] = keys[by], index[by]
-        if not level:
-            self.levels[1] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        """Remembers new words; ``hashes`` are distinct and sorted."""
+        index = np.arange(self.words, self.words + len(hashes), dtype=np.int32)
+        self.at.append(self.flat.n + np.cumsum(lengths))
+        self.flat.append(ids)
+        self.again.append(np.zeros(len(hashes), bool))
+        self.levels[1] = merged(*self.levels[1], hashes, index)
+        if len(self.levels[1][0]) > RECENT:
+            self.levels = [merged(*self.levels[0], *self.levels[1]), (np.zeros(0, np.uint64), np.zeros(0, np.int32))]
 
     def indices(self, words: Words) -> np.ndarray:
         """The index of every word; new ones are learnt."""
         index = self.find(words.hashes)
         unknown = np.flatnonzero(index < 0)
-        if len(unknown):
+        new, first = np.unique(words.hashes[unknown], return_index=True)
+        if self.words + 2 * len(new) > REMEMBERED or self.flat.n > REMEMBERED_IDS:
+            self.forget()
+            index = self.find(words.hashes)
+            unknown = np.flatnonzero(index < 0)
             new, first = np.unique(words.hashes[unknown], return_index=True)
-            if len(self.long) + 2 * len(new) > REMEMBERED:
-                self.reset()
-                unknown = np.arange(len(index))
-                new, first = np.unique(words.hashes, return_index=True)
+        self.again.room[index[index >= 0]] = True
+        if len(new):
             self.learn(words, new, unknown[first])
             index[unknown] = self.find(words.hashes[unknown])
         return index
@@ -154,15 +206,15 @@ class WordEncoder:
         tailed = np.flatnonzero(np.array([bool(t) for t in tails]))
         if len(tailed):
             both = np.stack([index[tailed], np.where(np.array([tails[i] == "." for i in tailed.tolist()]), index[-2], index[-1])], axis=1)
-            lengths = self.long[both]
-            self.keep(new[tailed], self.flat[arrays.ragged(self.at[both].ravel(), lengths.ravel())], lengths.sum(axis=1))
+            begin, lengths = self.places(both)
+            self.keep(new[tailed], self.flat.room[arrays.ragged(begin.ravel(), lengths.ravel())], lengths.sum(axis=1))
 
     def encode_words(self, hashes: np.ndarray, words: list[str]) -> None:
         """Remembers words by the tokenizer's own ids, told apart by where each id begins."""
         flat, long = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         self.tokenizer.encode_special_tokens = True  # in small letters, a word may read like a special token
-        for k in range(0, len(words), 8192):
-            part = words[k : k + 8192]
+        for k in range(0, len(words), ENCODED):
+            part = words[k : k + ENCODED]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
@@ -174,8 +226,8 @@ class WordEncoder:
         """The ids of all texts end to end, each text closed by the end id, and how many each has."""
         words = Words(arrays.folded(data), offsets)
         index = np.insert(self.indices(words), words.row_at[1:], 0)
-        lengths = self.long[index]
-        ids = self.flat[arrays.ragged(self.at[index], lengths)]
+        begin, lengths = self.places(index)
+        ids = self.flat.room[arrays.ragged(begin, lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
         counts = np.diff(total[np.concatenate([[0], np.cumsum(words.per_row + 1)])])
         raw = data.tobytes()
@@ -205,7 +257,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         own = arrays.once_per_process(("encoder", tokenizer_path, end_id), lambda: encoder(tokenizer_path, end_id))
         for batch in batches:
             data, offsets = arrays.utf8(batch.column(1))
-            for first, last in arrays.chunks(offsets):
+            for first, last in arrays.chunks(offsets, CHUNK_BYTES):
                 ids, counts = own.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 begin = np.cumsum(counts) - counts
                 pieces = -(-counts // capacity)
@@ -268,7 +320,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     dealt to groups; other columns pass through. A sequence holds pieces of one
     group only, without gaps. No sequence id occurs in two groups.
     """
-    pieces = checkpointed(pieces.drop("sequence_id", "offset").withColumn("pack_row", F.monotonically_increasing_id()))
+    with batches_of(pieces.sparkSession, BATCH_ROWS):
+        pieces = checkpointed(pieces.drop("sequence_id", "offset").withColumn("pack_row", F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def fill(table: pa.Table) -> pa.Table:
