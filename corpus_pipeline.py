@@ -83,7 +83,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     doc = F.when(F.col("doc_id") > high, F.col("doc_id") - offset).otherwise(F.col("doc_id"))
     found = classes.select(doc.alias("key"), "class_id").distinct()
     # The classes of the two texts of one document are one class.
-    joined = found.groupBy("key").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"))
+    joined = checkpointed(found.groupBy("key").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")))
     merged = components(joined.where("a != b").select("a", "b"))
     whole = joined.join(merged, F.col("a") == F.col("node"), "left").select("key", F.coalesce("component", "a").alias("class"))
     least = whole.groupBy("class").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
